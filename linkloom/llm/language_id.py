@@ -35,7 +35,8 @@ def words_of(text: str) -> list[str]:
 
 
 def grams_of(word: str, n: int) -> list[str]:
-    padded = f"^{word}$"
+    """N-grams of word between a start and an end mark; single characters without the marks."""
+    padded = f"^{word}$" if n > 1 else word
     return [padded[i : i + n] for i in range(len(padded) - n + 1)]
 
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import audio_features, exact_dedup, language_id, mixing, secret_scan
+from . import audio_features, chat_format, exact_dedup, language_id, line_dedup, mixing, ngram_join, piece_transducer, secret_scan, suffix_dedup
 from .common import table
 
 
@@ -17,6 +17,24 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(docs.select("doc_id", "text"), model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    transducer = piece_transducer.compile_transducer(piece_transducer.read_vocabulary())
+    made = piece_transducer.decode_documents(piece_transducer.encode_documents(docs, transducer), transducer)
+    return made.select(
+        "doc_id",
+        F.size("piece_ids").cast("long").alias("n_pieces"),
+        F.hex(F.xxhash64("piece_ids")).alias("pieces_hash"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+        piece_transducer.round_trips(F.col("text"), F.col("decoded")).alias("round_trip"),
+    )
+
+
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = secret_scan.train_markov(secret_scan.labelled_samples(spark))
     found = secret_scan.scan_secrets(table(spark, sf_dir, "documents").select("doc_id", "text"), model)
@@ -26,11 +44,30 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *map(count, ("assign", "access", "hex")), F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("secrets")).alias("spans"))
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), report=True)
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
+def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Roles of the conversations, learned from two thirds of them and recovered from raw transcripts in which they are markers, if at all."""
+    turns = table(spark, sf_dir, "conversations")
+    raw = chat_format.raw_transcripts(turns)
+    held_out = F.coalesce(F.crc32(F.col("conv_id").cast("string")) % 3 == 1, F.lit(False))
+    model = chat_format.train(raw.filter(~held_out))
+    found = chat_format.recover_roles(raw, model)
+    return found.select("conv_id", "turn", held_out.alias("held_out"), F.col("role").alias("role_pred"), F.size("roles").cast("long").alias("n_turns"), F.sha2("rendered", 256).alias("rendered_sha256"))
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = exact_dedup.exact_groups(table(spark, sf_dir, "documents"), digest_all=True)
     return groups.select("doc_id", "keep_id", "group_size", "kept", F.col("content_hash").alias("text_sha256"))
 
 
+def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_plan(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -54,8 +91,13 @@ def op10_audio_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_language_id": op1_language_id,
+        "op2_suffix_dedup": op2_suffix_dedup,
+        "op3_sentencepiece": op3_sentencepiece,
         "op4_secret_scan": op4_secret_scan,
+        "op5_line_dedup": op5_line_dedup,
+        "op6_chat_formatting": op6_chat_formatting,
         "op7_exact_dedup": op7_exact_dedup,
+        "op8_ngram_join": op8_ngram_join,
         "op9_mixing": op9_mixing,
         "op10_audio_features": op10_audio_features,
     }
