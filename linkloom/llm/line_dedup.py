@@ -7,7 +7,8 @@ can still match (the multi-match-aware positions); what meets is verified by a b
 
 Identical lines are merged by map-side partial aggregates before anything is joined, so the copies of a hot line are one
 row in the join. Signatures are 64-bit numbers computed in the scan: texts are only moved for lines that have a
-candidate, and once more to rewrite the documents.
+candidate, and once more to rewrite the documents. An edit changes the counts of characters by two at most, so lines
+whose counts of a few frequent characters are further apart never become a pair.
 """
 
 from __future__ import annotations
@@ -18,6 +19,8 @@ from .common import cut
 
 THRESHOLD = 2
 MIN_CHARS = 20
+#: Characters that are counted, each in a byte of one number.
+COUNTED = " entrai"
 
 
 def _segment(length: Column, i: int, parts: int) -> tuple[Column, Column]:
@@ -46,16 +49,38 @@ def probe_signatures(line: Column, threshold: int) -> list[Column]:
     return out
 
 
+def character_counts(line: Column) -> Column:
+    counts = F.lit(0).cast("long")
+    for k, c in enumerate(COUNTED):
+        counts = counts.bitwiseOR(F.shiftleft((F.length(line) - F.length(F.replace(line, F.lit(c), F.lit("")))).bitwiseAND(255).cast("long"), 8 * k))
+    return counts
+
+
+def counts_apart(a: Column, b: Column) -> Column:
+    """How far two numbers of character_counts are apart in all, counting modulo 256: at most twice the edit distance."""
+    total = F.lit(0).cast("long")
+    for k in range(len(COUNTED)):
+        x, y = (F.shiftright(c, 8 * k).bitwiseAND(255) for c in (a, b))
+        total = total + F.least(F.abs(x - y), 256 - F.abs(x - y))
+    return total
+
+
 def within_distance(a: Column, b: Column, threshold: int) -> Column:
     """Whether a and b are at most threshold edits apart, by bit vectors of the 2 * threshold + 1 diagonals around the main one.
 
     Bit d of a vector stands for row j - threshold + d of column j; vp and vn are the vertical steps up and down. The
     distance is followed along the highest diagonal down to the last row, then along that row. Rows that have left all
-    hope behind are passed over. Both strings must be longer than threshold.
+    hope behind are passed over. Both strings must be longer than threshold. One-element arrays give intermediate
+    results a name, so that each is computed once.
     """
     k, width = threshold, 2 * threshold + 1
     full = (1 << width) - 1
-    p, t = F.split(a, ""), F.split(b, "")
+    named = F.struct(F.split(a, "").alias("p"), F.split(b, "").alias("t"))
+    distance = F.get(F.transform(F.array(named), lambda s: _distance(s["p"], s["t"], k, width, full)), F.lit(0))
+    return (F.abs(F.length(a) - F.length(b)) <= k) & (distance <= k)
+
+
+def _distance(p: Column, t: Column, k: int, width: int, full: int) -> Column:
     m, n = F.size(p), F.size(t)
     start = F.struct(F.lit(((1 << (k + 1)) - 1) << k).alias("vp"), F.lit(0).alias("vn"), F.lit(k).alias("score"))
     hopeless = 2 * k + n - m
@@ -66,7 +91,6 @@ def within_distance(a: Column, b: Column, threshold: int) -> Column:
         for d in range(width):
             match = match + F.when(F.get(p, j - 1 - k + d) == char, F.lit(1 << d)).otherwise(F.lit(0))
         made = F.struct(match.alias("match"), acc.alias("old"))
-        # a one-element array gives the intermediate vectors a name, so that each is computed once
         named = F.transform(F.array(made), lambda s: F.struct(s["old"].alias("old"), ((s["match"].bitwiseAND(s["old"]["vp"]) + s["old"]["vp"]).bitwiseXOR(s["old"]["vp"]).bitwiseOR(s["match"]).bitwiseOR(s["old"]["vn"])).bitwiseAND(full).alias("d0")))
         named = F.transform(named, lambda s: F.struct(s["old"]["score"].alias("score"), s["d0"].alias("d0"), s["old"]["vn"].bitwiseOR(F.lit(full) - s["d0"].bitwiseOR(s["old"]["vp"])).alias("hp"), s["d0"].bitwiseAND(s["old"]["vp"]).alias("hn")))
 
@@ -85,8 +109,7 @@ def within_distance(a: Column, b: Column, threshold: int) -> Column:
 
         return F.when(acc["score"] > hopeless, acc).otherwise(F.get(F.transform(named, next_state), F.lit(0)))
 
-    distance = F.aggregate(F.sequence(F.lit(1), n), start, column, lambda acc: acc["score"])
-    return (F.abs(m - n) <= k) & (distance <= k)
+    return F.aggregate(F.sequence(F.lit(1), n), start, column, lambda acc: acc["score"])
 
 
 def line_verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = THRESHOLD, min_chars: int = MIN_CHARS) -> DataFrame:
@@ -100,15 +123,19 @@ def line_verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         F.col(id_col).alias("id"), F.explode(F.array_distinct(F.filter(F.split(F.col(text_col), "\n"), lambda x: F.length(x) >= min_chars))).alias("line")
     )
     hashed = lines.select("id", "line", F.xxhash64("line").alias("h"), F.xxhash64(F.lit("second"), "line").alias("g"))
-    index = {f"i{n}": s for n, s in enumerate(index_signatures(F.col("line"), threshold))}
-    probe = {f"p{n}": s for n, s in enumerate(probe_signatures(F.col("line"), threshold))}
-    signed = hashed.select("id", "h", "g", *[s.alias(c) for c, s in (index | probe).items()])
-    # copies of a line have equal signatures: min() keeps them and lets hash aggregates merge the copies map-side
-    distinct = signed.groupBy("h", "g").agg(F.min("id").alias("first_id"), *[F.min(c).alias(c) for c in index | probe])
-
-    indexed = distinct.select(F.col("h").alias("a"), F.col("first_id").alias("a_id"), F.explode(F.array(*index)).alias("signature"))
-    probing = distinct.select(F.col("h").alias("b"), F.col("first_id").alias("b_id"), F.explode(F.array(*probe)).alias("signature"))
-    met = indexed.join(probing, "signature").filter("a_id <> b_id")
+
+    def distinct(signatures: list[Column]) -> tuple[DataFrame, list[str]]:
+        # copies of a line have equal signatures: min() keeps them and lets hash aggregates merge the copies map-side
+        names = [f"s{n}" for n in range(len(signatures))]
+        signed = hashed.select("id", "h", "g", character_counts(F.col("line")).alias("counts"), *[x.alias(c) for c, x in zip(names, signatures, strict=True)])
+        return signed.groupBy("h", "g").agg(F.min("id").alias("first_id"), F.max("id").alias("last_id"), F.min("counts").alias("counts"), *[F.min(c).alias(c) for c in names]), names
+
+    known, index = distinct(index_signatures(F.col("line"), threshold))
+    known = cut(known)
+    probes, probe = distinct(probe_signatures(F.col("line"), threshold))
+    indexed = known.select(F.col("h").alias("a"), F.col("first_id").alias("a_id"), F.col("counts").alias("a_counts"), F.explode(F.array(*index)).alias("signature"))
+    probing = probes.select(F.col("h").alias("b"), F.col("first_id").alias("b_id"), F.col("counts").alias("b_counts"), F.explode(F.array(*probe)).alias("signature"))
+    met = indexed.join(probing, "signature").filter((F.col("a_id") != F.col("b_id")) & (counts_apart(F.col("a_counts"), F.col("b_counts")) <= 2 * threshold))
     pairs = cut(met.select("a", "b").distinct())
 
     wanted = cut(pairs.select(F.col("a").alias("h")).union(pairs.select("b")).distinct())
@@ -116,12 +143,12 @@ def line_verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     side = lambda name: texts.select(F.col("h").alias(name), *[F.col(c).alias(f"{name}_{c}") for c in ("g", "id", "line")])
     near = pairs.join(side("a"), "a").join(side("b"), "b").filter(F.col("a_id") != F.col("b_id")).filter(within_distance(F.col("a_line"), F.col("b_line"), threshold))
     later = F.col("a_id") > F.col("b_id")
-    near = cut(near.select(F.when(later, F.col("a")).otherwise(F.col("b")).alias("h"), F.when(later, F.col("a_g")).otherwise(F.col("b_g")).alias("g")).distinct())
+    near = cut(near.select(F.when(later, F.col("a")).otherwise(F.col("b")).alias("h"), F.when(later, F.col("a_g")).otherwise(F.col("b_g")).alias("g"), F.lit(True).alias("near")).distinct())
 
-    copies = hashed.groupBy("h", "g").agg(F.min("id").alias("first_id"), F.max("id").alias("last_id")).filter("first_id <> last_id").select("h", "g", "first_id")
-    later_copies = hashed.select("id", "h", "g").join(copies, ["h", "g"]).filter("id > first_id").select("id", "h")
-    near_copies = hashed.select("id", "h", "g").join(near, ["h", "g"], "left_semi").select("id", "h")
-    return later_copies.union(near_copies).select(F.col("id").alias(id_col), F.col("h").alias("line_hash")).distinct()
+    # one verdict a line: later documents lose a copy, all lose a near copy of an earlier document's line
+    verdicts = known.filter("first_id <> last_id").select("h", "g", "first_id").join(near, ["h", "g"], "full")
+    hit = hashed.select("id", "h", "g").join(verdicts, ["h", "g"]).filter(F.col("near").isNotNull() | (F.col("id") > F.col("first_id")))
+    return hit.select(F.col("id").alias(id_col), F.col("h").alias("line_hash"))
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = THRESHOLD, min_chars: int = MIN_CHARS, report: bool = False) -> DataFrame:

@@ -7,8 +7,8 @@ each document takes the l of least estimated cost from the frequencies of its ow
 
 Any common order is right; the one here puts shingles that a sample finds frequent last, so boilerplate hardly stands in
 a prefix. Documents with equal sets are merged before the join. Pairs of a group of near copies are not all formed:
-first each document is held against the smallest and largest document it shares prefix shingles with, and what these
-links connect is one component; the full join then forms only pairs of different components.
+first each document is held against the one in the middle of those it shares prefix shingles with, and what these links
+connect is one component; the full join then forms only pairs of different components.
 """
 
 from __future__ import annotations
@@ -214,11 +214,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     own = F.least(F.array_min(cost)["k"], F.max(-F.floor(-F.col("n") * NUMERATOR / DENOMINATOR)))
     costs = cut(shared.groupBy("id").agg(own.alias("chosen")))
 
-    # star rounds: each document against the smallest and the largest one with which it shares most of its prefix
-    hubs = shared.groupBy("shingle").agg(F.min("id").alias("low"), F.max("id").alias("high"))
-    votes = shared.join(hubs, "shingle").select("id", "n", F.explode(F.array("low", "high")).alias("hub")).filter("hub <> id").groupBy("id", "hub", "n").agg(F.count("*").alias("votes"))
-    best = votes.filter(F.col("votes") * 4 >= base).groupBy("id").agg(F.max(F.struct("votes", "hub")).alias("best"))
-    edges = cut(verified(rows, cut(best.select(F.col("id").alias("a"), F.col("best.hub").alias("b")))).select(F.col("a").alias("u"), F.col("b").alias("v")))
+    # star rounds: of the documents with a shingle, the one that shares most of its own prefix stands in the middle of
+    # its near copies, which need not be near one another; each document is held against that one and the smallest
+    share = shared.groupBy("id").agg((F.count("*") / (F.floor(F.max("n") / DENOMINATOR) + LEVELS)).alias("share"))
+    hubs = shared.join(share, "id").groupBy("shingle").agg(F.max(F.struct("share", (-F.col("id")).alias("first"), "id"))["id"].alias("middle"), F.min("id").alias("low"))
+    votes = shared.join(hubs, "shingle").select("id", "n", F.posexplode(F.array("middle", "low")).alias("way", "hub")).filter("hub <> id").groupBy("id", "way", "hub", "n").agg(F.count("*").alias("votes"))
+    best = votes.filter(F.col("votes") * 4 >= base).groupBy("id", "way").agg(F.max(F.struct("votes", "hub")).alias("best"))
+    edges = cut(verified(rows, cut(best.select(F.col("id").alias("a"), F.col("best.hub").alias("b")).distinct())).select(F.col("a").alias("u"), F.col("b").alias("v")))
     rest = verified(rows, cut(_candidates(shared, costs, components(edges)))).select(F.col("a").alias("u"), F.col("b").alias("v"))
     roots = components(edges.union(rest))
 

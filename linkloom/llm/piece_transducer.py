@@ -5,8 +5,8 @@ whose final arcs cost minus the piece's score), and a byte fallback (one costly
 of its UTF-8 bytes). Composing them with an input gives an acyclic lattice over the input's symbols; its shortest path in
 the tropical semiring (costs add along a path, the least path wins) is the encoding.
 
-No piece has a symbol after which the escaped space comes, and none joins a line end with anything, so every path of the
-lattice passes through the states at these places. The shortest path is thus the shortest paths of the stretches between
+In no piece does the escaped space follow another symbol, and some line characters stand in no piece with others, so every
+path of the lattice passes through the states at these places. The shortest path is thus the shortest paths of the stretches between
 them, one after the other, and stretches seen before are taken from a bounded memo.
 """
 
@@ -133,9 +133,9 @@ def compile_transducer(pieces: list[tuple[str, float, str]], rules: dict[str, st
             if score > -1e8:
                 dearest = max(dearest, -score)
     normal = [text for text, _, kind in pieces if kind == "piece"]
-    splits = not any(SPACE in text.lstrip(SPACE) or any(c in text for c in LINE_CHARS) for text in normal)
-    changed = any(c in symbols for c in LINE_CHARS) or any(v and SPACE in v for k, v in symbols.items() if k != " ")
-    stretches = re.compile(rf"[{LINE_CHARS}]| *[^ {LINE_CHARS}]+| +") if splits and not changed else None
+    alone = "".join(c for c in LINE_CHARS if c not in symbols and not any(c in text for text in normal if len(text) > 1))
+    whole = any(SPACE in text.lstrip(SPACE) for text in normal) or any(v and SPACE in v for k, v in symbols.items() if k != " ")
+    stretches = None if whole else re.compile(rf"[{alone}]| *[^ {alone}]+| +" if alone else " *[^ ]+| +")
     return PieceTransducer(root, symbols, byte_ids, dearest + FALLBACK_PENALTY, written, dummy_prefix, stretches)
 
 

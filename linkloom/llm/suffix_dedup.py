@@ -120,26 +120,40 @@ class Stretches:
 def transform(strings: list[bytes]) -> bytes:
     """The Burrows-Wheeler transform of strings, as little-endian 16-bit symbols: a byte plus 1, or 0 before a string's start.
 
-    Suffixes are sorted once, by doubling: ranks by d symbols give ranks by 2 d. Ties, between suffixes of different
-    strings that run to their ends, stand in order of the strings.
+    Suffixes are sorted once, by doubling: ranks by d symbols give ranks by 2 d, until all differ. Equal suffixes that
+    run to their strings' ends stand in order of the strings. Sort keys hold the position in their low bits, so that
+    plain sorts of numbers do.
     """
     lengths = np.array([len(s) + 1 for s in strings])
     ends = np.cumsum(lengths)
-    symbols = np.frombuffer(b"\0".join(strings) + b"\0", dtype=np.uint8).astype(np.int64) + 1
+    n = int(ends[-1])
+    symbols = np.zeros(n + 4, dtype=np.int64)
+    symbols[:n] = np.frombuffer(b"\0".join(strings) + b"\0", dtype=np.uint8)
+    symbols[:n] += 1
     symbols[ends - 1] = 0
-    n = len(symbols)
     to_end = np.repeat(ends, lengths) - np.arange(n)
-    rank = np.zeros(n, dtype=np.int64)
-    for k in range(6):  # six symbols of nine bits
-        ahead = np.where(to_end > k, symbols[np.minimum(np.arange(n) + k, n - 1)], 0)
-        rank = rank << 9 | ahead
-    rank = np.unique(rank, return_inverse=True)[1]
-    done, longest = 6, int(lengths.max())
-    while done < longest:
-        ahead = np.where(to_end > done, rank[np.minimum(np.arange(n) + done, n - 1)] + 1, 0)
-        rank = np.unique(rank * (n + 1) + ahead, return_inverse=True)[1]
+    key = np.zeros(n, dtype=np.int64)
+    for k in range(4):
+        key = key << 9 | np.where(to_end > k, symbols[k : n + k], 0)
+    bits, done = max(1, n.bit_length()), 4
+    while True:
+        if key.max() < 1 << (63 - bits):
+            key = np.sort(key << bits | np.arange(n))
+            order = key & ((1 << bits) - 1)
+            key >>= bits
+        else:
+            order = np.argsort(key, kind="stable")
+            key = key[order]
+        border = np.ones(n, dtype=bool)
+        border[1:] = (key[1:] != key[:-1]) | (to_end[order[1:]] <= done)
+        if border.all():
+            break
+        rank = np.empty(n + 1, dtype=np.int64)
+        rank[order] = np.cumsum(border)
+        rank[n] = 0
+        ahead = np.where(to_end > done, rank[np.minimum(np.arange(n) + done, n)], 0)
+        key = rank[:n] * (n + 1) + ahead
         done *= 2
-    order = np.argsort(rank, kind="stable")
     before = np.where(order > 0, symbols[order - 1], 0)
     return before.astype("<u2").tobytes()
 
@@ -150,44 +164,39 @@ def merge_transforms(transforms: list[np.ndarray], counts: list[int], depth: int
     Strings are numbered over all shards; transforms[i] has counts[i] of them. Suffixes with one block have a common
     prefix of depth symbols. depth must be even.
     """
-    symbol = np.concatenate(transforms).astype(np.int64)
+    symbol = np.concatenate(transforms).astype(np.int32)
     bases = np.concatenate([[0], np.cumsum([len(t) for t in transforms])[:-1]])
-    previous = np.empty(len(symbol), dtype=np.int64)  # of the suffix x in order: where the suffix with one more symbol stands
+    previous = np.empty(len(symbol), dtype=np.int32)  # of the suffix x in order: where the suffix with one more symbol stands
     for t, base in zip(transforms, bases, strict=True):
-        sorted_back = np.argsort(t, kind="stable")
-        previous[base + sorted_back] = base + np.arange(len(t))
-    begins = symbol == 0
+        previous[base + np.argsort(t, kind="stable")] = base + np.arange(len(t))
 
     # walking back from the terminators, which stand first and in order of the strings, places every suffix
-    string, from_end = np.empty(len(symbol), dtype=np.int64), np.empty(len(symbol), dtype=np.int64)
+    string, from_end = np.empty(len(symbol), dtype=np.int32), np.empty(len(symbol), dtype=np.int32)
     x = np.concatenate([base + np.arange(c) for base, c in zip(bases, counts, strict=True)])
     s, lengths, k = np.arange(len(x)), np.zeros(len(x), dtype=np.int64), 0
     while len(x):
         string[x], from_end[x] = s, k
-        at_start = begins[x]
-        lengths[s[at_start]] = k
-        x, s, k = previous[x[~at_start]], s[~at_start], k + 1
-
-    # the interleave: all suffixes in one block at depth 0, refined by two symbols a round
-    second = np.where(begins, -1, previous)
-    has_two = ~begins & ~begins[np.maximum(second, 0)]
-    pair = np.where(has_two, symbol[np.maximum(second, 0)] - 1 << 8 | symbol - 1, 0).astype(np.uint16)
-    two_back = np.where(has_two, previous[np.maximum(second, 0)], -1)
-    order = np.flatnonzero(has_two)
-    block = np.zeros(len(order), dtype=np.int64)
-    for round_ in range(depth // 2):
-        by_symbol = np.argsort(pair[order], kind="stable")
-        moved, block = order[by_symbol], block[by_symbol]
-        symbols = pair[moved]
-        order = two_back[moved]
-        border = np.ones(len(order), dtype=bool)
-        border[1:] = (symbols[1:] != symbols[:-1]) | (block[1:] != block[:-1])
-        block = np.cumsum(border)
+        inside = symbol[x] != 0
+        lengths[s[~inside]] = k
+        x, s, k = previous[x[inside]], s[inside], k + 1
+    offset = lengths[string] - from_end
+
+    # the interleave, refined by two symbols a round, and only of suffixes that end as ones of at least depth symbols:
+    # these begin depth symbols further on, all in one block, and every round takes them two symbols back
+    order = np.flatnonzero(offset >= depth)
+    block = np.zeros(len(order), dtype=np.int32)
+    for _ in range(depth // 2):
+        one_back = previous[order]
+        pair = (symbol[one_back] - 1 << 8 | symbol[order] - 1).astype(np.uint16)
+        by_symbol = np.argsort(pair, kind="stable")
+        pair, block, order = pair[by_symbol], block[by_symbol], previous[one_back[by_symbol]]
+        border = np.ones(len(order) + 1, dtype=bool)
+        border[1:-1] = (pair[1:] != pair[:-1]) | (block[1:] != block[:-1])
         # a suffix alone in its block stays alone, and so do those that begin before it
-        alone = border & np.concatenate([border[1:], [True]])
-        go_on = ~alone & has_two[order] if round_ < depth // 2 - 1 else ~alone
-        order, block = order[go_on], block[go_on]
-    return string[order], lengths[string[order]] - from_end[order], block, lengths
+        go_on = ~(border[:-1] & border[1:])
+        block = np.cumsum(border[:-1], dtype=np.int32)[go_on]
+        order = order[go_on]
+    return string[order], offset[order], block, lengths
 
 
 def _rows(schema: str):
@@ -230,18 +239,16 @@ def removed_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     name_schema, shared_schema, block_schema, out_schema = map(_rows, (name_rows, shared_rows, block_rows, out_rows))
 
     def name_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = Stretches(_encoded(batch.column("text")))
-            if not len(found.name):
-                continue
+        for part in (p for batch in batches for p in pa.table(batch).to_batches(max_chunksize=2000)):
+            found = Stretches(_encoded(part.column("text")))
             name, doc = _distinct(found.name, found.doc)
-            shard = batch.column("shard").to_numpy(zero_copy_only=False)[doc]
-            out = [(b, name[p].tobytes(), shard[p].astype(np.int64).tobytes()) for b, p in _grouped((name % np.uint64(n_buckets)).astype(np.int64))]
-            yield pa.RecordBatch.from_pylist([dict(zip(("bucket", "names", "shards"), x, strict=True)) for x in out], name_schema)
+            shard = part.column("shard").to_numpy(zero_copy_only=False)[doc]
+            out = [{"bucket": b, "names": name[p].tobytes(), "shards": shard[p].astype(np.int32).tobytes()} for b, p in _grouped((name % np.uint64(n_buckets)).astype(np.int64))]
+            yield pa.RecordBatch.from_pylist(out, name_schema)
 
     def shared_names(table: pa.Table) -> pa.Table:
         name = np.concatenate([np.frombuffer(x, np.uint64) for x in table.column("names").to_pylist()])
-        shard = np.concatenate([np.frombuffer(x, np.int64) for x in table.column("shards").to_pylist()])
+        shard = np.concatenate([np.frombuffer(x, np.int32) for x in table.column("shards").to_pylist()])
         order = np.argsort(name, kind="stable")
         name, shard = name[order], shard[order]
         same = name[1:] == name[:-1]
