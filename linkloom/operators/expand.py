@@ -12,6 +12,7 @@ from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 from ..functions import rules
 from ..functions.classify import shared_api
@@ -109,7 +110,7 @@ def _search_url(year: Column, issue: Column) -> Column:
     return F.when(_filled(year) & _filled(issue) & has_route("/search"), F.concat("site_origin", F.lit("/#/search?issue="), issue, F.lit("&year="), year))
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(ArrayType(StringType()))
 def _channel_items(bodies: pd.Series) -> pd.Series:
     """Items of all channels of a tree, depth first, each as JSON; a tree has any depth, which no fixed schema has."""
 
@@ -255,7 +256,7 @@ def pagination_plan(responses: DataFrame, max_pages: int = 0) -> DataFrame:
     return pages.withColumn("__n", F.row_number().over(first)).filter("__n = 1").select(*KEYS, F.col("api").alias("url"), "payload", "page", "request")
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(ArrayType(StringType()))
 def json_strings(bodies: pd.Series) -> pd.Series:
     """All string values of a JSON text, in order, at any depth."""
 

@@ -6,6 +6,7 @@ import html
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.types import StringType
 
 from ..functions import rules
 from ..functions.classify import portal_page, relative_allowed, script_worth_reading, tag_like, urlish
@@ -14,7 +15,7 @@ from ..functions.urls import contains_any, encoded, js_call, normalize, spa_rout
 SITE = ["site_key", "site_host", "site_origin", "site_family"]
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _unescape(values: pd.Series) -> pd.Series:
     return values.map(lambda v: v if v is None else html.unescape(v))
 
