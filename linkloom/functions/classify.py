@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from . import rules
-from .urls import contains_any, filename, query_pairs, query_params, route_of, segments, starts_with_any
+from .urls import contains_any, filename, query_pairs, query_params, route_of, segments, settled, starts_with_any
 
 
 def _lower_path(url: str) -> Column:
@@ -210,4 +210,5 @@ def classified(df: DataFrame, url: str = "url", aggressive: bool = True, visit_l
     """df with same_site, queueable, page_kind (resource unless queueable) and should_visit of url."""
     df = df.withColumns({"same_site": same_site(url), "queueable": queueable(url), "__kind": page_kind(url)})
     visit = should_visit(F.col("__kind"), F.col("queueable"), aggressive, visit_leaf_pages)
-    return df.withColumns({"page_kind": F.when(F.col("queueable"), F.col("__kind")).otherwise("resource"), "should_visit": visit}).drop("__kind")
+    df = df.withColumns({"page_kind": F.when(F.col("queueable"), F.col("__kind")).otherwise("resource"), "should_visit": visit}).drop("__kind")
+    return settled(df, "same_site", "queueable", "page_kind", "should_visit")

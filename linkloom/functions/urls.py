@@ -204,6 +204,13 @@ def joined(base: Column, ref: Column) -> Column:
     )
 
 
+def settled(df: DataFrame, *names: str) -> DataFrame:
+    """df with the named columns computed at this point of the plan: a filter on them is not pushed below, into copies of what they are made of."""
+    rest = [c for c in df.columns if c not in names]
+    made = F.named_struct(*[x for n in names for x in (F.lit(n), F.col(n))])
+    return df.select(*rest, F.explode(F.array(made)).alias("__settled")).select(*rest, *[F.col("__settled")[n].alias(n) for n in names])
+
+
 def normalize(df: DataFrame, raw: str, base: str | None = None, out: str = "url") -> DataFrame:
     """df with the normalised URL of column raw as out, null where there is none, and its parts as out_scheme, out_host, out_path, out_query, out_fragment.
 
@@ -221,7 +228,7 @@ def normalize(df: DataFrame, raw: str, base: str | None = None, out: str = "url"
     df = df.withColumn(t["c"], F.when(~c.contains("://") & c.rlike(broken), repaired).otherwise(c))
     placed = F.when(c.startswith("#/"), F.concat(F.col("site_origin"), F.lit("/"), c)).when(routes & starts_with_any(c, rules.ROUTE_PREFIXES), F.concat(F.col("site_origin"), F.lit("/#"), c))
     flat = F.regexp_replace(c, "[\\t\\r\\n]", "")
-    placed = placed.otherwise(joined(F.col(base), flat) if base else flat)
+    placed = placed.otherwise(F.when(F.col(base).isNull(), flat).otherwise(joined(F.col(base), flat)) if base else flat)
     df = df.withColumn(t["c"], F.when(~c.rlike(f"(?i)^(?:{rules.PSEUDO_SCHEMES})"), placed))
     inner = "(?i)/(?:.*?/)?(https?):/([^/].*)$"
     web = F.lower(part(c, 1)).isin("http", "https") & (part(c, 2) != "")
@@ -245,7 +252,8 @@ def normalize(df: DataFrame, raw: str, base: str | None = None, out: str = "url"
     good = scheme.isin("http", "https") & (host != "") & F.col(f"{t['p']}_port_ok")
     whole = _assembled(F.col(f"{out}_scheme"), F.col(f"{t['p']}_netloc"), F.col(f"{out}_path"), F.col(f"{out}_query"), F.col(f"{out}_fragment"))
     df = df.withColumn(out, F.when(scheme == "blob", c).when(good, whole))
-    return df.drop(*t.values(), *[f"{t['p']}_{x}" for x in ("host", "port", "port_ok", "netloc")])
+    df = df.drop(*t.values(), *[f"{t['p']}_{x}" for x in ("host", "port", "port_ok", "netloc")])
+    return settled(df, out, *[f"{out}_{x}" for x in ("scheme", "host", "path", "query", "fragment")])
 
 
 def normalize_seed(df: DataFrame, raw: str, out: str = "url") -> DataFrame:
@@ -265,4 +273,5 @@ def normalize_seed(df: DataFrame, raw: str, out: str = "url") -> DataFrame:
             f"{out}_origin": F.when(good, F.concat(F.col("__seed_scheme"), F.lit("://"), F.col("__seed_p_netloc"))),
         }
     )
-    return df.drop("__seed", "__seed_scheme", *[f"__seed_p_{x}" for x in ("host", "port", "port_ok", "netloc")])
+    df = df.drop("__seed", "__seed_scheme", *[f"__seed_p_{x}" for x in ("host", "port", "port_ok", "netloc")])
+    return settled(df, out, f"{out}_site_key", f"{out}_host", f"{out}_origin")

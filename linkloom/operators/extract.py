@@ -106,7 +106,7 @@ def issue_list_links(pages: DataFrame, text: str = "html", keep: tuple[str, ...]
     quarters = F.array_distinct(F.transform(F.regexp_extract_all(F.col(text), F.lit(rules.QUARTER_ID), F.lit(1)), lambda q: F.struct(F.substring_index(q, ":", 1).alias("year"), F.substring_index(q, ":", -1).cast("int").alias("quarter"))))
     known = F.filter(quarters, lambda q: F.array_contains(years, q["year"]))
     actions = F.array_distinct(F.regexp_extract_all(F.col(text), F.lit(rules.ISSUE_LIST_ACTION), F.lit(2)))
-    rows = mine.select(*keys, known.alias("known"), F.explode(actions).alias("action")).withColumn("action", strip(unescaped(F.col("action")))).filter("action <> ''")
+    rows = mine.select(*keys, known.alias("known"), actions.alias("actions")).select(*keys, "known", F.explode("actions").alias("action")).withColumn("action", strip(unescaped(F.col("action")))).filter("action <> ''")
     based = normalize(rows.withColumn("base", F.coalesce("source_url", F.concat("site_origin", F.lit("/")))), "action", "base", "list")
     host = F.regexp_extract(F.col("list"), "^[^?#]*", 0)
     built = based.filter("list is not null").select(*keys, host.alias("page"), F.explode("known").alias("q"))

@@ -34,9 +34,9 @@ def pairs(q: str) -> str:
 
 
 def sort_query(q: str) -> str:
-    named = f"list_transform({pairs(q)}, lambda s: {{'k': regexp_replace(s.k, '^(amp;)+', '', 'i'), 'v': s.v}})"
-    kept = f"list_sort(list_filter({named}, lambda s: s.v <> '' AND s.k <> '' AND s.k NOT IN ({names(rules.TRACKING_KEYS)})))"
-    return f"coalesce(array_to_string(list_transform({kept}, lambda s: {encode('s.k')} || '=' || {encode('s.v')}), '&'), '')"
+    named = f"list_transform({pairs(q)}, lambda kv: {{'k': regexp_replace(kv.k, '^(amp;)+', '', 'i'), 'v': kv.v}})"
+    kept = f"list_sort(list_filter({named}, lambda kv: kv.v <> '' AND kv.k <> '' AND kv.k NOT IN ({names(rules.TRACKING_KEYS)})))"
+    return f"coalesce(array_to_string(list_transform({kept}, lambda kv: {encode('kv.k')} || '=' || {encode('kv.v')}), '&'), '')"
 
 
 def whole(scheme: str, netloc: str, path: str, query: str, fragment: str) -> str:
@@ -100,7 +100,7 @@ raw AS (SELECT * FROM raw0 WHERE raw_url IS NOT NULL)"""
 _UNSAFE = f"""(list_bool_or(list_transform(string_split(lower(path), '/'), lambda s: s IN ({names(rules.UNSAFE_SEGMENTS)})))
   OR coalesce((SELECT k || '=' || v IN ({names(rules.UNSAFE_PAIRS)}) OR v NOT IN ({names(rules.HARMLESS_VALUES)}) FROM (
     SELECT lower(list_first(hits).k) AS k, lower(list_first(hits).v) AS v FROM (SELECT list_filter({{pairs}},
-      lambda s: lower(s.k) || '=' || lower(s.v) IN ({names(rules.UNSAFE_PAIRS)}) OR lower(s.k) IN ({names(rules.DESTRUCTIVE_KEYS)})) AS hits))), false))"""
+      lambda kv: lower(kv.k) || '=' || lower(kv.v) IN ({names(rules.UNSAFE_PAIRS)}) OR lower(kv.k) IN ({names(rules.DESTRUCTIVE_KEYS)})) AS hits))), false))"""
 
 
 def unsafe() -> str:
