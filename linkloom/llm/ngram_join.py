@@ -177,13 +177,16 @@ def _candidates(shared: DataFrame, costs: DataFrame, roots: DataFrame) -> DataFr
     """Pairs (a, b) of different components that share as many prefix shingles as the larger one's level asks for."""
     placed = shared.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id")).join(costs, "id")
     mixed = placed.groupBy("shingle").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("shingle")
-    placed = cut(placed.join(mixed, "shingle").select("shingle", "id", "n", "level", "root", "chosen"))
-    a = placed.select("shingle", *[F.col(c).alias(f"a_{c}") for c in ("id", "n", "level", "root", "chosen")])
-    b = placed.select("shingle", *[F.col(c).alias(f"b_{c}") for c in ("id", "n", "level", "root")])
+    placed = cut(placed.join(mixed, "shingle").select("shingle", "id", "n", "at", "root", "chosen"))
+    a = placed.select("shingle", *[F.col(c).alias(f"a_{c}") for c in ("id", "n", "at", "root", "chosen")])
+    b = placed.select("shingle", *[F.col(c).alias(f"b_{c}") for c in ("id", "n", "at", "root")])
     asked = F.least(F.col("a_chosen"), -F.floor(-F.col("b_n") * NUMERATOR / DENOMINATOR))
     larger = (F.col("b_n") < F.col("a_n")) | ((F.col("b_n") == F.col("a_n")) & (F.col("b_id") < F.col("a_id")))
     fits = larger & (F.col("b_n") * DENOMINATOR >= F.col("a_n") * NUMERATOR) & (F.col("a_root") != F.col("b_root"))
-    met = a.join(b, "shingle").filter(fits & (F.col("a_level") <= asked) & (F.col("b_level") <= asked))
+    # sets of these sizes need an overlap that leaves them prefixes shorter than those for any partner
+    overlap = -F.floor(-(F.col("a_n") + F.col("b_n")) * NUMERATOR / (NUMERATOR + DENOMINATOR))
+    inside = (F.col("a_at") < F.col("a_n") - overlap + asked) & (F.col("b_at") < F.col("b_n") - overlap + asked)
+    met = a.join(b, "shingle").filter(fits & inside)
     counted = met.groupBy(F.col("a_id").alias("a"), F.col("b_id").alias("b")).agg(F.count("*").alias("met"), F.max(asked).alias("asked"))
     return counted.filter("met >= asked").select("a", "b")
 
@@ -204,7 +207,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     alone = named.select("id", "n", "prefix").join(copies.filter("id <> rep").select("id"), "id", "left_anti")
 
     base = F.floor(F.col("n") / DENOMINATOR) + 1
-    entries = alone.select("id", "n", F.posexplode("prefix").alias("at", "shingle")).select("id", "n", "shingle", F.greatest(F.lit(1), F.col("at") - base + 2).cast("int").alias("level"))
+    entries = alone.select("id", "n", F.posexplode("prefix").alias("at", "shingle")).select("id", "n", "shingle", "at", F.greatest(F.lit(1), F.col("at") - base + 2).cast("int").alias("level"))
     repeated = entries.groupBy("shingle").agg(F.count("*").alias("df")).filter("df > 1")
     shared = cut(entries.join(repeated, "shingle"))
 
