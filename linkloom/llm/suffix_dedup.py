@@ -26,8 +26,9 @@ SEED_BYTES = 20
 #: Starts in a stretch: they fit the bits of one number.
 STRETCH = 32
 #: Text of a shard, and names in a bucket, on average.
-SHARD_BYTES, BUCKET_NAMES = 8 << 20, 250_000
-PIECE = 1 << 20
+SHARD_BYTES, BUCKET_NAMES = 8 << 20, 125_000
+#: Bytes hashed at once, and stretches unpacked at once: their arrays stay in a core's cache.
+PIECE, CHUNK = 1 << 17, 1 << 13
 LAST = np.iinfo(np.int64).max
 
 _BASE = 0x9E3779B97F4A7C15
@@ -171,32 +172,48 @@ def merge_transforms(transforms: list[np.ndarray], counts: list[int], depth: int
         previous[base + np.argsort(t, kind="stable")] = base + np.arange(len(t))
 
     # walking back from the terminators, which stand first and in order of the strings, places every suffix
-    string, from_end = np.empty(len(symbol), dtype=np.int32), np.empty(len(symbol), dtype=np.int32)
+    place = np.empty(len(symbol), dtype=np.int64)  # string and distance from its end
+    back = previous.astype(np.int64) << 16 | symbol
     x = np.concatenate([base + np.arange(c) for base, c in zip(bases, counts, strict=True)])
-    s, lengths, k = np.arange(len(x)), np.zeros(len(x), dtype=np.int64), 0
+    s, k = np.arange(len(x)), 0
+    lengths = np.zeros(len(x), dtype=np.int64)
     while len(x):
-        string[x], from_end[x] = s, k
-        inside = symbol[x] != 0
+        place[x] = s << 16 | k
+        step = back[x]
+        inside = (step & 0xFFFF) != 0
         lengths[s[~inside]] = k
-        x, s, k = previous[x[inside]], s[inside], k + 1
-    offset = lengths[string] - from_end
+        x, s, k = step[inside] >> 16, s[inside], k + 1
 
     # the interleave, refined by two symbols a round, and only of suffixes that end as ones of at least depth symbols:
     # these begin depth symbols further on, all in one block, and every round takes them two symbols back
-    order = np.flatnonzero(offset >= depth)
+    string = place >> 16
+    order = np.flatnonzero(lengths[string] - (place & 0xFFFF) >= depth)
+    del string
+    # of each suffix: where the one with two more symbols stands, and these two; one look-up a round
+    back = previous[previous].astype(np.int64) << 16 | (symbol[previous] - 1 & 0xFF) << 8 | (symbol - 1 & 0xFF)
     block = np.zeros(len(order), dtype=np.int32)
     for _ in range(depth // 2):
-        one_back = previous[order]
-        pair = (symbol[one_back] - 1 << 8 | symbol[order] - 1).astype(np.uint16)
+        step = back[order]
+        pair = (step & 0xFFFF).astype(np.uint16)
         by_symbol = np.argsort(pair, kind="stable")
-        pair, block, order = pair[by_symbol], block[by_symbol], previous[one_back[by_symbol]]
+        pair, block, order = pair[by_symbol], block[by_symbol], (step >> 16)[by_symbol]
         border = np.ones(len(order) + 1, dtype=bool)
         border[1:-1] = (pair[1:] != pair[:-1]) | (block[1:] != block[:-1])
         # a suffix alone in its block stays alone, and so do those that begin before it
         go_on = ~(border[:-1] & border[1:])
         block = np.cumsum(border[:-1], dtype=np.int32)[go_on]
         order = order[go_on]
-    return string[order], offset[order], block, lengths
+    string = place[order] >> 16
+    return string, lengths[string] - (place[order] & 0xFFFF), block, lengths
+
+
+def packed(transformed: bytes) -> bytes:
+    """A transform in one byte a symbol: 255, which UTF-8 does not have, is the place before a string's start."""
+    return (np.frombuffer(transformed, "<u2") - np.uint16(1)).astype(np.uint8).tobytes()
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    return (np.frombuffer(data, np.uint8) + np.uint8(1)).astype(np.uint16)
 
 
 def _rows(schema: str):
@@ -220,11 +237,12 @@ def _grouped(keys: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
         yield value, part
 
 
-def removed_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row: id, text, starts (binary of 64-bit numbers): where in the text's bytes a string of WINDOW bytes starts that also starts in a document of smaller id.
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per row: id, n_bytes, n_removed, n_spans, kept (binary), spans (array of start, end in bytes).
 
-    Ids are integers; a null id counts as larger than all others, and rows of one id as one document. A null text is
-    empty. Texts under WINDOW bytes have no starts.
+    A byte is removed when a string of WINDOW bytes covers it that also starts in a document of smaller id. Ids are
+    integers; a null id counts as larger than all others, and rows of one id as one document. A null text is empty.
+    Texts under WINDOW bytes stay whole. An empty table gives no rows; other columns are not read.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -235,7 +253,7 @@ def removed_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     name_rows = "bucket long, names binary, shards binary"
     shared_rows = "shard long, kind int, bucket long, data binary"
     block_rows = "bucket long, shard long, transform binary, ids binary"
-    out_rows = "id long, text string, starts binary"
+    out_rows = "id long, n_bytes long, n_removed long, n_spans long, kept binary, spans array<struct<start: long, end: long>>"
     name_schema, shared_schema, block_schema, out_schema = map(_rows, (name_rows, shared_rows, block_rows, out_rows))
 
     def name_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -285,13 +303,13 @@ def removed_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         for b, p in _grouped(bucket):
             mine = lead[p]
             strings = [texts[d][at : at + n + WINDOW - 1] for d, at, n in zip(found.doc[mine], found.at[mine], found.starts[mine], strict=True)]
-            out.append({"bucket": b, "shard": docs_part.column("shard")[0].as_py(), "transform": transform(strings), "ids": ids[found.doc[mine]].tobytes()})
+            out.append({"bucket": b, "shard": docs_part.column("shard")[0].as_py(), "transform": packed(transform(strings)), "ids": ids[found.doc[mine]].tobytes()})
         return pa.Table.from_pylist(out, block_schema)
 
     def merge_pass(table: pa.Table) -> pa.Table:
         blocks = sorted(table.to_pylist(), key=lambda r: r["shard"])
         ids = [np.frombuffer(r["ids"], np.int64) for r in blocks]
-        string, offset, block, lengths = merge_transforms([np.frombuffer(r["transform"], "<u2") for r in blocks], [len(i) for i in ids])
+        string, offset, block, lengths = merge_transforms([unpacked(r["transform"]) for r in blocks], [len(i) for i in ids])
         own = np.concatenate(ids)
         mask = np.zeros(len(own), dtype=np.uint32)
         if len(string):
@@ -312,17 +330,25 @@ def removed_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         texts, ids, found, pick, number, lead, _ = shared_stretches(docs_part, answers)
         found_masks = {x["bucket"]: np.frombuffer(x["data"], np.uint32) for x in answers.to_pylist() if x["kind"] == 1}
         mask = np.concatenate([found_masks[b] for b in sorted(found_masks)]) if found_masks else np.zeros(0, np.uint32)
-        starts: list[np.ndarray] = [np.zeros(0, np.int64)] * len(texts)
-        if len(pick):
-            doc = found.doc[pick]
-            full = ids[doc] > ids[found.doc[lead]][number]
-            bits = np.where(full, np.uint32(0xFFFFFFFF), mask[number])
-            hits = (bits[:, None] >> np.arange(STRETCH, dtype=np.uint32) & 1).astype(bool) & (np.arange(STRETCH) < found.starts[pick][:, None])
-            which, shift = np.nonzero(hits)
-            at = found.at[pick][which] + shift
-            for d, p in _grouped(doc[which]):
-                starts[d] = np.sort(at[p])
-        return pa.table({"id": docs_part.column("id"), "text": docs_part.column("text"), "starts": pa.array([s.tobytes() for s in starts], pa.binary())}).cast(out_schema)
+        begins = np.cumsum([0, *map(len, texts)])
+        starts = np.zeros(begins[-1] + 1, dtype=bool)
+        for at in range(0, len(pick), CHUNK):
+            mine, which = pick[at : at + CHUNK], number[at : at + CHUNK]
+            full = ids[found.doc[mine]] > ids[found.doc[lead[which]]]
+            bits = np.where(full, np.uint32(0xFFFFFFFF), mask[which])
+            hits = (bits[:, None] >> np.arange(STRETCH, dtype=np.uint32) & 1).astype(bool) & (np.arange(STRETCH) < found.starts[mine][:, None])
+            row, shift = np.nonzero(hits)
+            starts[(begins[found.doc[mine]] + found.at[mine])[row] + shift] = True
+        first, last, owner = spans_of(np.flatnonzero(starts), begins)
+        edges = np.searchsorted(owner, np.arange(len(texts) + 1))
+        out = []
+        for d, (a, b, text) in enumerate(zip(edges, edges[1:], texts, strict=False)):
+            spans = list(zip((first[a:b] - begins[d]).tolist(), (last[a:b] - begins[d]).tolist(), strict=True))
+            borders = [0, *(x for span in spans for x in span), len(text)]
+            kept = b"".join(text[i:j] for i, j in zip(borders[::2], borders[1::2], strict=True)) if spans else text
+            out.append((len(text), len(text) - len(kept), len(spans), kept, [{"start": i, "end": j} for i, j in spans]))
+        columns = list(zip(*out, strict=True))
+        return pa.table([docs_part.column("id"), *(pa.array(c, t) for c, t in zip(columns, out_schema.types[1:], strict=True))], names=out_schema.names).cast(out_schema)
 
     answers = shared.unionByName(masks)
     return by_shard.cogroup(answers.groupBy("shard")).applyInArrow(remove_pass, out_rows).withColumnRenamed("id", id_col)
@@ -337,34 +363,12 @@ def _distinct(name: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return name[new], doc[new]
 
 
-def spans_of(starts: np.ndarray) -> list[tuple[int, int]]:
-    """Maximal runs (start, end) of the bytes that strings at these sorted starts cover."""
+def spans_of(starts: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Maximal runs (start, end, document) of the bytes that strings at these sorted starts cover, in documents that begin at begins, one after the other."""
     if not len(starts):
-        return []
-    new = np.flatnonzero(np.concatenate([[True], starts[1:] > starts[:-1] + WINDOW]))
+        none = np.zeros(0, np.int64)
+        return none, none, none
+    owner = np.searchsorted(begins, starts, side="right") - 1
+    new = np.flatnonzero(np.concatenate([[True], (starts[1:] > starts[:-1] + WINDOW) | (owner[1:] != owner[:-1])]))
     last = np.concatenate([new[1:], [len(starts)]]) - 1
-    return list(zip(starts[new].tolist(), (starts[last] + WINDOW).tolist(), strict=True))
-
-
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row: id, n_bytes, n_removed, n_spans, kept (binary), spans (array of start, end in bytes).
-
-    A byte is removed when a string of WINDOW bytes covers it that also starts in a document of smaller id; see
-    removed_windows for nulls and repeated ids. An empty table gives no rows; other columns are not read.
-    """
-    schema = f"{id_col} long, n_bytes long, n_removed long, n_spans long, kept binary, spans array<struct<start: long, end: long>>"
-    arrow_schema = _rows(schema)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in pa.table(batch).to_batches(max_chunksize=500):
-                out = []
-                for i, text, starts in zip(*(part.column(c).to_pylist() for c in (id_col, "text", "starts")), strict=True):
-                    data = (text or "").encode("utf-8")
-                    spans = spans_of(np.frombuffer(starts, np.int64))
-                    borders = [0, *(x for span in spans for x in span), len(data)]
-                    kept = b"".join(data[a:b] for a, b in zip(borders[::2], borders[1::2], strict=True))
-                    out.append({id_col: i, "n_bytes": len(data), "n_removed": len(data) - len(kept), "n_spans": len(spans), "kept": kept, "spans": [{"start": a, "end": b} for a, b in spans]})
-                yield pa.RecordBatch.from_pylist(out, arrow_schema)
-
-    return removed_windows(docs, id_col, text_col).mapInArrow(run, schema)
+    return starts[new], starts[last] + WINDOW, owner[new]
