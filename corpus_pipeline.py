@@ -42,7 +42,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def in_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with their ids, and whether these decode to the text."""
     transducer = piece_transducer.compile_transducer(piece_transducer.read_vocabulary())
-    made = piece_transducer.decode_documents(piece_transducer.encode_documents(docs, transducer), transducer)
+    made = piece_transducer.encode_and_decode(docs, transducer)
     return made.withColumn("round_trip", piece_transducer.round_trips(F.col("text"), F.col("decoded"))).drop("decoded")
 
 

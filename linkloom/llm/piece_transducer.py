@@ -25,14 +25,14 @@ from pyspark.sql import Column, DataFrame, functions as F
 SPACE = "▁"
 DEFAULT_VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 LINE_CHARS = "\n\t\r"
-MEMO, MEMO_CHARS = 250_000, 40
+MEMO, MEMO_CHARS = 200_000, 40
 #: What the byte fallback costs above the dearest piece.
 FALLBACK_PENALTY = 10.0
 
 
 @dataclass
 class PieceTransducer:
-    """The compiled machines. symbols: the normaliser's output of each character that it changes, None to refuse it."""
+    """The compiled machines. root: the lexicon's arcs from its first state, each to (arcs, cost if a piece ends there, its id). symbols: the normaliser's output of each character that it changes, None to refuse it."""
 
     root: dict
     symbols: dict[str, str | None]
@@ -43,6 +43,9 @@ class PieceTransducer:
     stretches: re.Pattern | None
     memo: dict[str, tuple[int, ...]] = field(default_factory=dict, repr=False)
 
+    def __post_init__(self):
+        self.plain = self.symbols == {" ": SPACE, SPACE: None}
+
     def normalise(self, text: str) -> list[tuple[str, str]]:
         """(symbol, character) pairs; an empty symbol stands for a character that only the byte fallback reads."""
         out = []
@@ -53,33 +56,42 @@ class PieceTransducer:
 
     def shortest_path(self, text: str) -> tuple[int, ...]:
         """Ids on the least path of the lattice of text; of equal paths the one whose last differing arc is longer."""
-        tape = self.normalise(text)
+        if self.plain and SPACE not in text:
+            tape, read = text.replace(" ", SPACE), text
+        else:
+            pairs = self.normalise(text)
+            tape, read = [symbol for symbol, _ in pairs], [c for _, c in pairs]
         n = len(tape)
-        cost = [0.0] + [float("inf")] * n
-        back: list[tuple[int, int]] = [(0, -1)] * (n + 1)
+        unreached = float("inf")
+        cost = [0.0] + [unreached] * n
+        came_from, by_piece = [0] * (n + 1), [-1] * (n + 1)
+        root, fallback_cost = self.root, self.fallback_cost
         for start in range(n):
             so_far = cost[start]
-            node, at = self.root, start
+            arcs, at = root, start
             while at < n:
-                node = node.get(tape[at][0])
+                node = arcs.get(tape[at])
                 if node is None:
                     break
                 at += 1
-                final = node.get(None)
-                if final is not None and so_far + final[0] < cost[at]:
-                    cost[at] = so_far + final[0]
-                    back[at] = (start, final[1])
-            if so_far + self.fallback_cost < cost[start + 1]:
-                cost[start + 1] = so_far + self.fallback_cost
-                back[start + 1] = (start, -1)
+                arcs, final, piece = node
+                final += so_far
+                if final < cost[at]:
+                    cost[at] = final
+                    came_from[at] = start
+                    by_piece[at] = piece
+            if so_far + fallback_cost < cost[start + 1]:
+                cost[start + 1] = so_far + fallback_cost
+                came_from[start + 1] = start
+                by_piece[start + 1] = -1
         path: list[int] = []
         at = n
         while at:
-            start, piece = back[at]
+            start, piece = came_from[at], by_piece[at]
             if piece >= 0:
                 path.append(piece)
             else:
-                path += [self.byte_ids[b] for b in reversed(tape[start][1].encode("utf-8"))]
+                path += [self.byte_ids[b] for b in reversed(read[start].encode("utf-8"))]
             at = start
         return tuple(reversed(path))
 
@@ -125,11 +137,12 @@ def compile_transducer(pieces: list[tuple[str, float, str]], rules: dict[str, st
             written.append(b"")
         else:
             written.append(text.replace(SPACE, " ").encode("utf-8"))
-            node = root
+            arcs, node = root, None
             for c in text:
-                node = node.setdefault(c, {})
-            if None not in node or -score < node[None][0]:
-                node[None] = (-score, i)
+                node = arcs.setdefault(c, [{}, float("inf"), -1])
+                arcs = node[0]
+            if node and -score < node[1]:
+                node[1:] = [-score, i]
             if score > -1e8:
                 dearest = max(dearest, -score)
     normal = [text for text, _, kind in pieces if kind == "piece"]
@@ -184,5 +197,24 @@ def decode_documents(docs: DataFrame, transducer: PieceTransducer, ids_col: str
     return docs.withColumn(text_name, decoder(docs, transducer)(F.col(ids_col)))
 
 
+def encode_and_decode(docs: DataFrame, transducer: PieceTransducer, text_col: str = "text", ids_name: str = "piece_ids", text_name: str = "decoded") -> DataFrame:
+    """encode_documents and decode_documents of its ids in one Arrow pass, so that a task has one Python worker."""
+    shared = docs.sparkSession.sparkContext.broadcast(transducer)
+
+    @F.arrow_udf("struct<ids: array<int>, decoded: string>")
+    def both(texts: pa.Array) -> pa.Array:
+        values, ends, decoded = array("i"), array("i", [0]), []
+        for text in texts:
+            ids = shared.value.encode(text.as_py())
+            values.extend(ids)
+            ends.append(len(values))
+            decoded.append(shared.value.decode(ids))
+        lists = pa.ListArray.from_arrays(pa.array(np.frombuffer(ends, dtype=np.int32)), pa.array(np.frombuffer(values, dtype=np.int32) if len(values) else [], pa.int32()))
+        return pa.StructArray.from_arrays([lists, pa.array(decoded, pa.string())], names=["ids", "decoded"])
+
+    made = docs.withColumn("__pieces", both(F.col(text_col)))
+    return made.withColumns({ids_name: F.col("__pieces.ids"), text_name: F.col("__pieces.decoded")}).drop("__pieces")
+
+
 def round_trips(text: Column, decoded: Column) -> Column:
     return F.coalesce(text, F.lit("")) == decoded

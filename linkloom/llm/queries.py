@@ -25,7 +25,7 @@ def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     transducer = piece_transducer.compile_transducer(piece_transducer.read_vocabulary())
-    made = piece_transducer.decode_documents(piece_transducer.encode_documents(docs, transducer), transducer)
+    made = piece_transducer.encode_and_decode(docs, transducer)
     return made.select(
         "doc_id",
         F.size("piece_ids").cast("long").alias("n_pieces"),
