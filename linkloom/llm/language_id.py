@@ -25,7 +25,7 @@ ORDERS = (4, 3, 2, 1)
 #: The sample has about so many labelled rows of each language, and the model so many features of each order and language.
 SAMPLE_ROWS = 3000
 FEATURES = 20_000
-MEMO = 150_000
+MEMO = 40_000
 
 _LETTERS = re.compile(r"[^\W\d_]+")
 

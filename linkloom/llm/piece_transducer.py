@@ -14,18 +14,22 @@ from __future__ import annotations
 
 import re
 from array import array
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 #: The escaped space, and where the tokenizer files lie unless a path is given.
 SPACE = "▁"
 DEFAULT_VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 LINE_CHARS = "\n\t\r"
-MEMO, MEMO_CHARS = 200_000, 40
+MEMO, MEMO_CHARS = 100_000, 40
+#: Documents whose ids and texts are held at once.
+SLICE = 256
 #: What the byte fallback costs above the dearest piece.
 FALLBACK_PENALTY = 10.0
 
@@ -201,19 +205,21 @@ def encode_and_decode(docs: DataFrame, transducer: PieceTransducer, text_col: st
     """encode_documents and decode_documents of its ids in one Arrow pass, so that a task has one Python worker."""
     shared = docs.sparkSession.sparkContext.broadcast(transducer)
 
-    @F.arrow_udf("struct<ids: array<int>, decoded: string>")
-    def both(texts: pa.Array) -> pa.Array:
-        values, ends, decoded = array("i"), array("i", [0]), []
-        for text in texts:
-            ids = shared.value.encode(text.as_py())
-            values.extend(ids)
-            ends.append(len(values))
-            decoded.append(shared.value.decode(ids))
-        lists = pa.ListArray.from_arrays(pa.array(np.frombuffer(ends, dtype=np.int32)), pa.array(np.frombuffer(values, dtype=np.int32) if len(values) else [], pa.int32()))
-        return pa.StructArray.from_arrays([lists, pa.array(decoded, pa.string())], names=["ids", "decoded"])
-
-    made = docs.withColumn("__pieces", both(F.col(text_col)))
-    return made.withColumns({ids_name: F.col("__pieces.ids"), text_name: F.col("__pieces.decoded")}).drop("__pieces")
+    kept = docs.drop(ids_name, text_name)
+    schema = StructType([*kept.schema.fields, StructField(ids_name, ArrayType(IntegerType())), StructField(text_name, StringType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in (batch.slice(at, SLICE) for batch in batches for at in range(0, batch.num_rows, SLICE)):
+            values, ends, decoded = array("i"), array("i", [0]), []
+            for text in part.column(text_col):
+                ids = shared.value.encode(text.as_py())
+                values.extend(ids)
+                ends.append(len(values))
+                decoded.append(shared.value.decode(ids))
+            lists = pa.ListArray.from_arrays(pa.array(np.frombuffer(ends, dtype=np.int32)), pa.array(np.frombuffer(values, dtype=np.int32) if len(values) else [], pa.int32()))
+            yield pa.RecordBatch.from_arrays([*part.columns, lists, pa.array(decoded, pa.string())], names=schema.names)
+
+    return kept.mapInArrow(run, schema)
 
 
 def round_trips(text: Column, decoded: Column) -> Column:
