@@ -3,11 +3,15 @@
 Three machines are compiled from a vocabulary file: a normaliser (characters to symbols), a lexicon (a trie of pieces
 whose final arcs cost minus the piece's score), and a byte fallback (one costly arc a character, which writes the pieces
 of its UTF-8 bytes). Composing them with an input gives an acyclic lattice over the input's symbols; its shortest path in
-the tropical semiring (costs add along a path, the least path wins) is the encoding.
+the tropical semiring (costs add along a path, the least path wins) is the encoding of a unigram model.
+
+Scores of a BPE model are ranks of merges and do not add up. Its path through the same lattice starts as one arc a symbol;
+of all neighbours that one arc of the lexicon spans, those with the cheapest such arc give way to it, the leftmost first,
+until no two have one. These are the model's own merges.
 
 In no piece does the escaped space follow another symbol, and some line characters stand in no piece with others, so every
-path of the lattice passes through the states at these places. The shortest path is thus the shortest paths of the stretches between
-them, one after the other, and stretches seen before are taken from a bounded memo.
+path of the lattice passes through the states at these places, and no merge spans them. The path is thus the paths of the stretches
+between them, one after the other, and stretches seen before are taken from a bounded memo.
 """
 
 from __future__ import annotations
@@ -16,6 +20,7 @@ import re
 from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from heapq import heapify, heappop, heappush
 from pathlib import Path
 
 import numpy as np
@@ -34,6 +39,10 @@ SLICE = 256
 FALLBACK_PENALTY = 10.0
 
 
+class Merges(dict):
+    """A lexicon of a BPE model: the costs of its arcs are ranks of merges."""
+
+
 @dataclass
 class PieceTransducer:
     """The compiled machines. root: the lexicon's arcs from its first state, each to (arcs, cost if a piece ends there, its id). symbols: the normaliser's output of each character that it changes, None to refuse it."""
@@ -58,13 +67,56 @@ class PieceTransducer:
             out += [(s, c) for s in mapped] if mapped else [("", c)]
         return out
 
-    def shortest_path(self, text: str) -> tuple[int, ...]:
-        """Ids on the least path of the lattice of text; of equal paths the one whose last differing arc is longer."""
+    def path(self, text: str) -> tuple[int, ...]:
+        """Ids on the path that the model takes through the lattice of text."""
         if self.plain and SPACE not in text:
             tape, read = text.replace(" ", SPACE), text
         else:
             pairs = self.normalise(text)
             tape, read = [symbol for symbol, _ in pairs], [c for _, c in pairs]
+        return self.merged_path(tape, read) if isinstance(self.root, Merges) else self.shortest_path(tape, read)
+
+    def merged_path(self, tape: str | list[str], read: str | list[str]) -> tuple[int, ...]:
+        """Ids on the path that merges leave. An arc is known by the place where it starts; end is 0 once it is part of another."""
+        n = len(tape)
+        states = [self.root.get(symbol) for symbol in tape]
+        end, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        queue = []
+        for left in range(n - 1):
+            if states[left] and (joint := states[left][0].get(tape[left + 1])) and joint[2] >= 0:
+                queue.append((joint[1], left, left + 2, joint))
+        heapify(queue)
+        while queue:
+            _, left, stop, joint = heappop(queue)
+            right = end[left]
+            if not right or right == n or end[right] != stop:
+                continue
+            states[left], end[left], end[right] = joint, stop, 0
+            if stop < n:
+                before[stop] = left
+            for first, second in ((left, stop), (before[left], left)):
+                if first < 0 or second == n:
+                    continue
+                state = states[first]
+                for symbol in tape[second : end[second]]:
+                    if not state:
+                        break
+                    state = state[0].get(symbol)
+                if state and state[2] >= 0:
+                    heappush(queue, (state[1], first, end[second], state))
+        path: list[int] = []
+        at = 0
+        while at < n:
+            state = states[at]
+            if state and state[2] >= 0:
+                path.append(state[2])
+            else:
+                path += [self.byte_ids[b] for b in read[at].encode("utf-8")]
+            at = end[at]
+        return tuple(path)
+
+    def shortest_path(self, tape: str | list[str], read: str | list[str]) -> tuple[int, ...]:
+        """Ids on the least path of the lattice; of equal paths the one whose last differing arc is longer."""
         n = len(tape)
         unreached = float("inf")
         cost = [0.0] + [unreached] * n
@@ -105,13 +157,13 @@ class PieceTransducer:
             return out
         text = f" {text}" if self.dummy_prefix else text
         if self.stretches is None:
-            out.extend(self.shortest_path(text))
+            out.extend(self.path(text))
             return out
         memo = self.memo
         for stretch in self.stretches.findall(text):
             ids = memo.get(stretch)
             if ids is None:
-                ids = self.shortest_path(stretch)
+                ids = self.path(stretch)
                 if len(memo) < MEMO and len(stretch) <= MEMO_CHARS:
                     memo[stretch] = ids
             out.extend(ids)
@@ -124,13 +176,15 @@ class PieceTransducer:
 
 
 def compile_transducer(pieces: list[tuple[str, float, str]], rules: dict[str, str | None] | None = None, dummy_prefix: bool = True) -> PieceTransducer:
-    """A transducer of pieces (text, score, kind: piece, byte or control; the place is the id) and of normaliser rules.
+    """A transducer of pieces (text, score, kind: piece, merge, byte or control; the place is the id) and of normaliser rules.
+
+    Scores of the kind piece add up, those of the kind merge are ranks; a vocabulary has one of the two.
 
     The rules escape the space and refuse the escape character itself, which then takes the byte fallback and so stays
     apart from a space; rules may name further characters, at the price of the exact round trip.
     """
     symbols = {" ": SPACE, SPACE: None} | (rules or {})
-    root: dict = {}
+    root: dict = Merges() if any(kind == "merge" for _, _, kind in pieces) else {}
     byte_ids, written, dearest = [0] * 256, [], 0.0
     for i, (text, score, kind) in enumerate(pieces):
         if kind == "byte":
@@ -149,7 +203,7 @@ def compile_transducer(pieces: list[tuple[str, float, str]], rules: dict[str, st
                 node[1:] = [-score, i]
             if score > -1e8:
                 dearest = max(dearest, -score)
-    normal = [text for text, _, kind in pieces if kind == "piece"]
+    normal = [text for text, _, kind in pieces if kind in ("piece", "merge")]
     alone = "".join(c for c in LINE_CHARS if c not in symbols and not any(c in text for text in normal if len(text) > 1))
     whole = any(SPACE in text.lstrip(SPACE) for text in normal) or any(v and SPACE in v for k, v in symbols.items() if k != " ")
     stretches = None if whole else re.compile(rf"[{alone}]| *[^ {alone}]+| +" if alone else " *[^ ]+| +")
@@ -159,9 +213,12 @@ def compile_transducer(pieces: list[tuple[str, float, str]], rules: dict[str, st
 def read_vocabulary(path: str = DEFAULT_VOCABULARY) -> list[tuple[str, float, str]]:
     """Pieces of a SentencePiece model file, read once on the driver; executors get the compiled machine."""
     import sentencepiece
+    from sentencepiece import sentencepiece_model_pb2
 
+    proto = sentencepiece_model_pb2.ModelProto.FromString(Path(path).read_bytes())
+    plain = "merge" if proto.trainer_spec.model_type == proto.trainer_spec.BPE else "piece"
     model = sentencepiece.SentencePieceProcessor(model_proto=Path(path).read_bytes())
-    kind = lambda i: "byte" if model.is_byte(i) else "control" if model.is_control(i) or model.is_unknown(i) or model.is_unused(i) else "piece"
+    kind = lambda i: "byte" if model.is_byte(i) else "control" if model.is_control(i) or model.is_unknown(i) or model.is_unused(i) else plain
     return [(model.id_to_piece(i), model.get_score(i), kind(i)) for i in range(model.get_piece_size())]
 
 

@@ -87,6 +87,18 @@ def test_shortest_path_against_plain(transducer):
     assert list(whole.encode(sample)) == list(transducer.encode(sample))
 
 
+def test_pieces_are_the_models_own(transducer, documents):
+    import sentencepiece
+
+    library = sentencepiece.SentencePieceProcessor(model_file=piece_transducer.DEFAULT_VOCABULARY)
+    texts = [r["text"] for r in documents.filter("text is not null").collect()]
+    rng = random.Random(3)
+    texts += ["the river", "government information"]
+    texts += ["".join(rng.choices(["  ", " ", "the", "river", "ing", "é", "日本", "🙂", "\n", "\t", "12", "=="], k=rng.randrange(1, 30))) for _ in range(500)]
+    for text in texts:
+        assert list(transducer.encode(text)) == library.encode(text)
+
+
 ASSIGN = re.compile(r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 
 
