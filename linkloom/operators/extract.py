@@ -57,8 +57,8 @@ def links_of_text(text: Column, allow_relative: Column | bool, routes_family: Co
 
 def attributes(pages: DataFrame, text: str = "html") -> DataFrame:
     """Rows (…, attr, value) of the link attributes and onclick handlers in a column of HTML, entities undone, empty ones left out."""
-    limited = F.substring(F.coalesce(F.col(text), F.lit("")), 1, rules.HTML_LIMIT)
-    matches = F.arrays_zip(F.regexp_extract_all(limited, F.lit(rules.ATTRIBUTE), F.lit(1)).alias("attr"), F.regexp_extract_all(limited, F.lit(rules.ATTRIBUTE), F.lit(3)).alias("value"))
+    whole = F.coalesce(F.col(text), F.lit(""))
+    matches = F.arrays_zip(F.regexp_extract_all(whole, F.lit(rules.ATTRIBUTE), F.lit(1)).alias("attr"), F.regexp_extract_all(whole, F.lit(rules.ATTRIBUTE), F.lit(3)).alias("value"))
     rows = pages.select(*[c for c in pages.columns if c != text], F.posexplode(matches).alias("pos", "m"))
     return rows.select("*", F.lower("m.attr").alias("attr"), strip(unescaped(F.col("m.value"))).alias("value")).drop("m").filter("value <> ''")
 
@@ -81,8 +81,7 @@ def links_of_html(pages: DataFrame, text: str = "html", keep: tuple[str, ...] =
     whole = whole.select(*keys, "pos", F.coalesce("whole", "value").alias("raw_url"), F.lit("normalized").alias("raw_kind"))
     clicks = attrs.filter("attr = 'onclick'").select(*keys, "pos", onclick_url(F.col("value")).alias("raw_url"), F.lit("onclick").alias("raw_kind")).filter("raw_url is not null")
     last = F.lit(1 << 30)
-    limited = F.substring(F.coalesce(F.col(text), F.lit("")), 1, rules.HTML_LIMIT)
-    in_text = pages.select(*keys, last.alias("pos"), F.explode(links_of_text(limited, False, _routes_family())).alias("l")).select(*keys, "pos", "l.*")
+    in_text = pages.select(*keys, last.alias("pos"), F.explode(links_of_text(F.col(text), False, _routes_family())).alias("l")).select(*keys, "pos", "l.*")
     lists = issue_list_links(pages.select(*keys, text), text, keep).select(*keys, (last + 1).alias("pos"), F.col("issue_url").alias("raw_url"), F.lit("issue_list").alias("raw_kind"))
     return in_values.unionByName(whole).unionByName(clicks).unionByName(in_text).unionByName(lists)
 

@@ -60,6 +60,12 @@ def test_invariants(spark, found):
     assert again.filter("url <> twice or twice is null").count() == 0
 
 
+def test_links_of_long_pages(spark):
+    rows = [("h", "h", "http://h", "generic", "http://h/", f'<p>{"x " * 1_000_100}</p><a href="/far">far</a> see http://h/further now')]
+    pages = spark.createDataFrame(rows, "site_key string, site_host string, site_origin string, site_family string, source_url string, html string")
+    assert {r["url"] for r in graph.resolved(plans.raw_links(pages)).collect()} == {"http://h/", "http://h/far", "http://h/further"}
+
+
 def test_bfs_levels_on_cycles(spark):
     links = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("a", "a"), ("c", "d"), ("b", "d"), ("x", "y")], "src string, dst string")
     got = {r["node"]: r["depth"] for r in graph.bfs(links, spark.createDataFrame([("a",)], "node string")).collect()}
