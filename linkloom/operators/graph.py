@@ -170,7 +170,7 @@ def classic_expansion(start: DataFrame, pages: DataFrame, limit: int = 256) -> D
     """Rows (root, url, depth) reached from rows (SITE, root, url) over captured list pages of the portal family.
 
     A breadth-first search of its own for each root, over list pages only; pages that ask for a code are passed over,
-    and no root takes more than `limit` pages, in order of depth and URL.
+    and no root takes more than `limit` pages, in order of depth and URL. Only captured pages count.
     """
     from pyspark.sql import Window
 
@@ -182,6 +182,9 @@ def classic_expansion(start: DataFrame, pages: DataFrame, limit: int = 256) -> D
         kept = (F.col("site_family") == rules.FAMILY_PORTAL) & ~portal_page("url") & (page_kind("url") == "cbpt_list")
         return df.filter(kept).select(*SITE, "root", "url").distinct()
 
+    def fetched(df: DataFrame) -> DataFrame:
+        return df.join(texts.select("site_key", "url"), ["site_key", "url"], "left_semi")
+
     texts = pages.filter(~F.col("html").contains("showValidateCode.aspx")).select("site_key", F.col("source_url").alias("url"), "html")
     level = written(lists_only(normalize(start.withColumnRenamed("url", "__raw"), "__raw")).filter("root <> url").withColumn("depth", F.lit(0)))
     seen = level
@@ -194,8 +197,8 @@ def classic_expansion(start: DataFrame, pages: DataFrame, limit: int = 256) -> D
         depth = level.agg(F.max("depth")).first()[0] + 1
         level = written(new.withColumn("depth", F.lit(depth)))
         seen = seen.unionByName(level)
-        if seen.groupBy("root").count().filter(F.col("count") < limit).isEmpty():
+        full = fetched(seen).groupBy("root").count().filter(F.col("count") >= limit)
+        if seen.select("root").distinct().join(full, "root", "left_anti").isEmpty():
             break
-    fetched = seen.join(texts.select("site_key", "url"), ["site_key", "url"], "left_semi")
-    ranked = fetched.withColumn("n", F.row_number().over(Window.partitionBy("root").orderBy("depth", "url")))
+    ranked = fetched(seen).withColumn("n", F.row_number().over(Window.partitionBy("root").orderBy("depth", "url")))
     return ranked.filter(F.col("n") <= limit).select("root", "url", "depth")

@@ -73,6 +73,18 @@ def test_bfs_levels_on_cycles(spark):
     assert graph.bfs(links, spark.createDataFrame([("a",)], "node string"), max_levels=1).count() == 2
 
 
+def test_classic_expansion_counts_captured_pages(spark):
+    at = lambda p: f"http://gggl.cbpt.cnki.net/WKB/WKList.aspx?p={p}"
+    host = "gggl.cbpt.cnki.net"
+    start = plans.with_site(spark.createDataFrame([(at("root"), at(0), host)], "root string, url string, host string"))
+    listed = "".join(f"<a href='WKList.aspx?p={p}'>" for p in range(1, 301))
+    rows = [(at(0), listed, host), (at(300), "<a href='WKList.aspx?p=301'>", host), (at(301), "", host)]
+    captured = plans.with_site(spark.createDataFrame(rows, "source_url string, html string, host string"))
+    got = {(r["url"], r["depth"]) for r in graph.classic_expansion(start, captured).collect()}
+    assert got == {(at(0), 0), (at(300), 1), (at(301), 2)}
+    assert graph.classic_expansion(start, captured, 2).count() == 2
+
+
 def test_merged_nodes_and_in_flight(spark):
     schema = "site_key string, url string, same_site boolean, queueable boolean, first_depth int, first_source string, first_method string, seen_count long, page_kind string, should_visit boolean"
     known = spark.createDataFrame([("s", "u", True, True, 3, "a", "dom", 2, "page", True)], schema)
