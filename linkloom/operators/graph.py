@@ -141,19 +141,20 @@ def bfs(links: DataFrame, seeds: DataFrame, max_levels: int | None = None) -> Da
     return seen
 
 
-def crawl(pages: DataFrame, seeds: DataFrame, max_levels: int = 20, aggressive: bool = True) -> tuple[DataFrame, DataFrame]:
+def crawl(pages: DataFrame, seeds: DataFrame, max_levels: int | None = None, aggressive: bool = True) -> tuple[DataFrame, DataFrame]:
     """(visited, found): a crawl of captured pages from seeds, level by level.
 
     pages has SITE, source_url (normalised) and html; seeds SITE and url. A level is the frontier joined with the
     captured pages; its links are resolved and what is new becomes the next level. URLs without a captured page stay in
-    the frontier of their level and are not expanded.
+    the frontier of their level and are not expanded. It ends with an empty frontier, or after max_levels.
     """
     from .extract import links_of_pages
 
     keys = ["site_key", "url"]
     level = written(seeds.select(*SITE, "url").distinct().withColumn("depth", F.lit(0)))
-    visited, found = level, None
-    for depth in range(1, max_levels + 1):
+    visited, found, depth = level, None, 0
+    while max_levels is None or depth < max_levels:
+        depth += 1
         captured = level.join(pages.select("site_key", F.col("source_url").alias("url"), "html"), keys).withColumnRenamed("url", "source_url")
         raw = links_of_pages(captured.select(*SITE, "source_url", "html")).select("*", F.lit(depth).alias("depth"), F.lit("dom").alias("method"))
         new = written(resolved(raw, aggressive))

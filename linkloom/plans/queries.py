@@ -232,11 +232,11 @@ def key_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 @query
 def crawl_levels(spark, sf_dir):
-    """Nodes of a two-level crawl of captured pages, by the level that visited them."""
+    """Nodes of a crawl of captured pages, by the level that visited them."""
     captured = pages(spark, sf_dir)
     starts = urls.normalize(captured, "source_url", None, "url").select(*extract.SITE, "url").distinct()
     texts = urls.normalize(captured, "source_url", None, "url").drop("source_url").withColumnRenamed("url", "source_url").select("site_key", "source_url", "html")
-    return graph.crawl(texts, starts, max_levels=2)[0].groupBy("depth").agg(F.count("*").alias("n"))
+    return graph.crawl(texts, starts)[0].groupBy("depth").agg(F.count("*").alias("n"))
 
 
 # --- coverage and roll-up ------------------------------------------------------------------------------------------
@@ -394,7 +394,7 @@ def onclick_urls(spark, sf_dir):
 def portal_requests(spark, sf_dir):
     cases = with_site(rows_of(spark, "onclicks"))
     page = cases.groupBy(*extract.SITE).agg(F.concat_ws("", F.array_sort(F.collect_list(F.concat(F.lit('<a onclick="'), F.replace("value", F.lit('"'), F.lit("'")), F.lit('">'))))).alias("html")).withColumn("source_url", F.concat("site_origin", F.lit("/portal")))
-    asked = extract.portal_requests(page, 2)
+    asked = extract.portal_requests(page, inputs.RunConfig().max_cbpt_portal_ajax_requests_per_page)
     answers = asked.select("key", F.lit('<a href="/portal/x/next">').alias("body"))
     return extract.expand_portal_requests(asked, answers).select("source_url", "raw_url", "method")
 
@@ -435,6 +435,12 @@ def pagination_plan(spark, sf_dir):
     return expand.pagination_plan(_responses(spark), 2).select("source_url", "url", "page")
 
 
+@query
+def pagination_plan_all(spark, sf_dir):
+    """All further pages; the SQL of pagination_plan has two a series."""
+    return expand.pagination_plan(_responses(spark)).select("source_url", "url", "page")
+
+
 @query
 def classic_expansion(spark, sf_dir):
     start = with_site(rows_of(spark, "classic_starts"))

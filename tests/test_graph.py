@@ -73,6 +73,23 @@ def test_bfs_levels_on_cycles(spark):
     assert graph.bfs(links, spark.createDataFrame([("a",)], "node string"), max_levels=1).count() == 2
 
 
+def test_crawl_ends_on_an_empty_frontier(spark, monkeypatch):
+    cheap = lambda pages: pages.select(*extract.SITE, F.col("html").alias("url"), F.lit(True).alias("should_visit"))
+    monkeypatch.setattr(extract, "links_of_pages", cheap)
+    monkeypatch.setattr(graph, "resolved", lambda raw, aggressive: raw.drop("method"))
+    monkeypatch.setattr(graph, "written", lambda df: spark.createDataFrame(df.coalesce(1).collect(), df.schema))
+    rows = [(str(n), str(n + 1), "h") for n in range(22)]
+    pages = plans.with_site(spark.createDataFrame(rows, "source_url string, html string, host string").coalesce(1))
+    starts = pages.filter("source_url = '0'").withColumnRenamed("source_url", "url")
+    got = {(r["url"], r["depth"]) for r in graph.crawl(pages, starts)[0].collect()}
+    assert got == {(str(n), n) for n in range(23)}
+
+
+def test_pagination_plan_all(spark):
+    got = {(r["source_url"], r["page"]) for r in plans.pagination_plan_all(spark, SF).collect()}
+    assert {p for _, p in got} == {2, 3, 4, 5}
+
+
 def test_classic_expansion_counts_captured_pages(spark):
     at = lambda p: f"http://gggl.cbpt.cnki.net/WKB/WKList.aspx?p={p}"
     host = "gggl.cbpt.cnki.net"
