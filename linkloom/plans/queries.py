@@ -213,6 +213,13 @@ def bfs_reachability(spark, sf_dir):
     return graph.bfs(*key_graph(spark, sf_dir))
 
 
+@query
+def bfs_reachability_all(spark, sf_dir):
+    """From all customers; the SQL of bfs_reachability starts from some."""
+    links, _ = key_graph(spark, sf_dir)
+    return graph.bfs(links, spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("node")))
+
+
 def key_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """A cyclic graph over keys: customer, order, supplier, nation, region and its nations; and some customers to start from."""
     read = lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet")

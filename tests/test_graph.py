@@ -73,6 +73,18 @@ def test_bfs_levels_on_cycles(spark):
     assert graph.bfs(links, spark.createDataFrame([("a",)], "node string"), max_levels=1).count() == 2
 
 
+def test_bfs_from_all_customers(spark, duck):
+    links = {}
+    for kind, a, other, b, table in (("c", "o_custkey", "o", "o_orderkey", "orders"), ("o", "l_orderkey", "s", "l_suppkey", "lineitem"), ("s", "s_suppkey", "n", "s_nationkey", "supplier"), ("n", "n_nationkey", "r", "n_regionkey", "nation"), ("r", "n_regionkey", "n", "n_nationkey", "nation")):
+        for src, dst in duck.execute(f"SELECT {a}, {b} FROM {table}").fetchall():
+            links.setdefault(f"{kind}{src}", set()).add(f"{other}{dst}")
+    want = {f"c{k}": 0 for (k,) in duck.execute("SELECT c_custkey FROM customer").fetchall()}
+    level = list(want)
+    while level:
+        level = [want.setdefault(dst, want[src] + 1) and dst for src in level for dst in links.get(src, ()) if dst not in want]
+    assert {r["node"]: r["depth"] for r in plans.bfs_reachability_all(spark, SF).collect()} == want
+
+
 def test_crawl_ends_on_an_empty_frontier(spark, monkeypatch):
     cheap = lambda pages: pages.select(*extract.SITE, F.col("html").alias("url"), F.lit(True).alias("should_visit"))
     monkeypatch.setattr(extract, "links_of_pages", cheap)
