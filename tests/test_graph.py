@@ -97,6 +97,13 @@ def test_crawl_ends_on_an_empty_frontier(spark, monkeypatch):
     assert got == {(str(n), n) for n in range(23)}
 
 
+def test_portal_requests_of_a_long_page(spark, monkeypatch):
+    rows = [(n, f"tabPage('2020','1','{n}','client/paper_list','y','i')", "gggl.cbpt.cnki.net") for n in range(2, 6)]
+    monkeypatch.setitem(plans.fixtures.TABLES, "onclicks", ("id int, value string, host string", rows))
+    methods = {r["method"] for r in plans.portal_requests(spark, SF).collect()}
+    assert {m for m in methods if not m.endswith(":html")} == {f"portal:ajax:tabPage:{n}" for n in range(2, 6)}
+
+
 def test_pagination_plan_all(spark):
     got = {(r["source_url"], r["page"]) for r in plans.pagination_plan_all(spark, SF).collect()}
     assert {p for _, p in got} == {2, 3, 4, 5}
