@@ -52,3 +52,24 @@ def unit_hash(seed: str, key: Column) -> Column:
     """A number in [0, 1) that depends on seed and key alone: the first 52 bits of an MD5."""
     digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(key.cast("string"), F.lit("null"))))
     return F.conv(F.substring(digest, 1, 13), 16, 10).cast("long") / F.lit(float(1 << 52))
+
+
+#: Bits of the table by which may_be_in tells ids: 512 rows of 4 KB, whatever the number of ids.
+MARKS = 1 << 24
+
+
+def may_be_in(rows: DataFrame, key: Column, ids: DataFrame) -> DataFrame:
+    """rows without most of those whose key is not in the one column of ids; none whose key is there goes.
+
+    A reducer before a join, so that rows without a partner are not shuffled: a broadcast bitmap of MARKS bits, built by
+    aggregates. With many more ids than bits it lets all rows pass, and the join does the work alone.
+    """
+    place = lambda c: F.pmod(F.xxhash64(F.lit("mark"), c), F.lit(MARKS))
+    marked = ids.select(place(F.col(ids.columns[0])).alias("p"))
+    bits = marked.groupBy(F.bitmap_bucket_number("p").alias("__mark_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("__mark_bits"))
+    own = rows.withColumn("__mark", place(key))
+    bit = F.bitmap_bit_position(F.col("__mark"))
+    joined = own.join(F.broadcast(bits), F.bitmap_bucket_number(F.col("__mark")) == F.col("__mark_bucket"))
+    byte = F.conv(F.hex(F.substring(F.col("__mark_bits"), F.floor(bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    hit = F.call_function("shiftright", byte, (bit % 8).cast("int")).bitwiseAND(1) == 1
+    return joined.filter(hit).select(*rows.columns)

@@ -1,26 +1,32 @@
 """Line deduplication by a segment-partition edit join, on DataFrame functions alone.
 
-A line of a document is dropped when a document with a smaller id has the same line or one within `threshold` edits.
-Two strings that near share one of threshold + 1 even segments, shifted by a few characters at most. So each distinct
-line is indexed by its segments and probes the indexes of its own and the next shorter lengths with the substrings that
-can still match (the multi-match-aware positions); what meets is verified by a banded bit-parallel edit distance.
-
-Identical lines are merged by map-side partial aggregates before anything is joined, so the copies of a hot line are one
-row in the join. Signatures are 64-bit numbers computed in the scan: texts are only moved for lines that have a
-candidate, and once more to rewrite the documents. An edit changes the counts of characters by two at most, so lines
-whose counts of a few frequent characters are further apart never become a pair.
+A line of a document is dropped when a document with a smaller id has the same line or, for lines of min_chars and more,
+one within `threshold` edits. Two strings that near share one of threshold + 1 even segments, shifted by a few
+characters at most. So each distinct line stands under the signatures of its segments and of the substrings that can
+match the segments of a line of its own or a slightly smaller length (the multi-match-aware positions); what meets is
+verified by a banded bit-parallel edit distance.
+
+Copies of a line are merged by map-side partial aggregates before anything is joined. One shuffle of (signature, line)
+finds the signatures that two lines have; all further steps, and all texts that move, are those of such lines.
+
+A line needs one witness, not all partners. An edit changes the counts of at most two characters, so of threshold * 2 + 1
+groups of characters one has the same counts in both lines of a near pair: signatures are told apart by the counts of
+each group in turn. Each line is first held against the earliest line of each of these; only lines that are still undecided meet
+all others, and then as pairs whose counts agree.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import cut
+from .common import WHITE_SPACE, cut, may_be_in
 
 THRESHOLD = 2
 MIN_CHARS = 20
-#: Characters that are counted, each in a byte of one number.
-COUNTED = " entrai"
+#: Fixed value: characters that are counted, frequent ones first, dealt to the groups in turn. Others only count less.
+COUNTED = " etaoinshrdlucmfwygpbvk.,jxqz-"
+#: A hot line's rows are dealt to so many tasks.
+SALTS = 16
 
 
 def _segment(length: Column, i: int, parts: int) -> tuple[Column, Column]:
@@ -32,6 +38,7 @@ def _segment(length: Column, i: int, parts: int) -> tuple[Column, Column]:
 
 
 def index_signatures(line: Column, threshold: int) -> list[Column]:
+    """Signatures of a line's own segments; they are also among its probe_signatures."""
     length = F.length(line)
     cut_out = [_segment(length, i, threshold + 1) for i in range(threshold + 1)]
     return [F.xxhash64(F.lit(i), length, line.substr(start, size)) for i, (start, size) in enumerate(cut_out)]
@@ -49,19 +56,24 @@ def probe_signatures(line: Column, threshold: int) -> list[Column]:
     return out
 
 
-def character_counts(line: Column) -> Column:
-    counts = F.lit(0).cast("long")
-    for k, c in enumerate(COUNTED):
-        counts = counts.bitwiseOR(F.shiftleft((F.length(line) - F.length(F.replace(line, F.lit(c), F.lit("")))).bitwiseAND(255).cast("long"), 8 * k))
-    return counts
+def character_counts(line: Column, groups: int) -> list[Column]:
+    """Per group of characters a number with the count of each, modulo 256, in a byte of its own."""
+    out = []
+    for group in range(groups):
+        counts = F.lit(0).cast("long")
+        for k, c in enumerate(COUNTED[group::groups][:7]):
+            counts = counts.bitwiseOR(F.shiftleft((F.length(line) - F.length(F.replace(line, F.lit(c), F.lit("")))).bitwiseAND(255).cast("long"), 8 * k))
+        out.append(counts)
+    return out
 
 
-def counts_apart(a: Column, b: Column) -> Column:
-    """How far two numbers of character_counts are apart in all, counting modulo 256: at most twice the edit distance."""
+def counts_apart(a: list[Column], b: list[Column]) -> Column:
+    """How far the counts of two lines are apart in all, counting modulo 256: at most twice the edit distance."""
     total = F.lit(0).cast("long")
-    for k in range(len(COUNTED)):
-        x, y = (F.shiftright(c, 8 * k).bitwiseAND(255) for c in (a, b))
-        total = total + F.least(F.abs(x - y), 256 - F.abs(x - y))
+    for p, q in zip(a, b, strict=True):
+        for k in range(len(COUNTED[:: len(a)])):
+            x, y = (F.shiftright(c, 8 * k).bitwiseAND(255) for c in (p, q))
+            total = total + F.least(F.abs(x - y), 256 - F.abs(x - y))
     return total
 
 
@@ -112,61 +124,103 @@ def _distance(p: Column, t: Column, k: int, width: int, full: int) -> Column:
     return F.aggregate(F.sequence(F.lit(1), n), start, column, lambda acc: acc["score"])
 
 
+def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Rows (id, version, pos, line) of the lines that hold more than white space. Version tells rows apart that repeat an id."""
+    rows = docs.filter(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("version"), F.split(F.col(text_col), "\n").alias("lines"))
+    return rows.select("id", "version", F.posexplode("lines").alias("pos", "line")).filter(F.trim(F.col("line"), F.lit(WHITE_SPACE)) != "")
+
+
+def _hashes(line: str = "line") -> list[Column]:
+    return [F.xxhash64(line).alias("h"), F.xxhash64(F.lit("second"), line).alias("g")]
+
+
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = THRESHOLD, min_chars: int = MIN_CHARS) -> DataFrame:
+    """Rows (h, g), the hashes of each line that is within threshold edits of another whose first document is earlier than its own first."""
+    groups = 2 * threshold + 1
+    names = [f"c{j}" for j in range(groups)]
+    long = lambda rows: rows.filter(F.length("line") >= min_chars)
+
+    # copies of a line have equal signatures: min() keeps them and lets hash aggregates merge the copies map-side
+    signatures = probe_signatures(F.col("line"), threshold)
+    signed = long(_lines(docs, id_col, text_col)).select("id", *_hashes(), *[s.alias(f"s{n}") for n, s in enumerate(signatures)])
+    signed = signed.groupBy("h", "g").agg(F.min("id").alias("id"), *[F.min(f"s{n}").alias(f"s{n}") for n in range(len(signatures))])
+    dealt = signed.select("id", "h", F.explode(F.array(*[f"s{n}" for n in range(len(signatures))])).alias("signature")).repartition("signature")
+    # of lines with different hashes or first documents; both branches read the same columns of one shuffle
+    apart = [F.min(c) != F.max(c) for c in ("h", "id")]
+    shared = dealt.groupBy("signature").agg((apart[0] | apart[1]).alias("apart")).filter("apart").select("signature")
+    members = cut(dealt.join(shared.hint("shuffle_hash"), "signature", "left_semi"))
+
+    wanted = cut(members.select("id", "h").distinct())
+    marked = may_be_in(docs.select(id_col, text_col), F.col(id_col), wanted.select("id"))
+    texts = long(_lines(marked, id_col, text_col)).select("id", *_hashes(), "line").join(wanted.hint("shuffle_hash"), ["id", "h"], "left_semi").dropDuplicates(["h", "g"])
+    own = F.array(*index_signatures(F.col("line"), threshold))
+    texts = cut(texts.select("*", *[c.alias(n) for n, c in zip(names, character_counts(F.col("line"), groups), strict=True)], own.alias("own")))
+
+    told_apart = F.array(*[F.xxhash64("signature", F.lit(j), n) for j, n in enumerate(names)])
+    placed = members.join(texts.drop("line").hint("shuffle_hash"), ["id", "h"]).select(F.explode(told_apart).alias("key"), "id", "h", "g", F.array_contains("own", F.col("signature")).alias("indexed"), *names)
+    placed = cut(placed)
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        """Of pairs (a, b) of line hashes, h and g of the lines b that are near."""
+        side = lambda s: texts.select(F.col("h").alias(s), *[F.col(c).alias(f"{s}_{c}") for c in ("id", "g", "line", *names)])
+        both = pairs.join(side("a"), "a").join(side("b"), "b").filter(F.col("a_id") < F.col("b_id"))
+        close = counts_apart([F.col(f"a_{n}") for n in names], [F.col(f"b_{n}") for n in names]) <= 2 * threshold
+        return both.filter(close & within_distance(F.col("a_line"), F.col("b_line"), threshold)).select(F.col("b").alias("h"), F.col("b_g").alias("g")).distinct()
+
+    first = placed.groupBy("key").agg(F.min("id").alias("first_id"), F.min_by("h", "id").alias("a"))
+    with_first = placed.join(first.hint("shuffle_hash"), "key").filter("id > first_id").select("a", F.col("h").alias("b")).distinct()
+    decided = cut(verified(with_first))
+
+    undecided = placed.join(decided, ["h", "g"], "left_anti")
+    a, b = (rows.select("key", *[F.col(c).alias(f"{s}_{c}") for c in ("id", "h", "indexed", *names)]) for s, rows in (("a", placed), ("b", undecided)))
+    close = counts_apart([F.col(f"a_{n}") for n in names], [F.col(f"b_{n}") for n in names]) <= 2 * threshold
+    met = a.join(b, (a["key"] == b["key"]) & (F.col("a_id") < F.col("b_id")) & (F.col("a_indexed") | F.col("b_indexed")) & close)
+    rest = verified(cut(met.select(F.col("a_h").alias("a"), F.col("b_h").alias("b")).distinct()))
+    return decided.union(rest)
+
+
 def line_verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = THRESHOLD, min_chars: int = MIN_CHARS) -> DataFrame:
-    """Rows (id, line_hash): the lines of each document that an earlier document has, exactly or nearly.
+    """Rows (id, version, pos): the lines of each document that an earlier document has, exactly or nearly; pos counts from 0.
 
-    Only lines of min_chars code points and more count; min_chars must exceed threshold. A line that is a near copy of
-    an earlier document's line is dropped even where that one is dropped in turn; lines of one document, and of rows
-    with the same id, are not held against each other. Rows without id or text take no part.
+    Lines of white space take no part. Lines of any length are dropped as exact copies; near copies are only lines of
+    min_chars code points and more; min_chars must exceed threshold. A line that is a near copy of an earlier document's
+    line is dropped even where that one is dropped in turn; lines of one document, and of rows with the same id, are not
+    held against each other. Rows without id or text take no part. version is a hash of the whole text.
     """
-    lines = docs.filter(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(
-        F.col(id_col).alias("id"), F.explode(F.array_distinct(F.filter(F.split(F.col(text_col), "\n"), lambda x: F.length(x) >= min_chars))).alias("line")
-    )
-    hashed = lines.select("id", "line", F.xxhash64("line").alias("h"), F.xxhash64(F.lit("second"), "line").alias("g"))
-
-    def distinct(signatures: list[Column]) -> tuple[DataFrame, list[str]]:
-        # copies of a line have equal signatures: min() keeps them and lets hash aggregates merge the copies map-side
-        names = [f"s{n}" for n in range(len(signatures))]
-        signed = hashed.select("id", "h", "g", character_counts(F.col("line")).alias("counts"), *[x.alias(c) for c, x in zip(names, signatures, strict=True)])
-        return signed.groupBy("h", "g").agg(F.min("id").alias("first_id"), F.max("id").alias("last_id"), F.min("counts").alias("counts"), *[F.min(c).alias(c) for c in names]), names
-
-    known, index = distinct(index_signatures(F.col("line"), threshold))
-    known = cut(known)
-    probes, probe = distinct(probe_signatures(F.col("line"), threshold))
-    indexed = known.select(F.col("h").alias("a"), F.col("first_id").alias("a_id"), F.col("counts").alias("a_counts"), F.explode(F.array(*index)).alias("signature"))
-    probing = probes.select(F.col("h").alias("b"), F.col("first_id").alias("b_id"), F.col("counts").alias("b_counts"), F.explode(F.array(*probe)).alias("signature"))
-    met = indexed.join(probing, "signature").filter((F.col("a_id") != F.col("b_id")) & (counts_apart(F.col("a_counts"), F.col("b_counts")) <= 2 * threshold))
-    pairs = cut(met.select("a", "b").distinct())
-
-    wanted = cut(pairs.select(F.col("a").alias("h")).union(pairs.select("b")).distinct())
-    texts = cut(hashed.join(wanted, "h", "left_semi").groupBy("h", "g").agg(F.min("id").alias("id"), F.min("line").alias("line")))
-    side = lambda name: texts.select(F.col("h").alias(name), *[F.col(c).alias(f"{name}_{c}") for c in ("g", "id", "line")])
-    near = pairs.join(side("a"), "a").join(side("b"), "b").filter(F.col("a_id") != F.col("b_id")).filter(within_distance(F.col("a_line"), F.col("b_line"), threshold))
-    later = F.col("a_id") > F.col("b_id")
-    near = cut(near.select(F.when(later, F.col("a")).otherwise(F.col("b")).alias("h"), F.when(later, F.col("a_g")).otherwise(F.col("b_g")).alias("g"), F.lit(True).alias("near")).distinct())
-
+    near = cut(near_copies(docs, id_col, text_col, threshold, min_chars).withColumn("near", F.lit(True)))
+    lines = cut(_lines(docs, id_col, text_col).select("id", "version", "pos", *_hashes()))
+    copied = lines.groupBy("h", "g").agg(F.min("id").alias("first_id"), F.max("id").alias("last_id")).filter("first_id <> last_id").drop("last_id")
     # one verdict a line: later documents lose a copy, all lose a near copy of an earlier document's line
-    verdicts = known.filter("first_id <> last_id").select("h", "g", "first_id").join(near, ["h", "g"], "full")
-    hit = hashed.select("id", "h", "g").join(verdicts, ["h", "g"]).filter(F.col("near").isNotNull() | (F.col("id") > F.col("first_id")))
-    return hit.select(F.col("id").alias(id_col), F.col("h").alias("line_hash"))
+    verdicts = copied.join(near.hint("shuffle_hash"), ["h", "g"], "full").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = lines.withColumn("salt", F.pmod(F.hash("id", "pos"), F.lit(SALTS)))
+    hit = salted.join(verdicts.hint("shuffle_hash"), ["h", "g", "salt"]).filter(F.col("near").isNotNull() | (F.col("id") > F.col("first_id")))
+    return hit.select(F.col("id").alias(id_col), "version", "pos")
+
+
+def _repeats(lines: Column) -> Column:
+    """Places at which a line with more than white space stands that the array has further ahead. Sorting with the place keeps this n log n."""
+    named = F.array(F.array_sort(F.transform(lines, lambda x, i: F.struct(x.alias("line"), i.alias("at")))))
+    blank = lambda x: F.trim(x, F.lit(WHITE_SPACE)) == ""
+    again = lambda s: F.transform(F.filter(F.sequence(F.lit(1), F.size(s) - 1), lambda k: (F.get(s, k)["line"] == F.get(s, k - 1)["line"]) & ~blank(F.get(s, k)["line"])), lambda k: F.get(s, k)["at"])
+    return F.when(F.size(F.array_distinct(lines)) < F.size(lines), F.get(F.transform(named, again), F.lit(0))).otherwise(F.array().cast("array<int>"))
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = THRESHOLD, min_chars: int = MIN_CHARS, report: bool = False) -> DataFrame:
     """docs with the dropped lines taken out of the text; with report=True, also n_lines and n_dropped.
 
-    Beside the lines of line_verdicts, a line of min_chars and more that a document repeats stays where it stands first.
-    Shorter lines always stay. A null text stays null, with no lines; a text of which no line is left becomes empty.
-    Columns n_lines and n_dropped are replaced if docs has them.
+    Beside the lines of line_verdicts, a line that a document repeats stays where it stands first. Lines of white space
+    stay. A null text stays null, with no lines; a text of which no line is left becomes empty. Rows without id only lose
+    lines that they repeat themselves. An empty table gives no rows. Columns n_lines and n_dropped are replaced if docs
+    has them, with report=True; columns that begin with __line are this function's own.
     """
-    dropped = line_verdicts(docs, id_col, text_col, threshold, min_chars).groupBy(F.col(id_col).alias("__id")).agg(F.collect_set("line_hash").alias("__dropped"))
-    lines = F.split(F.col(text_col), "\n")
-    long = lambda x: F.length(x) >= min_chars
-    out = docs.join(cut(dropped), F.col(id_col) == F.col("__id"), "left").withColumn("__dropped", F.coalesce("__dropped", F.array().cast("array<bigint>")))
-    spared = F.filter(lines, lambda x: ~long(x) | ~F.array_contains(F.col("__dropped"), F.xxhash64(x)))
-    repeats = F.size(F.array_distinct(F.filter(F.col("__lines"), long))) < F.size(F.filter(F.col("__lines"), long))
-    once = F.filter(F.col("__lines"), lambda x, i: ~long(x) | (F.array_position(F.col("__lines"), x) == i + 1))
-    out = out.withColumn("__lines", spared).withColumn("__lines", F.when(repeats, once).otherwise(F.col("__lines")))
+    dropped = line_verdicts(docs, id_col, text_col, threshold, min_chars).groupBy(F.col(id_col).alias("__line_id"), F.col("version").alias("__line_version")).agg(F.collect_set("pos").alias("__line_dropped"))
+    same = (F.col(id_col) == F.col("__line_id")) & (F.xxhash64(text_col) == F.col("__line_version"))
+    out = docs.join(cut(dropped).hint("shuffle_hash"), same, "left").withColumn("__lines", F.split(F.col(text_col), "\n"))
+    out = out.withColumn("__line_gone", F.array_union(F.coalesce("__line_dropped", F.array().cast("array<int>")), _repeats(F.col("__lines"))))
+    gone = F.col("__line_gone")
+    kept = F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), gone)
+    text = F.when(F.size(gone) == 0, F.col(text_col)).otherwise(F.array_join(F.transform(kept, lambda i: F.get(F.col("__lines"), i)), "\n"))
     if report:
-        n = F.when(F.col(text_col).isNull(), 0).otherwise(F.size(lines)).cast("long")
-        out = out.withColumn("n_lines", n).withColumn("n_dropped", F.when(F.col(text_col).isNull(), 0).otherwise(F.size(lines) - F.size("__lines")).cast("long"))
-    return out.withColumn(text_col, F.array_join("__lines", "\n")).drop("__id", "__dropped", "__lines")
+        there = F.col(text_col).isNotNull()
+        out = out.withColumn("n_lines", F.when(there, F.size("__lines")).otherwise(0).cast("long")).withColumn("n_dropped", F.when(there, F.size(gone)).otherwise(0).cast("long"))
+    return out.withColumn(text_col, F.when(F.col(text_col).isNotNull(), text)).drop("__line_id", "__line_version", "__line_dropped", "__line_gone", "__lines")

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -151,18 +152,21 @@ def test_bit_parallel_distance(spark):
 def test_line_dedup_against_plain(spark):
     rng = random.Random(7)
     lines = ["".join(rng.choices("abcdé ", k=rng.randrange(18, 40))) for _ in range(25)]
-    texts = [None, "", "short\nshort", "\n\n"]
-    for _ in range(60):
+    lines += ["template of many lines that differ in one word " + "".join(rng.choices("abcdefghijkl", k=6)) for _ in range(25)]
+    texts = [None, "", "short\nshort", "\n\n", "short\n \n \nshorts"]
+    for _ in range(80):
         own = [edited(rng, rng.choice(lines), rng.randrange(4)) for _ in range(rng.randrange(1, 7))]
         own += [rng.choice(own)] if rng.random() < 0.3 else []
+        own += rng.choices(["", " ", "}", "end", "ends"], k=rng.randrange(4))
+        rng.shuffle(own)
         texts.append("\n".join(own))
     long = lambda x: len(x) >= line_dedup.MIN_CHARS
     expected = []
     for i, t in enumerate(texts):
-        earlier = {x for u in texts[:i] if u is not None for x in u.split("\n") if long(x)}
+        earlier = {x for u in texts[:i] if u is not None for x in u.split("\n") if x.strip()}
         kept, seen = [], set()
         for x in (t or "").split("\n"):
-            if long(x) and (x in seen or any(levenshtein(x, e) <= 2 for e in earlier)):
+            if x.strip() and (x in seen or x in earlier or long(x) and any(long(e) and levenshtein(x, e) <= 2 for e in earlier)):
                 continue
             seen.add(x)
             kept.append(x)
@@ -178,6 +182,18 @@ def test_line_dedup_edges(spark):
     line = "a line of more than twenty characters"
     rows = line_dedup.dedup_lines(frame(spark, [line, line + "!", line, line], [None, 2, 2, 3])).collect()
     assert sorted((r["doc_id"] or 0, r["text"]) for r in rows) == [(0, line), (2, line), (2, line + "!"), (3, "")]
+    clashing = frame(spark, [line, line]).select("*", *[F.lit(7).alias(c) for c in ("n_lines", "n_dropped", "id", "pos", "h", "line", "version")])
+    rows = line_dedup.dedup_lines(clashing, report=True).collect()
+    assert sorted((r["doc_id"], r["n_lines"], r["n_dropped"], r["id"], r["line"]) for r in rows) == [(0, 1, 0, 7, 7), (1, 1, 1, 7, 7)]
+
+
+def test_line_dedup_of_a_long_text(spark):
+    """200,000 lines, a third of them repeated in the text, one huge line."""
+    lines = [f"line number {i % 130_000} of a very long text" for i in range(200_000)] + ["x" * 300_000]
+    began = time.time()
+    rows = {r["doc_id"]: r for r in line_dedup.dedup_lines(frame(spark, ["\n".join(lines), lines[7] + "\n" + lines[9][:-1]]), report=True, min_chars=1_000_000).collect()}
+    assert (rows[0]["n_lines"], rows[0]["n_dropped"], rows[1]["text"]) == (200_001, 70_000, lines[9][:-1])
+    assert rows[0]["text"] == "\n".join(dict.fromkeys(lines)) and time.time() - began < 30
 
 
 def plain_components(texts):
