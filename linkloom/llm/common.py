@@ -48,12 +48,6 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def unit_hash(seed: str, key: Column) -> Column:
-    """A number in [0, 1) that depends on seed and key alone: the first 52 bits of an MD5."""
-    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(key.cast("string"), F.lit("null"))))
-    return F.conv(F.substring(digest, 1, 13), 16, 10).cast("long") / F.lit(float(1 << 52))
-
-
 #: Bits of the table by which may_be_in tells ids: 512 rows of 4 KB, whatever the number of ids.
 MARKS = 1 << 24
 

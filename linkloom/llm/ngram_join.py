@@ -1,6 +1,7 @@
 """Near-duplicate documents by an n-gram Jaccard self-join with adaptive multi-match prefixes.
 
-A document is the set of its distinct 5-word shingles, as 64-bit hashes in one order that all documents share. Of two
+A document is the set of its distinct 5-word shingles, as 128-bit hashes; 64 bits of each, in one order that all documents
+share, find candidates. Of two
 sets x and y that reach the threshold, the prefixes of |x| - ceil(t |x|) + l and |y| - ceil(t |y|) + l shingles share l
 shingles at least, for each l. A longer prefix with a higher l meets more shingles but leaves fewer pairs to verify, so
 each document takes the l of least estimated cost from the frequencies of its own prefix shingles.
@@ -14,13 +15,13 @@ connect is one component; the full join then forms only pairs of different compo
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import cache
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import cut
+from .common import cut, may_be_in
 
 WORDS = 5
 #: The threshold as a fraction, for exact comparisons in integers.
@@ -29,24 +30,25 @@ LEVELS = 4
 #: Cost of verifying a pair, in looked-up prefix entries.
 VERIFY_COST = 50
 SAMPLE_EVERY, FREQUENT = 32, 50_000
-#: Documents that take part in a pair are marked in a table of so many bits before their sets are built.
-MARKS = 1 << 20
+#: Digests of words that a worker remembers.
+MEMO = 100_000
 
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
-_SPACE = np.isin(np.arange(256), np.frombuffer(b" \t\n\x0b\x0c\r", dtype=np.uint8))
-_BASE = 0x9E3779B97F4A7C15
-_PLACES = np.array([pow(0xD1342543DE82EF95, k + 1, 1 << 64) for k in range(64)], dtype=np.uint64)
+_SALT = 0x9E3779B97F4A7C15
+_PLACES = np.array([[pow(base, k + 1, 1 << 64) for base in (0xD1342543DE82EF95, 0xDA942042E4DD58B5)] for k in range(64)], dtype=np.uint64)
 
 
-@cache
-def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the hash base and of its inverse modulo 2 ** 64."""
-    both = []
-    for base in (_BASE, pow(_BASE, -1, 1 << 64)):
-        p = np.full(size, base, dtype=np.uint64)
-        p[0] = 1
-        both.append(np.cumprod(p, dtype=np.uint64))
-    return both[0], both[1]
+class _Digests(dict):
+    """128-bit digests of words, remembered up to MEMO of them."""
+
+    def __missing__(self, word: bytes) -> bytes:
+        digest = blake2b(word, digest_size=16).digest()
+        if len(self) < MEMO:
+            self[word] = digest
+        return digest
+
+
+_digests = _Digests()
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -56,25 +58,35 @@ def _mixed(h: np.ndarray) -> np.ndarray:
 
 
 def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
-    """Sorted distinct hashes of the shingles of text, A-Z in lower case; under `words` words their sequence is the one shingle."""
-    data = np.frombuffer((text or "").encode("utf-8").translate(_LOWER), dtype=np.uint8)
-    if not len(data):
-        return np.zeros(0, dtype=np.uint64)
-    solid = np.concatenate([[False], ~_SPACE[data], [False]])
-    edges = np.flatnonzero(solid[1:] != solid[:-1])
-    starts, ends = edges[::2], edges[1::2]
-    if not len(starts):
-        return np.zeros(0, dtype=np.uint64)
-    power, inverse = _powers(1 << int(len(data) + 1).bit_length())
-    sums = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[: len(data)], dtype=np.uint64)])
-    word = _mixed((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
-    if len(word) < words:
-        return _mixed((word * _PLACES[: len(word)]).sum(keepdims=True, dtype=np.uint64) + np.uint64(len(word)))
-    n = len(word) - words + 1
-    total = np.zeros(n, dtype=np.uint64)
-    for k in range(words):
+    """The set of shingles of text, A-Z in lower case, as sorted distinct rows of two 64-bit numbers; under `words` words their sequence is the one shingle.
+
+    The two numbers are independent sums over 128-bit BLAKE2 digests of the words, so different shingles agree in both
+    only by chance, whatever the texts. bytes.split() without arguments splits at just the white space of the contract.
+    """
+    found = (text or "").encode("utf-8", "surrogatepass").translate(_LOWER).split()
+    if not found:
+        return np.zeros((0, 2), dtype=np.uint64)
+    word = np.frombuffer(b"".join(map(_digests.__getitem__, found)), dtype=np.uint64).reshape(-1, 2)
+    size = min(words, len(word))
+    n = len(word) - size + 1
+    total = np.full((n, 2), size, dtype=np.uint64)
+    for k in range(size):
         total += word[k : k + n] * _PLACES[k]
-    return np.unique(_mixed(total + np.uint64(words)))
+    total = _mixed(total)
+    total = total[np.argsort(total[:, 0], kind="stable")]
+    same = total[1:, 0] == total[:-1, 0]
+    if (same & (total[1:, 1] != total[:-1, 1])).any():
+        return np.unique(total, axis=0)
+    return total[np.concatenate([[True], ~same])]
+
+
+def in_common(x: np.ndarray, y: np.ndarray) -> int:
+    """How many shingles two sets share."""
+    _, i, j = np.intersect1d(x[:, 0], y[:, 0], return_indices=True)
+    agree = int((x[i, 1] == y[j, 1]).sum())
+    if agree == len(i) and len(np.unique(x[:, 0])) == len(x) and len(np.unique(y[:, 0])) == len(y):
+        return agree
+    return len({*map(tuple, x.tolist())} & {*map(tuple, y.tolist())})
 
 
 def _frequent_shingles(rows: DataFrame) -> np.ndarray:
@@ -83,7 +95,7 @@ def _frequent_shingles(rows: DataFrame) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for text in batch.column("text"):
-                yield pa.RecordBatch.from_pydict({"shingle": pa.array(shingles(text.as_py()).view(np.int64))})
+                yield pa.RecordBatch.from_pydict({"shingle": pa.array(shingles(text.as_py())[:, 0].view(np.int64))})
 
     sample = rows.filter(F.pmod(F.xxhash64(F.lit("sample"), "id"), F.lit(SAMPLE_EVERY)) == 0).select("text")
     counted = sample.mapInArrow(run, "shingle long").groupBy("shingle").count().filter("count > 2").orderBy(F.desc("count"), "shingle").limit(FREQUENT)
@@ -101,7 +113,8 @@ def _prefixes(rows: DataFrame) -> DataFrame:
         for batch in batches:
             sizes, first, second, prefixes = [], [], [], []
             for text in batch.column("text"):
-                own = shingles(text.as_py())
+                both = shingles(text.as_py())
+                own = both[:, 0].copy()
                 signed = own.view(np.int64)
                 size = len(own)
                 take = size - -(-NUMERATOR * size // DENOMINATOR) + LEVELS
@@ -116,7 +129,7 @@ def _prefixes(rows: DataFrame) -> DataFrame:
                     ordered = signed
                 sizes.append(size)
                 first.append(int(own.sum(dtype=np.uint64).view(np.int64)) if size else 0)
-                second.append(int(_mixed(own ^ np.uint64(_BASE)).sum(dtype=np.uint64).view(np.int64)) if size else 0)
+                second.append(int(_mixed(both[:, 1] ^ np.uint64(_SALT)).sum(dtype=np.uint64).view(np.int64)) if size else 0)
                 prefixes.append(ordered[:take])
             offsets = np.cumsum([0, *map(len, prefixes)])
             lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(prefixes) if prefixes else np.zeros(0, np.int64)))
@@ -129,32 +142,25 @@ def _prefixes(rows: DataFrame) -> DataFrame:
 def verified(rows: DataFrame, pairs: DataFrame) -> DataFrame:
     """The pairs (a, b) whose sets reach the threshold. Sets are built anew, for documents of pairs only."""
     ids = cut(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct())
-    place = F.pmod(F.xxhash64(F.lit("mark"), "id"), F.lit(MARKS))
-    marks = np.zeros(MARKS, dtype=bool)
-    marks[[r["place"] for r in ids.select(place.alias("place")).distinct().collect()]] = True  # at most MARKS numbers
-    shared = rows.sparkSession.sparkContext.broadcast(np.packbits(marks))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        marked = np.unpackbits(shared.value).astype(bool)
         for batch in batches:
-            wanted = pa.array(marked[batch.column("place").to_numpy(zero_copy_only=False)])
-            part = pa.table([batch.column("id"), batch.column("text")], names=["id", "text"]).filter(wanted)
-            if part.num_rows:
-                for piece in part.to_batches(max_chunksize=500):
-                    yield pa.RecordBatch.from_pydict({"id": piece.column("id"), "set": pa.array([shingles(t.as_py()).tobytes() for t in piece.column("text")], pa.binary())})
+            for at in range(0, batch.num_rows, 500):
+                piece = batch.slice(at, 500)
+                yield pa.RecordBatch.from_pydict({"id": piece.column("id"), "set": pa.array([shingles(t.as_py()).tobytes() for t in piece.column("text")], pa.binary())})
 
     kind = rows.schema["id"].dataType.simpleString()
-    sets = rows.select("id", "text", place.alias("place")).mapInArrow(run, f"id {kind}, set binary")
+    sets = may_be_in(rows.select("id", "text"), F.col("id"), ids).mapInArrow(run, f"id {kind}, set binary")
     sets = cut(sets.join(ids, "id", "left_semi"))
 
     @F.arrow_udf("long")
     def overlap(x: pa.Array, y: pa.Array) -> pa.Array:
-        sides = zip(x, y, strict=True)
-        return pa.array([len(np.intersect1d(np.frombuffer(a.as_py(), np.uint64), np.frombuffer(b.as_py(), np.uint64), assume_unique=True)) for a, b in sides], pa.int64())
+        read = lambda data: np.frombuffer(data.as_py(), np.uint64).reshape(-1, 2)
+        return pa.array([in_common(read(a), read(b)) for a, b in zip(x, y, strict=True)], pa.int64())
 
     side = lambda name: sets.select(F.col("id").alias(name), F.col("set").alias(f"{name}_set"))
     both = pairs.join(side("a"), "a").join(side("b"), "b").withColumn("common", overlap("a_set", "b_set"))
-    union = (F.length("a_set") + F.length("b_set")) / 8 - F.col("common")
+    union = (F.length("a_set") + F.length("b_set")) / 16 - F.col("common")
     return both.filter(F.col("common") * DENOMINATOR >= union * NUMERATOR).select("a", "b").distinct()
 
 
@@ -194,7 +200,7 @@ def _candidates(shared: DataFrame, costs: DataFrame, roots: DataFrame) -> DataFr
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: id, n_shingles, component_id (the least id that links reach, its own included).
 
-    Two documents link when their sets' Jaccard similarity is 4/5 or more, which is decided exactly on the sets. A text
+    Two documents link when their sets' Jaccard similarity is 4/5 or more, which is decided on 128-bit hashes of the whole sets. A text
     without words, or null, has an empty set and links with nothing. Rows that repeat an id are one document in the
     links; a row without id stands alone, with a null component. Other columns are not read.
     """

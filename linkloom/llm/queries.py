@@ -133,11 +133,16 @@ WITH sizes AS (
   SELECT source, source_size, CASE WHEN fills_at <= level THEN 2.0::DOUBLE * source_size
     ELSE max(level) FILTER (WHERE fills_at > level) OVER () * weight END AS target FROM v
 ), rated AS (
-  SELECT doc_id, size, source_size, target, CASE WHEN source_size > 0 THEN target / source_size ELSE 0.0 END AS rate,
-    ('0x' || substr(md5('mix:' || coalesce(doc_id::VARCHAR, 'null')), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE AS u
+  SELECT doc_id, size, sizes.source, source_size, target, CASE WHEN source_size > 0 THEN target / source_size ELSE 0.0 END AS rate
   FROM sizes JOIN targets ON sizes.source IS NOT DISTINCT FROM targets.source
+), drawn AS (
+  SELECT *, (size * (floor(rate) + CASE WHEN
+    ('0x' || substr(sha256('mix:' || (k // 8) || ':' || coalesce(doc_id::VARCHAR, 'null')), 8 * (k % 8) + 1, 8))::BIGINT / 4294967296.0::DOUBLE
+    < rate - floor(rate) THEN 1 ELSE 0 END))::BIGINT AS taken
+  FROM rated, range(32) AS draws(k)
+), nearest AS (
+  SELECT source, k FROM drawn GROUP BY source, k QUALIFY row_number() OVER (PARTITION BY source ORDER BY abs(sum(taken) - max(target)), k) = 1
 )
-SELECT doc_id, size, source_size, target,
-  (size * (floor(rate) + CASE WHEN u < rate - floor(rate) THEN 1 ELSE 0 END))::BIGINT AS taken
-FROM rated
+SELECT doc_id, size, source_size, target, taken
+FROM drawn JOIN nearest ON drawn.source IS NOT DISTINCT FROM nearest.source AND drawn.k = nearest.k
 """

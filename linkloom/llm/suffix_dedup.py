@@ -9,11 +9,15 @@ What makes this affordable is that only text that can repeat is transformed. Eve
 the least hash among its k-byte substrings; equal strings have equal names. A first pass finds the names that two
 documents share, most names being unique. Neighbouring strings with one name overlap and form one stretch of at most
 WINDOW + 31 bytes; stretches of shared names are transformed, in buckets by name, so equal strings meet in one bucket.
+Hashes only name: a name that different strings share brings them together and decides nothing. Of stretches of a shard
+with the same bytes, known by their 128-bit BLAKE2 digests, one stands for all, the one of the least id; the shard's
+other copies are repeats of it as a whole.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -53,14 +57,20 @@ def _mixed(h: np.ndarray) -> np.ndarray:
 
 
 class Stretches:
-    """The stretches of some documents: name, content hash, document, start in it, and number of starts."""
+    """The stretches of some documents: name, document, start in it, and number of starts."""
 
     def __init__(self, texts: list[bytes]):
         self.texts = texts
         parts = [self._of(d, pieces) for d, pieces in self._pieces()]
-        self.name, self.content, self.doc, self.at, self.starts = (np.concatenate(x) if parts else np.zeros(0, np.int64) for x in (zip(*parts, strict=True) if parts else [()] * 5))
+        self.name, self.doc, self.at, self.starts = (np.concatenate(x) if parts else np.zeros(0, np.int64) for x in (zip(*parts, strict=True) if parts else [()] * 4))
         if not parts:
-            self.name = self.content = np.zeros(0, np.uint64)
+            self.name = np.zeros(0, np.uint64)
+
+    def strings(self, which: np.ndarray) -> Iterator[bytes]:
+        """The bytes of some stretches."""
+        texts = self.texts
+        for d, at, n in zip(self.doc[which].tolist(), self.at[which].tolist(), self.starts[which].tolist(), strict=True):
+            yield texts[d][at : at + n + WINDOW - 1]
 
     def _pieces(self) -> Iterator[tuple[np.ndarray, list[tuple[int, int, int]]]]:
         """Bytes of about PIECE, with (document, its offset, length) of what they are made of; long documents are cut with an overlap."""
@@ -112,10 +122,8 @@ class Stretches:
         offset = (np.arange(len(which)) - np.repeat(np.cumsum(pieces) - pieces, pieces)) * STRETCH
         start = first[which] + offset
         starts = np.minimum(STRETCH, runs[which] - offset)
-        end = start + starts + WINDOW - 1
-        content = _mixed((sums[end] - sums[start]) * inverse[start] + starts.astype(np.uint64))
         mine = np.array(held, dtype=np.int64)[owner[start]]
-        return least[start], content, mine[:, 0], mine[:, 1] + place[start], starts.astype(np.int64)
+        return least[start], mine[:, 0], mine[:, 1] + place[start], starts.astype(np.int64)
 
 
 def transform(strings: list[bytes]) -> bytes:
@@ -250,30 +258,33 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     n_buckets = max(4, -(-total // (BUCKET_NAMES * 16)))
     rows = rows.withColumn("shard", F.pmod(F.xxhash64(F.lit("shard"), "id"), F.lit(n_shards)))
 
-    name_rows = "bucket long, names binary, shards binary"
+    name_rows = "bucket long, tags binary, shards binary"
     shared_rows = "shard long, kind int, bucket long, data binary"
     block_rows = "bucket long, shard long, transform binary, ids binary"
     out_rows = "id long, n_bytes long, n_removed long, n_spans long, kept binary, spans array<struct<start: long, end: long>>"
     name_schema, shared_schema, block_schema, out_schema = map(_rows, (name_rows, shared_rows, block_rows, out_rows))
 
+    def tags(name: np.ndarray) -> np.ndarray:
+        """A bucket and 32 more bits of a name: what a bucket's names are told apart by. Names with one tag count as one."""
+        return (name % np.uint64(n_buckets)) << np.uint64(32) | name >> np.uint64(32)
+
     def name_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in (p for batch in batches for p in pa.table(batch).to_batches(max_chunksize=2000)):
             found = Stretches(_encoded(part.column("text")))
-            name, doc = _distinct(found.name, found.doc)
-            shard = part.column("shard").to_numpy(zero_copy_only=False)[doc]
-            out = [{"bucket": b, "names": name[p].tobytes(), "shards": shard[p].astype(np.int32).tobytes()} for b, p in _grouped((name % np.uint64(n_buckets)).astype(np.int64))]
+            tag, shard, n = _occurrences(tags(found.name), found.doc, part.column("shard").to_numpy(zero_copy_only=False))
+            out = [{"bucket": b, "tags": tag[p].astype(np.uint32).tobytes(), "shards": (shard[p] << 1 | (n[p] > 1)).astype(np.uint32).tobytes()} for b, p in _grouped((tag >> np.uint64(32)).astype(np.int64))]
             yield pa.RecordBatch.from_pylist(out, name_schema)
 
     def shared_names(table: pa.Table) -> pa.Table:
-        name = np.concatenate([np.frombuffer(x, np.uint64) for x in table.column("names").to_pylist()])
-        shard = np.concatenate([np.frombuffer(x, np.int32) for x in table.column("shards").to_pylist()])
-        order = np.argsort(name, kind="stable")
-        name, shard = name[order], shard[order]
-        same = name[1:] == name[:-1]
-        twice = np.concatenate([same, [False]]) | np.concatenate([[False], same])
-        name, shard = name[twice], shard[twice]
+        tag = np.concatenate([np.frombuffer(x, np.uint32) for x in table.column("tags").to_pylist()])
+        shard = np.concatenate([np.frombuffer(x, np.uint32) for x in table.column("shards").to_pylist()])
+        order = np.argsort(tag, kind="stable")
+        tag, shard = tag[order], shard[order]
+        same = tag[1:] == tag[:-1]
+        twice = np.concatenate([same, [False]]) | np.concatenate([[False], same]) | (shard & 1 == 1)
+        tag, shard = tag[twice], shard[twice] >> 1
         bucket = table.column("bucket")[0].as_py()
-        out = [{"shard": s, "kind": 0, "bucket": bucket, "data": np.unique(name[p]).tobytes()} for s, p in _grouped(shard)]
+        out = [{"shard": s, "kind": 0, "bucket": bucket, "data": (np.unique(tag[p]).astype(np.uint64) | np.uint64(bucket << 32)).tobytes()} for s, p in _grouped(shard.astype(np.int64))]
         return pa.Table.from_pylist(out, shared_schema)
 
     shared = cut(rows.mapInArrow(name_pass, name_rows).groupBy("bucket").applyInArrow(shared_names, shared_rows))
@@ -285,13 +296,15 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         found = Stretches(texts)
         names = [np.frombuffer(x["data"], np.uint64) for x in answers.to_pylist() if x["kind"] == 0]
         known = np.sort(np.concatenate(names)) if names else np.zeros(0, np.uint64)
-        at = np.minimum(np.searchsorted(known, found.name), max(0, len(known) - 1))
-        pick = np.flatnonzero(known[at] == found.name) if len(known) else np.zeros(0, np.int64)
+        own = tags(found.name)
+        at = np.minimum(np.searchsorted(known, own), max(0, len(known) - 1))
+        pick = np.flatnonzero(known[at] == own) if len(known) else np.zeros(0, np.int64)
         bucket = (found.name[pick] % np.uint64(n_buckets)).astype(np.int64)
-        content = found.content[pick]
-        order = np.lexsort((ids[found.doc[pick]], content, bucket))
+        digests = b"".join(blake2b(x, digest_size=16).digest() for x in found.strings(pick))
+        low, high = np.frombuffer(digests, np.uint64).reshape(-1, 2).T
+        order = np.lexsort((ids[found.doc[pick]], high, low, bucket))
         first = np.ones(len(order), dtype=bool)
-        first[1:] = (content[order][1:] != content[order][:-1]) | (bucket[order][1:] != bucket[order][:-1])
+        first[1:] = (low[order][1:] != low[order][:-1]) | (high[order][1:] != high[order][:-1]) | (bucket[order][1:] != bucket[order][:-1])
         number = np.empty(len(order), dtype=np.int64)
         number[order] = np.cumsum(first) - 1
         lead = pick[order[first]]
@@ -302,8 +315,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         out = []
         for b, p in _grouped(bucket):
             mine = lead[p]
-            strings = [texts[d][at : at + n + WINDOW - 1] for d, at, n in zip(found.doc[mine], found.at[mine], found.starts[mine], strict=True)]
-            out.append({"bucket": b, "shard": docs_part.column("shard")[0].as_py(), "transform": packed(transform(strings)), "ids": ids[found.doc[mine]].tobytes()})
+            out.append({"bucket": b, "shard": docs_part.column("shard")[0].as_py(), "transform": packed(transform([*found.strings(mine)])), "ids": ids[found.doc[mine]].tobytes()})
         return pa.Table.from_pylist(out, block_schema)
 
     def merge_pass(table: pa.Table) -> pa.Table:
@@ -354,13 +366,17 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return by_shard.cogroup(answers.groupBy("shard")).applyInArrow(remove_pass, out_rows).withColumnRenamed("id", id_col)
 
 
-def _distinct(name: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct (name, document) of some stretches."""
-    order = np.lexsort((doc, name))
-    name, doc = name[order], doc[order]
-    new = np.ones(len(name), dtype=bool)
-    new[1:] = (name[1:] != name[:-1]) | (doc[1:] != doc[:-1])
-    return name[new], doc[new]
+def _occurrences(tag: np.ndarray, doc: np.ndarray, shard_of: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct (tag, shard) of some stretches, in order, and in how many documents of these each occurs."""
+    order = np.lexsort((doc, shard_of[doc], tag))
+    tag, doc = tag[order], doc[order]
+    new = np.ones(len(tag), dtype=bool)
+    new[1:] = (tag[1:] != tag[:-1]) | (doc[1:] != doc[:-1])
+    tag, shard = tag[new], shard_of[doc[new]]
+    first = np.ones(len(tag), dtype=bool)
+    first[1:] = (tag[1:] != tag[:-1]) | (shard[1:] != shard[:-1])
+    at = np.flatnonzero(first)
+    return tag[at], shard[at], np.diff(np.concatenate([at, [len(tag)]]))
 
 
 def spans_of(starts: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

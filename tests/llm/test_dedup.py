@@ -102,7 +102,7 @@ def test_long_document_is_cut_with_overlap(monkeypatch):
     whole = suffix_dedup.Stretches([text])
     monkeypatch.setattr(suffix_dedup, "PIECE", 100)
     cut = suffix_dedup.Stretches([text])
-    windows = lambda s: sorted((a + k, n) for a, c, n in zip(s.at, s.starts, s.name) for k in range(c))
+    windows = lambda s: sorted((a + k, n) for a, c, n in zip(s.at, s.starts, s.name, strict=True) for k in range(c))
     assert windows(whole) == windows(cut) and len(windows(cut)) == 651
 
 
@@ -248,6 +248,30 @@ def test_ngram_join_edges(spark):
     assert sorted((r["doc_id"] or 0, r["n_shingles"], r["component_id"]) for r in rows) == [(0, 1, None), (2, 1, 2), (4, 1, 4), (4, 1, 4)]
 
 
+def thue_morse(bits, letters):
+    word = letters[0]
+    for _ in range(bits):
+        word += word.translate(str.maketrans(letters, letters[::-1]))
+    return word
+
+
+def test_words_that_polynomial_hashes_confuse(spark):
+    """A word and its complement collide in any polynomial modulo a power of two."""
+    a, b = thue_morse(10, "ab"), thue_morse(10, "ba")
+    got = ngram_join.near_duplicates(frame(spark, [a, b])).collect()
+    assert sorted((r["doc_id"], r["component_id"]) for r in got) == [(0, 0), (1, 1)]
+    texts = [f"{x} {y}" for x, y in ((a, "x" * 60), (b, "y" * 60), (a[:500], "z" * 60))]
+    got = suffix_dedup.remove_repeats(frame(spark, texts)).collect()
+    assert sorted((r["doc_id"], r["n_removed"]) for r in got) == [(i, n) for i, _, n, _, _ in plain_repeats(texts, range(3))]
+
+
+def test_shingles_of_long_words_and_texts():
+    words = ["w" * 100_000, *[f"v{i % 70_000}" for i in range(200_000)]]
+    assert len(ngram_join.shingles(" ".join(words))) == len({tuple(words[i : i + 5]) for i in range(len(words) - 4)})
+    x, y = (ngram_join.shingles(" ".join(words[a:b])) for a, b in ((0, 1000), (500, 1500)))
+    assert ngram_join.in_common(x, y) == 496
+
+
 def test_components_of_a_long_chain(spark):
     order = list(range(60))
     random.Random(8).shuffle(order)

@@ -35,13 +35,56 @@ def test_language_id_edges(spark):
     model = language_id.train(docs)
     got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in language_id.identify(docs, model).collect()}
     assert got[3] == got[4] == got[None] == ("und", 0.0) and got[1][0] == "en" and got[2][0] == "de"
-    assert model.predict("hunde")[0] == "de" and model.predict("漢字") == ("de", 0.5)
+    assert model.predict(["hunde", "漢字", "½ ²", "x½"]) == [("de", pytest.approx(0.75, abs=0.25)), ("de", 0.5), ("und", 0.0), ("de", pytest.approx(0.6, abs=0.2))]
     empty = language_id.train(docs.filter("lang is null"))
     assert language_id.identify(docs, empty).filter("lang_pred <> 'und'").count() == 0
     assert language_id.identify(docs.limit(0), model).count() == 0
     assert language_id.held_out(F.col("doc_id")) is not None
 
 
+def plain_language(texts, model_rows, text, smoothing=0.1):
+    """Word-first backoff over the training rows' own counts, features as strings."""
+    counts = {}
+    for lang, t in model_rows:
+        for w in re.findall(r"[^\W\d_]+", t.lower()):
+            for order in (0, 4, 3, 2, 1):
+                for f in language_id.grams_of(w, order) if order else [w]:
+                    counts.setdefault(order, {}).setdefault(f, {}).setdefault(lang, []).append(1)
+    langs = sorted({lang for lang, _ in model_rows})
+    total = {o: {lang: sum(len(c.get(lang, ())) + smoothing for c in table.values()) for lang in langs} for o, table in counts.items()}
+
+    def posterior(order, f):
+        p = [(len(counts[order][f].get(lang, ())) + smoothing) / total[order][lang] for lang in langs]
+        return [math.log(x / sum(p)) for x in p]
+
+    rows = []
+    for w in re.findall(r"[^\W\d_]+", text.lower()):
+        for order in (0, 4, 3, 2, 1):
+            known = [f for f in (language_id.grams_of(w, order) if order else [w]) if f in counts[order]]
+            if known:
+                rows.append([sum(x) / len(known) for x in zip(*(posterior(order, f) for f in known))])
+                break
+    mean = [sum(x) / len(rows) for x in zip(*rows)]
+    weights = [math.exp(language_id.SHARPNESS * (m - max(mean))) for m in mean]
+    return langs[mean.index(max(mean))], max(weights) / sum(weights)
+
+
+def test_language_id_against_plain(spark, documents, monkeypatch):
+    monkeypatch.setattr(language_id, "COUNTERS", 500)
+    rows = [(r["lang"], r["text"]) for r in documents.filter("lang is not null and text is not null").orderBy("doc_id").limit(40).collect()]
+    model = language_id.train(spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "doc_id long, lang string, text string"))
+    texts = [r["text"] for r in documents.filter("text is not null").orderBy(F.desc("doc_id")).limit(25).collect()] + ["the zzz theé " * 20_000]
+    for text, (lang, score) in zip(texts, model.predict(texts)):
+        if re.search(r"[^\W\d_]", text):
+            expected = plain_language(texts, rows, text[:200_000])
+            assert lang == expected[0] and score == pytest.approx(expected[1], rel=1e-3)
+
+
+def test_few_features_keep_all_languages(spark, documents):
+    model = language_id.train(documents, features=300)
+    assert all(len(k) <= 300 for k in model.keys.values()) and all(s.shape == (len(model.keys[o]), len(model.languages)) for o, s in model.scores.items())
+
+
 @pytest.fixture(scope="module")
 def transducer():
     return piece_transducer.compile_transducer(piece_transducer.read_vocabulary())
@@ -220,9 +263,22 @@ def test_mixing_against_plain(spark):
     assert sorted(map(str, rows)) == sorted(map(str, mixing.mix_plan(df.repartition(3)).collect()))
     mixed = mixing.mix(df)
     assert mixed.columns == df.columns and mixed.count() == sum(r["copies"] for r in rows)
+    clashing = df.select("*", F.lit("z").alias("copies"), F.lit("y").alias("copy"), F.lit("x").alias("draw"))
+    assert mixing.mix(clashing).filter("copies = 'z' and copy = 'y' and draw = 'x'").count() == mixed.count()
     assert mixing.mix(df.limit(0)).count() == 0 and mixing.mix_plan(df.filter("source = 'empty'")).first()["taken"] == 0
 
 
+def test_mixing_comes_near_with_few_documents(spark):
+    rng = random.Random(11)
+    docs = [(i, " ".join(["w"] * int(rng.lognormvariate(5, 1.2))), f"src{i % 20:02}") for i in range(1000)]
+    rows = mixing.mix_plan(spark.createDataFrame(docs, "doc_id long, text string, source string")).collect()
+    taken, target = {}, {}
+    for r in rows:
+        s = docs[r["doc_id"]][2]
+        taken[s], target[s] = taken.get(s, 0) + r["taken"], r["target"]
+    assert all(abs(taken[s] - target[s]) <= 0.04 * target[s] for s in target)
+
+
 def test_audio_round_trip_and_shapes(spark):
     texts = [None, "", "a" * 64, "b" * 65, "é" * 5000, "quiet" + "\x80\x00" * 900 + "." * 2000]
     df = spark.createDataFrame(list(enumerate([*texts, texts[4]])), "doc_id long, text string").withColumn("media", F.lit(1))
