@@ -22,9 +22,11 @@ FRAME, HOP, BANDS = 256, 128, 40
 #: A tensor holds so many frames; the last one of a recording is filled up with FLOOR.
 TENSOR_FRAMES = 64
 FLOOR = -10.0
+#: Frames, or output samples, worked on at once.
+CHUNK = 4096
 #: Activity begins above the first level and ends below the second, in units of the recording's own spread of energy.
 RISE, FALL = 0.5, -0.25
-OUT_SCHEMA = "n_bytes long, media binary, payload binary, n_frames long, log_mel array<float>, spans array<struct<start_ms: long, end_ms: long>>"
+OUT_SCHEMA = "n_bytes long, media binary, payload binary, n_frames long, tensors binary, spans array<struct<start_ms: long, end_ms: long>>"
 
 
 @cache
@@ -53,7 +55,9 @@ def resample(x: np.ndarray, up: int, down: int) -> np.ndarray:
     for first in range(up):  # outputs first, first + up, ... have one phase and inputs that lie down apart
         mine = out[first::up]
         at = first * down // up
-        mine[:] = windows[at : at + down * len(mine) : down][: len(mine)] @ phases[first * down % up]
+        for k in range(0, len(mine), CHUNK):
+            part = mine[k : k + CHUNK]
+            part[:] = windows[at + down * k : at + down * (k + len(part)) : down][: len(part)] @ phases[first * down % up]
     return out
 
 
@@ -74,13 +78,15 @@ def frames_of(x: np.ndarray) -> np.ndarray:
 
 
 def log_mel(frames: np.ndarray, rate: int) -> np.ndarray:
+    if len(frames) > CHUNK:
+        return np.concatenate([log_mel(frames[k : k + CHUNK], rate) for k in range(0, len(frames), CHUNK)])
     power = np.abs(np.fft.rfft(frames * np.hanning(FRAME).astype(np.float32), axis=1)).astype(np.float32) ** 2
     return np.maximum(np.log10(np.maximum(power @ mel_filters(rate), 1e-10)), FLOOR).astype(np.float32)
 
 
 def active_spans(frames: np.ndarray, rate: int) -> list[tuple[int, int]]:
     """Milliseconds (start, end) of runs of frames that begin above the upper level and last until one is below the lower level."""
-    energy = np.log10(np.maximum((frames - frames.mean(axis=1, keepdims=True)).var(axis=1), 1e-10))
+    energy = np.concatenate([np.log10(np.maximum(part.var(axis=1), 1e-10)) for part in (frames[k : k + CHUNK] for k in range(0, len(frames), CHUNK))])
     spread = energy.std()
     if spread == 0:
         return []
@@ -109,6 +115,23 @@ def from_wav(media: bytes) -> bytes:
         return w.readframes(w.getnframes())
 
 
+def to_ipc(tensors: np.ndarray, n_frames: int) -> bytes:
+    """An Arrow stream of tensors as a fixed_shape_tensor column log_mel, with the milliseconds (start_ms, end_ms) that each spans."""
+    first = np.arange(len(tensors), dtype=np.int64) * TENSOR_FRAMES
+    last = np.minimum(first + TENSOR_FRAMES, n_frames) - 1
+    ms = lambda frame: frame * HOP * 1000 // RATE_OUT
+    batch = pa.record_batch([pa.FixedShapeTensorArray.from_numpy_ndarray(tensors), pa.array(ms(first)), pa.array(ms(last) + FRAME * 1000 // RATE_OUT)], names=["log_mel", "start_ms", "end_ms"])
+    out = pa.BufferOutputStream()
+    with pa.ipc.new_stream(out, batch.schema) as writer:
+        writer.write_batch(batch)
+    return out.getvalue().to_pybytes()
+
+
+def from_ipc(stored: bytes) -> pa.Table:
+    """What to_ipc wrote: log_mel (fixed_shape_tensor of TENSOR_FRAMES x BANDS), start_ms, end_ms."""
+    return pa.ipc.open_stream(stored).read_all()
+
+
 def featurise(text: str | None) -> dict:
     data = (text or "").encode("utf-8")
     media = to_wav(data + bytes(-len(data) % UNIT if data else UNIT))
@@ -118,14 +141,15 @@ def featurise(text: str | None) -> dict:
     mel = log_mel(frames, RATE_OUT)
     blocks = np.full((-(-len(mel) // TENSOR_FRAMES) * TENSOR_FRAMES, BANDS), FLOOR, dtype=np.float32)
     blocks[: len(mel)] = mel
-    return {"n_bytes": len(data), "media": media, "payload": payload, "n_frames": len(mel), "log_mel": blocks.ravel(), "spans": [{"start_ms": s, "end_ms": e} for s, e in active_spans(frames, RATE_OUT)]}
+    return {"n_bytes": len(data), "media": media, "payload": payload, "n_frames": len(mel), "tensors": to_ipc(blocks.reshape(-1, TENSOR_FRAMES, BANDS), len(mel)), "spans": [{"start_ms": s, "end_ms": e} for s, e in active_spans(frames, RATE_OUT)]}
 
 
 def audio_features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row: id, n_bytes, media (WAV, 8-bit mono), payload (read back from media), n_frames, log_mel, spans.
+    """One row per row: id, n_bytes, media (WAV, 8-bit mono), payload (read back from media), n_frames, tensors, spans.
 
-    The payload is the text in UTF-8 (null: empty), filled with zero bytes to a positive multiple of 64. log_mel is the
-    concatenation of tensors of TENSOR_FRAMES x BANDS floats; tensors() gives them their shape. A recording of even
+    The payload is the text in UTF-8 (null: empty), filled with zero bytes to a positive multiple of 64. tensors is
+    an Arrow stream with a fixed_shape_tensor column of TENSOR_FRAMES x BANDS log-mel floats and the time span of each
+    tensor; from_ipc reads it. An empty table gives no rows, a very long text is worked on in chunks. A recording of even
     energy has no spans. Repeated rows give repeated results; other columns are not read.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
@@ -137,17 +161,8 @@ def audio_features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 part = batch.slice(at, 128)
                 made = [featurise(t) for t in part.column("text").to_pylist()]
                 columns = {"id": part.column("id")}
-                columns |= {c: pa.array([m[c] for m in made], t) for c, t in (("n_bytes", pa.int64()), ("media", pa.binary()), ("payload", pa.binary()), ("n_frames", pa.int64()))}
-                lengths = np.cumsum([0, *(len(m["log_mel"]) for m in made)])
-                columns["log_mel"] = pa.ListArray.from_arrays(pa.array(lengths, pa.int32()), pa.array(np.concatenate([m["log_mel"] for m in made])))
+                columns |= {c: pa.array([m[c] for m in made], t) for c, t in (("n_bytes", pa.int64()), ("media", pa.binary()), ("payload", pa.binary()), ("n_frames", pa.int64()), ("tensors", pa.binary()))}
                 columns["spans"] = pa.array([m["spans"] for m in made], pa.list_(pa.struct([("start_ms", pa.int64()), ("end_ms", pa.int64())])))
                 yield pa.RecordBatch.from_pydict(columns)
 
     return rows.mapInArrow(run, f"id {kind.simpleString()}, {OUT_SCHEMA}").withColumnRenamed("id", id_col)
-
-
-def tensors(log_mel_column: pa.ListArray | pa.ChunkedArray) -> pa.FixedShapeTensorArray:
-    """The tensors of some rows' log_mel, one after the other, as an Arrow fixed_shape_tensor array of TENSOR_FRAMES x BANDS."""
-    flat = log_mel_column.combine_chunks() if isinstance(log_mel_column, pa.ChunkedArray) else log_mel_column
-    values = flat.flatten().to_numpy(zero_copy_only=False).astype(np.float32, copy=False)
-    return pa.FixedShapeTensorArray.from_numpy_ndarray(values.reshape(-1, TENSOR_FRAMES, BANDS))

@@ -30,13 +30,15 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rows = rows.withColumn("norm_length", F.length("norm"))
     keyed = rows.withColumn("head", F.xxhash64(F.substring("norm", 1, head_chars)))
 
-    lengths = rows.groupBy("norm_length").count().filter("count > 1").select("norm_length")
-    heads = keyed.select("norm_length", "head").join(lengths, "norm_length", "left_semi").groupBy("norm_length", "head").count().filter("count > 1")
+    full_hash = F.sha2(F.col("norm"), 256)
+    if digest_all:  # texts are read once, and the stages work on this narrow table
+        keyed = cut(keyed.select("id", "n_chars", "norm_length", "head", full_hash.alias("content_hash")))
+    lengths = keyed.groupBy("norm_length").count().filter("count > 1").select("norm_length")
+    heads = keyed.groupBy("norm_length", "head").count().join(lengths, "norm_length", "left_semi").filter("count > 1")
     heads = cut(heads.select("norm_length", "head", F.lit(True).alias("alike")))
 
-    full_hash = F.sha2(F.col("norm"), 256)
     if digest_all:
-        small = keyed.select("id", "n_chars", "norm_length", "head", full_hash.alias("content_hash")).join(heads, ["norm_length", "head"], "left")
+        small = keyed.join(heads, ["norm_length", "head"], "left")
     else:
         alike = keyed.join(heads, ["norm_length", "head"], "left_semi").select("id", "n_chars", "norm_length", full_hash.alias("content_hash"), F.lit(True).alias("alike"))
         alone = keyed.select("id", "n_chars", "norm_length", "head").join(heads, ["norm_length", "head"], "left_anti")

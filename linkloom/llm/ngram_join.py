@@ -31,7 +31,7 @@ LEVELS = 4
 VERIFY_COST = 50
 SAMPLE_EVERY, FREQUENT = 32, 50_000
 #: Digests of words that a worker remembers.
-MEMO = 100_000
+MEMO = 50_000
 
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 _SALT = 0x9E3779B97F4A7C15

@@ -275,6 +275,8 @@ def encode_and_decode(docs: DataFrame, transducer: PieceTransducer, text_col: st
                 decoded.append(shared.value.decode(ids))
             lists = pa.ListArray.from_arrays(pa.array(np.frombuffer(ends, dtype=np.int32)), pa.array(np.frombuffer(values, dtype=np.int32) if len(values) else [], pa.int32()))
             yield pa.RecordBatch.from_arrays([*part.columns, lists, pa.array(decoded, pa.string())], names=schema.names)
+        shared.value.memo.clear()  # workers are used again, by stages that have no use for it
+        pa.default_memory_pool().release_unused()
 
     return kept.mapInArrow(run, schema)
 

@@ -36,8 +36,9 @@ def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    model = secret_scan.train_markov(secret_scan.labelled_samples(spark))
-    found = secret_scan.scan_secrets(table(spark, sf_dir, "documents").select("doc_id", "text"), model)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = secret_scan.train_markov(secret_scan.labelled_samples(spark).unionByName(secret_scan.corpus_words(docs)))
+    found = secret_scan.scan_secrets(docs, model)
     count = lambda kind: F.size(F.filter("secrets", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     joined = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
     base = F.filter("secrets", lambda s: s["kind"] != "random")
@@ -75,7 +76,7 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_audio_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = audio_features.audio_features(table(spark, sf_dir, "documents"))
     spans = F.array_join(F.transform(F.slice("spans", 1, 3), lambda s: F.concat_ws("-", s["start_ms"], s["end_ms"])), ";")
-    feature = F.concat_ws("|", "n_frames", F.size("spans"), spans, F.hex(F.xxhash64("log_mel", "spans")))
+    feature = F.concat_ws("|", "n_frames", F.size("spans"), spans, F.hex(F.xxhash64("tensors", "spans")))
     return made.select(
         "doc_id",
         "n_bytes",

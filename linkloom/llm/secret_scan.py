@@ -20,12 +20,15 @@ HEX = "[0-9a-f]{24,}"
 KINDS = ("assign", "access", "hex", "random")
 ASSIGN_CHARS, ACCESS_CHARS = 6, 20
 
-#: Runs that the models judge: 20 and more characters of an encoding's alphabet, with a digit among them.
-CANDIDATE = "(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*[0-9])[A-Za-z0-9+/_=-]{20,}+"
+#: Runs that the models judge: 16 and more characters of an encoding's alphabet. Shorter ones hold too little to tell.
+CANDIDATE = "(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,}+"
+#: Whole words of letters, as samples of ordinary text, and documents that they are drawn from.
+SAMPLE_WORD = "(?<![A-Za-z0-9+/_=-])[A-Za-z]{4,15}(?![A-Za-z0-9+/_=-])"
+SAMPLE_DOCS = 200
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 MIN_LLR = 12.0
 
-#: Words that identifiers are made of.
+#: Words that made-up identifiers are made of.
 IDENTIFIER_WORDS = (
     "get set user name file path data list item count index value key node page link host port time date text line word "
     "load save read write open close start stop first last next prev parent child left right table column row field type "
@@ -60,6 +63,15 @@ def labelled_samples(spark: SparkSession, n: int = 3000) -> DataFrame:
     return ids.select(F.explode(random).alias("text"), F.lit(True).alias("random")).unionByName(ids.select(F.explode(ordinary).alias("text"), F.lit(False).alias("random")))
 
 
+def corpus_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_docs: int = SAMPLE_DOCS) -> DataFrame:
+    """Rows (text, random = false): the words of about sample_docs documents, drawn by a hash of id, outside what the base patterns match."""
+    total = docs.count()
+    share = min(1_000_000, -(-sample_docs * 1_000_000 // max(1, total)))
+    drawn = docs.filter(F.pmod(F.xxhash64(F.lit("words"), id_col), F.lit(1_000_000)) < share)
+    outside = F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), f"{ASSIGN}|{ACCESS}|{HEX}", " ")
+    return drawn.select(F.explode(F.regexp_extract_all(outside, F.lit(SAMPLE_WORD), F.lit(0))).alias("text"), F.lit(False).alias("random"))
+
+
 def train_markov(samples: DataFrame, text_col: str = "text", label_col: str = "random", smoothing: float = 0.5) -> MarkovModel:
     """Bigram models of both labels from samples (text, boolean), with additive smoothing. Null texts and labels and texts under two characters add nothing; without samples all ratios are 0."""
     side = len(ALPHABET) + 1
@@ -98,24 +110,26 @@ def _placed(text: Column, pattern: str, kind: int) -> Column:
 
 
 def _llr(value: Column, model: MarkovModel) -> Column:
+    """Sum of the ratios of value's character pairs; value is taken apart once, so the work is linear in its length."""
     side = len(ALPHABET) + 1
     ratios = F.from_json(F.lit(json.dumps(model.ratios)), "array<double>")
-    place = lambda i: F.instr(F.lit(ALPHABET), value.substr(i, F.lit(1)))
-    return F.aggregate(F.sequence(F.lit(1), F.length(value) - 1), F.lit(0.0), lambda acc, i: acc + F.get(ratios, place(i) * side + place(i + 1)))
+    places = F.transform(F.split(value, ""), lambda c: F.instr(F.lit(ALPHABET), c))
+    score = lambda p: F.aggregate(F.sequence(F.lit(1), F.size(p) - 1), F.lit(0.0), lambda acc, i: acc + F.get(ratios, F.get(p, i - 1) * side + F.get(p, i)))
+    return F.get(F.transform(F.array(places), score), F.lit(0))
 
 
 def scan_secrets(docs: DataFrame, model: MarkovModel, text_col: str = "text", min_llr: float = MIN_LLR) -> DataFrame:
     """docs with a column secrets: array of (start, kind, end, hit) sorted by start, then kind as in KINDS.
 
     Kinds assign, access and hex are the leftmost non-overlapping matches of the base patterns that are long enough.
-    random is a run of 20 and more characters, with a digit, whose log-likelihood ratio reaches min_llr and which no base
-    span touches. Offsets are code points, the end is exclusive. A null or empty text has no spans. Other columns stay; one named secrets is replaced.
+    random is a run of 16 and more characters of the encodings' alphabet whose log-likelihood ratio reaches min_llr and
+    which no base span covers whole. A very long run is judged whole; repeated rows get the same spans. Offsets are code points, the end is exclusive. A null or empty text has no spans. Other columns stay; one named secrets is replaced.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     assign = F.filter(_placed(text, ASSIGN, 0), lambda s: F.length(s["value"]) >= ASSIGN_CHARS)
     access = F.filter(_placed(text, ACCESS, 1), lambda s: F.length(s["hit"]) >= ACCESS_CHARS)
     out = docs.select("*", F.concat(assign, access, _placed(text, HEX, 2)).alias("__secret_base"), _placed(text, CANDIDATE, 3).alias("__secret_runs"))
-    free = F.filter("__secret_runs", lambda r: ~F.exists("__secret_base", lambda b: (b["start"] < r["end"]) & (r["start"] < b["end"])))
+    free = F.filter("__secret_runs", lambda r: ~F.exists("__secret_base", lambda b: (b["start"] <= r["start"]) & (r["end"] <= b["end"])))
     random = F.filter(free, lambda r: _llr(r["hit"], model) >= min_llr)
     spans = F.transform(F.array_sort(F.concat(F.col("__secret_base"), random)), lambda s: F.struct(s["start"].alias("start"), F.element_at(F.array(*map(F.lit, KINDS)), s["kind"] + 1).alias("kind"), s["end"].alias("end"), s["hit"].alias("hit")))
     return out.withColumn("secrets", spans).drop("__secret_base", "__secret_runs")

@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -182,6 +183,44 @@ def test_markov_tells_labelled_samples_apart(spark):
     assert scored.filter("found = random").count() >= 0.95 * held.count()
 
 
+def test_likelihood_ratio_against_plain(spark):
+    samples = [("ab1", True), ("b1b1", True), ("abab", False), ("a", True), (None, False), ("é-a", False)]
+    model = secret_scan.train_markov(spark.createDataFrame(samples, "text string, random boolean"))
+    side = len(secret_scan.ALPHABET) + 1
+    place = lambda c: secret_scan.ALPHABET.find(c) + 1
+
+    def ratio(x, y):
+        p = {}
+        for label in (True, False):
+            pairs = [(a, b) for t, kind in samples if t and kind == label for a, b in zip(map(place, t), map(place, t[1:]))]
+            p[label] = (pairs.count((x, y)) + 0.5) / (sum(a == x for a, _ in pairs) + 0.5 * side)
+        return math.log(p[True] / p[False])
+
+    texts = ["ab1b1-aé", "aaaa", "ab"]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select("t", secret_scan._llr(F.col("t"), model).alias("llr")).collect()
+    for r in got:
+        assert r["llr"] == pytest.approx(sum(ratio(place(a), place(b)) for a, b in zip(r["t"], r["t"][1:])), abs=1e-4)
+
+
+def test_secrets_in_a_very_long_run(spark):
+    model = secret_scan.train_markov(secret_scan.labelled_samples(spark, 500))
+    run = "".join(random.Random(3).choices(secret_scan.ALPHABET[:64], k=1_000_000))
+    began = time.time()
+    docs = spark.createDataFrame([(1, f"data: {run} end", "x"), (1, None, "y")], "doc_id long, text string, secrets string")
+    rows = secret_scan.scan_secrets(docs, model).collect()
+    assert [s["kind"] for r in rows for s in r["secrets"] if s["end"] - s["start"] == 1_000_000] == ["random"] and time.time() - began < 30
+
+
+def test_letters_alone_can_be_random(spark, documents):
+    model = secret_scan.train_markov(secret_scan.labelled_samples(spark, 1000).unionByName(secret_scan.corpus_words(documents)))
+    rng = random.Random(4)
+    runs = ["".join(rng.choices(secret_scan.ALPHABET[:52], k=32)) for _ in range(50)]
+    plain = ["internationalization", "counterrevolutionaries", "hypothetical_configuration_value", "/usr/local/share/documents/report-final"]
+    rows = secret_scan.scan_secrets(spark.createDataFrame([(i, t) for i, t in enumerate(runs + plain)], "doc_id long, text string"), model).collect()
+    hits = {r["doc_id"] for r in rows if r["secrets"]}
+    assert len(hits & {*range(50)}) >= 48 and not hits & {*range(50, 54)}
+
+
 def test_chat_roles_on_held_out_conversations(spark):
     turns = spark.read.parquet("/root/testdata/sf0.01/conversations.parquet")
     raw = chat_format.raw_transcripts(turns)
@@ -279,6 +318,43 @@ def test_mixing_comes_near_with_few_documents(spark):
     assert all(abs(taken[s] - target[s]) <= 0.04 * target[s] for s in target)
 
 
+def plain_log_mel(payload):
+    """Frames one by one: Hann window, discrete Fourier sums, triangular filters on the mel scale."""
+    x = audio_features.resample((np.frombuffer(payload, np.uint8).astype(np.float32) - 128) / 128, 8000, 16000).astype(np.float64)
+    n = max(1, -(-(len(x) - 256) // 128) + 1)
+    x = np.concatenate([x, np.zeros((n - 1) * 128 + 256 - len(x))])
+    k, t = np.arange(129)[:, None], np.arange(256)[None]
+    waves = np.exp(-2j * np.pi * k * t / 256)
+    mel = lambda f: 2595 * math.log10(1 + f / 700)
+    edges = [700 * (10 ** (mel(4000) * b / 41 / 2595) - 1) for b in range(42)]
+    filters = [[max(0.0, min((f - a) / (b - a), (c - f) / (c - b))) for f in (i * 8000 / 256 for i in range(129))] for a, b, c in zip(edges, edges[1:], edges[2:])]
+    rows = []
+    for f in range(min(n, 200)):
+        power = np.abs(waves @ (x[f * 128 : f * 128 + 256] * np.hanning(256))) ** 2
+        rows.append([max(math.log10(max(sum(p * w for p, w in zip(power, fs)), 1e-10)), audio_features.FLOOR) for fs in filters])
+    return np.array(rows)
+
+
+def test_audio_in_chunks(monkeypatch):
+    text = "".join(random.Random(2).choices("abcdé ", k=40_000))
+    whole = audio_features.featurise(text)
+    monkeypatch.setattr(audio_features, "CHUNK", 100)
+    parts = audio_features.featurise(text)
+    a, b = (audio_features.from_ipc(x["tensors"]).column("log_mel").combine_chunks().to_numpy_ndarray() for x in (whole, parts))
+    assert np.allclose(a, b, atol=1e-4) and whole["spans"] == parts["spans"]
+
+
+def test_audio_query_columns(spark):
+    from linkloom.llm import queries
+
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    for r in queries.op10_audio_features(spark, SF).collect():
+        data = (texts[r["doc_id"]] or "").encode()
+        padded = data + bytes(max(64, -(-len(data) // 64) * 64) - len(data))
+        assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(data), len(padded), hashlib.sha256(padded).hexdigest(), zlib.crc32(padded[-64:]))
+        assert r["media_bytes"] == len(audio_features.to_wav(padded)) and r["media_sha256"] == hashlib.sha256(audio_features.to_wav(padded)).hexdigest()
+
+
 def test_audio_round_trip_and_shapes(spark):
     texts = [None, "", "a" * 64, "b" * 65, "é" * 5000, "quiet" + "\x80\x00" * 900 + "." * 2000]
     df = spark.createDataFrame(list(enumerate([*texts, texts[4]])), "doc_id long, text string").withColumn("media", F.lit(1))
@@ -287,12 +363,14 @@ def test_audio_round_trip_and_shapes(spark):
         data = (t or "").encode()
         padded = data + bytes(max(64, -(-len(data) // 64) * 64) - len(data))
         assert r["n_bytes"] == len(data) and bytes(r["payload"]) == padded and audio_features.from_wav(bytes(r["media"])) == padded
-        assert len(r["log_mel"]) % (audio_features.TENSOR_FRAMES * audio_features.BANDS) == 0
+        stored = audio_features.from_ipc(bytes(r["tensors"]))
+        tensors = stored.column("log_mel").combine_chunks()
+        assert tensors.type == pa.fixed_shape_tensor(pa.float32(), [64, 40]) and len(tensors) == -(-r["n_frames"] // 64)
+        mel = tensors.to_numpy_ndarray().reshape(-1, 40)
+        assert np.allclose(mel[: r["n_frames"]], plain_log_mel(padded), atol=2e-3) and (mel[r["n_frames"] :] == audio_features.FLOOR).all()
+        assert stored.column("start_ms").to_pylist() == [i * 64 * 16 for i in range(len(tensors))]
         assert all(s["start_ms"] < s["end_ms"] for s in r["spans"])
     assert rows[4][2:] == rows[6][2:]
-    column = pa.array([r["log_mel"] for r in rows], pa.list_(pa.float32()))
-    tensors = audio_features.tensors(column)
-    assert tensors.type.shape == [64, 40] and tensors.to_numpy_ndarray().shape[0] == sum(len(r["log_mel"]) for r in rows) // 2560
     assert audio_features.audio_features(df.limit(0)).count() == 0
     assert zlib.crc32(bytes(rows[0]["payload"])) == zlib.crc32(bytes(64)) and hashlib.sha256(bytes(rows[1]["media"])).hexdigest()
 
