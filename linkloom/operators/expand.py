@@ -114,19 +114,22 @@ def _search_url(year: Column, issue: Column) -> Column:
 def _channel_items(bodies: pd.Series) -> pd.Series:
     """Items of all channels of a tree, depth first, each as JSON; a tree has any depth, which no fixed schema has."""
 
-    def walk(channels) -> list[str]:
-        out = []
-        for channel in channels or []:
-            out += [json.dumps(item, ensure_ascii=False) for item in channel.get("issueInfoList") or []]
-            out += walk(channel.get("channels"))
-        return out
+    lists = lambda value: value if isinstance(value, list) else []
 
     def one(body):
         try:
-            data = json.loads(body or "").get("data") or {}
-        except (ValueError, AttributeError):
+            data = json.loads(body or "")
+        except (ValueError, RecursionError):
             return []
-        return walk(data.get("channels"))
+        for key in ("data", "channels"):
+            data = data.get(key) if isinstance(data, dict) else None
+        out, waiting = [], lists(data)[::-1]
+        while waiting:
+            channel = waiting.pop()
+            if isinstance(channel, dict):
+                out += [json.dumps(item, ensure_ascii=False) for item in lists(channel.get("issueInfoList"))]
+                waiting += lists(channel.get("channels"))[::-1]
+        return out
 
     return bodies.map(one)
 
@@ -236,10 +239,15 @@ def sorted_payload(payload: Column) -> Column:
     return F.to_json(F.array_sort(F.map_entries(payload)))
 
 
+#: No series of captured answers is longer; a claim beyond it is an error of the answer.
+MOST_PAGES = 1_000_000
+
+
 def pagination_plan(responses: DataFrame, max_pages: int = 0) -> DataFrame:
     """Rows (KEYS, url, payload, page, request): the further pages of paginated answers, each request once.
 
-    max_pages limits the pages of one series, 0 does not. Answers that were themselves further pages plan none anew.
+    max_pages limits the pages of one series, 0 does not. An answer that claims more than MOST_PAGES pages in all is
+    taken for malformed and plans none. Answers that were themselves further pages plan none anew.
     """
     payload = F.coalesce(F.from_json("post_body", "map<string,string>"), F.create_map().cast("map<string,string>"))
     api = F.lit(None).cast("string")
@@ -248,7 +256,7 @@ def pagination_plan(responses: DataFrame, max_pages: int = 0) -> DataFrame:
     rows = responses.select(*KEYS, api.alias("api"), payload.alias("payload"), F.coalesce(F.from_json("body", "totalpage int")["totalpage"], F.lit(1)).alias("total")).filter("api is not null")
     rows = rows.withColumn("curr", F.coalesce(F.col("payload")["curr"].cast("int"), F.lit(1)))
     last = F.least("total", F.col("curr") + max_pages) if max_pages else F.col("total")
-    pages = rows.filter(F.col("total") > F.col("curr")).select("*", F.explode(F.sequence(F.col("curr") + 1, last)).alias("page"))
+    pages = rows.filter((F.col("total") > F.col("curr")) & (F.col("total") <= MOST_PAGES) & (F.col("curr") >= 0)).select("*", F.explode(F.sequence(F.col("curr") + 1, last)).alias("page"))
     kept = F.map_filter("payload", lambda k, v: k != "curr")
     pages = pages.withColumn("payload", F.map_concat(kept, F.create_map(F.lit("curr"), F.col("page").cast("string"))))
     pages = pages.withColumn("request", F.concat_ws("|", "api", sorted_payload(F.col("payload"))))
@@ -260,17 +268,19 @@ def pagination_plan(responses: DataFrame, max_pages: int = 0) -> DataFrame:
 def json_strings(bodies: pd.Series) -> pd.Series:
     """All string values of a JSON text, in order, at any depth."""
 
-    def walk(value) -> list[str]:
-        if isinstance(value, str):
-            return [value]
-        inner = value.values() if isinstance(value, dict) else value if isinstance(value, list) else ()
-        return [s for v in inner for s in walk(v)]
-
     def one(body):
         try:
-            return walk(json.loads(body or ""))
-        except ValueError:
+            waiting = [json.loads(body or "")]
+        except (ValueError, RecursionError):
             return []
+        out = []
+        while waiting:
+            value = waiting.pop()
+            if isinstance(value, str):
+                out.append(value)
+            else:
+                waiting += (list(value.values()) if isinstance(value, dict) else value if isinstance(value, list) else [])[::-1]
+        return out
 
     return bodies.map(one)
 

@@ -76,14 +76,19 @@ def links_of_html(pages: DataFrame, text: str = "html", keep: tuple[str, ...] =
     """
     keys = [*SITE, "source_url", *keep]
     attrs = attributes(pages.select(*keys, text), text)
-    in_values = attrs.select(*keys, "pos", F.explode(links_of_text(F.col("value"), True, _routes_family())).alias("l")).select(*keys, "pos", "l.*")
-    whole = normalize(attrs.filter((F.col("attr") != "onclick") & urlish(F.col("value"))), "value", "source_url", "whole")
-    whole = whole.select(*keys, "pos", F.coalesce("whole", "value").alias("raw_url"), F.lit("normalized").alias("raw_kind"))
-    clicks = attrs.filter("attr = 'onclick'").select(*keys, "pos", onclick_url(F.col("value")).alias("raw_url"), F.lit("onclick").alias("raw_kind")).filter("raw_url is not null")
+    # one pass over the attributes: each row's links of all kinds stand in one array
+    like_url = (F.col("attr") != "onclick") & urlish(F.col("value"))
+    attrs = normalize(attrs.withColumn("urlish", F.when(like_url, F.col("value"))), "urlish", "source_url", "whole")
+    link = lambda url, kind: F.array(F.struct(url.alias("raw_url"), F.lit(kind).alias("raw_kind")))
+    whole = F.when(F.col("urlish").isNotNull(), link(F.coalesce("whole", "value"), "normalized"))
+    click = F.when(F.col("attr") == "onclick", link(onclick_url(F.col("value")), "onclick"))
+    none = F.array().cast("array<struct<raw_url:string,raw_kind:string>>")
+    every = F.concat(links_of_text(F.col("value"), True, _routes_family()), F.coalesce(whole, none), F.coalesce(click, none))
+    in_attributes = attrs.select(*keys, "pos", F.explode(every).alias("l")).select(*keys, "pos", "l.*").filter("raw_url is not null")
     last = F.lit(1 << 30)
     in_text = pages.select(*keys, last.alias("pos"), F.explode(links_of_text(F.col(text), False, _routes_family())).alias("l")).select(*keys, "pos", "l.*")
     lists = issue_list_links(pages.select(*keys, text), text, keep).select(*keys, (last + 1).alias("pos"), F.col("issue_url").alias("raw_url"), F.lit("issue_list").alias("raw_kind"))
-    return in_values.unionByName(whole).unionByName(clicks).unionByName(in_text).unionByName(lists)
+    return in_attributes.unionByName(in_text).unionByName(lists)
 
 
 def links_of_pages(pages: DataFrame, text: str = "html") -> DataFrame:

@@ -31,7 +31,8 @@ def raw_links(captured: DataFrame) -> DataFrame:
 
 
 def found(spark: SparkSession, sf_dir: str, aggressive: bool = True) -> DataFrame:
-    return graph.resolved(raw_links(pages(spark, sf_dir)), aggressive=aggressive)
+    """Resolved links of all pages, as a table: extracting and normalising is the dear part, and queries read it more than once."""
+    return graph.written(graph.resolved(raw_links(pages(spark, sf_dir)), aggressive=aggressive))
 
 
 def rows_of(spark: SparkSession, name: str) -> DataFrame:
@@ -252,9 +253,9 @@ def crawl_levels(spark, sf_dir):
 def _even_odd(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Nodes of pages with even ids, links of the others as expected URLs, and visited pages with even ids."""
     captured = pages(spark, sf_dir)
-    even = captured.filter("page_id % 2 = 0")
-    known = graph.nodes(graph.resolved(raw_links(even)))
-    others = graph.resolved(raw_links(captured.filter("page_id % 2 = 1")))
+    even, odd = (captured.filter(F.col("page_id") % 2 == n) for n in (0, 1))
+    known = graph.written(graph.nodes(graph.resolved(raw_links(even))))
+    others = graph.written(graph.resolved(raw_links(odd)))
     wanted = others.filter("queueable").select("site_key", F.lit("linked").alias("category"), "url").distinct()
     seen = urls.normalize(even, "source_url", None, "url").select("site_key", "url").distinct()
     return known, wanted, seen

@@ -195,3 +195,16 @@ def test_entry(spark):
 
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_malformed_answers_give_no_rows(spark):
+    """J5, X4: answers of any shape and depth."""
+    from linkloom.operators import expand
+    from pyspark.sql import functions as F
+
+    deep = "[" * 100_000
+    nested = {"data": {"channels": [{"channels": [{"issueInfoList": [{"id": 2}]}], "issueInfoList": [{"id": 1}, "x"]}]}}
+    bodies = ['{"data": {"channels": ["x"]}}', '{"data": [1]}', '{"data": {"channels": {"a": 1}}}', "[1]", "3", "", None, deep, "{", __import__("json").dumps(nested)]
+    rows = spark.createDataFrame(list(enumerate(bodies)), "n int, body string").select("n", expand._channel_items("body").alias("items"), expand.json_strings("body").alias("strings")).orderBy("n").collect()
+    assert [r["items"] for r in rows] == [[]] * 9 + [['{"id": 1}', '"x"', '{"id": 2}']]
+    assert [r["strings"] for r in rows] == [["x"], [], [], [], [], [], [], [], [], ["x"]]
