@@ -16,6 +16,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from .common import small_batches
+
 RATE_IN, RATE_OUT = 16_000, 8_000
 UNIT = 64
 FRAME, HOP, BANDS = 256, 128, 40
@@ -152,6 +154,7 @@ def audio_features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     tensor; from_ipc reads it. An empty table gives no rows, a very long text is worked on in chunks. A recording of even
     energy has no spans. Repeated rows give repeated results; other columns are not read.
     """
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = rows.schema["id"].dataType
 

@@ -22,7 +22,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import cut
+from .common import cut, small_batches
 
 UNKNOWN = "und"
 ORDERS = (4, 3, 2, 1)
@@ -155,6 +155,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     the counts of every language. Both bound what reaches the driver. Without labelled rows the model has no languages
     and answers und.
     """
+    small_batches(docs.sparkSession)
     labelled = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).filter("lang is not null and text is not null")
     sizes = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().collect()}  # one row a language
     if not sizes:
@@ -202,6 +203,7 @@ def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text", lang
     first language with 1 / number of languages. Very long texts are counted whole; repeated rows get the same answer.
     An empty table gives no rows. Other columns pass through; columns of the two names are replaced.
     """
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kind = pa.struct([("lang", pa.string()), ("score", pa.float64())])
 

@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import cut, may_be_in
+from .common import cut, may_be_in, small_batches
 
 WORDS = 5
 #: The threshold as a fraction, for exact comparisons in integers.
@@ -204,6 +204,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     without words, or null, has an empty set and links with nothing. Rows that repeat an id are one document in the
     links; a row without id stands alone, with a null component. Other columns are not read.
     """
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     prepared = cut(_prefixes(rows))
     named = prepared.filter("id is not null and n > 0")
@@ -239,6 +240,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without those that link, over others or directly, to a document with a smaller id."""
+    """docs without those that link, over others or directly, to a document with a smaller id.
+
+    Rows without id, text or words stay, as do rows that repeat the smallest id of their group. An empty table gives no
+    rows; other columns pass through.
+    """
     dropped = near_duplicates(docs, id_col, text_col).filter(F.col("component_id") < F.col(id_col)).select(id_col).distinct()
     return docs.join(cut(dropped), id_col, "left_anti")

@@ -28,6 +28,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
+from .common import small_batches
+
 #: The escaped space, and where the tokenizer files lie unless a path is given.
 SPACE = "▁"
 DEFAULT_VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
@@ -259,7 +261,12 @@ def decode_documents(docs: DataFrame, transducer: PieceTransducer, ids_col: str
 
 
 def encode_and_decode(docs: DataFrame, transducer: PieceTransducer, text_col: str = "text", ids_name: str = "piece_ids", text_name: str = "decoded") -> DataFrame:
-    """encode_documents and decode_documents of its ids in one Arrow pass, so that a task has one Python worker."""
+    """encode_documents and decode_documents of its ids in one Arrow pass, so that a task has one Python worker.
+
+    A null or empty text has no ids and decodes to an empty text; repeated rows get the same ids; an empty table gives no
+    rows. Columns of the two names are replaced, others pass through.
+    """
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(transducer)
 
     kept = docs.drop(ids_name, text_name)
