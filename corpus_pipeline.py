@@ -18,7 +18,11 @@ MIN_SCORE = 0.5
 
 
 def by_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is told; lang becomes what the text was recognised as."""
+    """Documents whose language is told; lang becomes what the text was recognised as.
+
+    Null texts and texts without letters go. Rows without id and repeated rows are told like any other; extra columns
+    pass through. Without labelled rows no language is known and nothing is left. An empty table gives no rows.
+    """
     model = language_id.train(docs)
     named = language_id.identify(docs, model, lang_name="__lang", score_name="__score")
     kept = named.filter((F.col("__lang") != language_id.UNKNOWN) & (F.col("__score") >= MIN_SCORE))
@@ -26,21 +30,27 @@ def by_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without lines that earlier documents have; documents of which nothing but white space is left go."""
+    """Texts without lines that earlier documents have; documents of which nothing but white space is left go.
+
+    Rows without id only lose lines that they repeat themselves; rows of one id are not held against each other. Null
+    texts go. Extra columns pass through. An empty table gives no rows.
+    """
     kept = line_dedup.dedup_lines(docs).filter(F.col("text").rlike("[^\\x20\\x09-\\x0D]"))
     return kept.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near copies the document of smallest id; rows without id or words stay. An empty table gives no rows."""
     return ngram_join.keep_one_of_each(docs)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as their source's target asks for; a null source is one of its own, rows without id share one draw."""
     return mixing.mix(docs)
 
 
 def in_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with their ids, and whether these decode to the text."""
+    """Documents with their ids, and whether these decode to the text; a null text has none. An empty table gives no rows."""
     transducer = piece_transducer.compile_transducer(piece_transducer.read_vocabulary())
     made = piece_transducer.encode_and_decode(docs, transducer)
     return made.withColumn("round_trip", piece_transducer.round_trips(F.col("text"), F.col("decoded"))).drop("decoded")
