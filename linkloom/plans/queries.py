@@ -308,6 +308,37 @@ def resume_equivalence(spark, sf_dir):
     return count(back["nodes"], "nodes").unionByName(count(back["visited"], "visited")).unionByName(count(back["frontier"], "frontier"))
 
 
+def _saved(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Nodes of all pages, and as visited the pages that have a visit without error."""
+    captured = pages(spark, sf_dir)
+    done = visit_log(spark, sf_dir).filter("ok").select("page_id").distinct()
+    seen = urls.normalize(captured.join(done, "page_id", "left_semi"), "source_url", None, "url").select("site_key", "url").distinct()
+    return graph.written(graph.nodes(found(spark, sf_dir))), graph.written(seen)
+
+
+@query
+def unvisited_queueable_all(spark, sf_dir):
+    return rollup.unvisited(*_saved(spark, sf_dir))
+
+
+@query
+def resume_requeue_all(spark, sf_dir):
+    known, seen = _saved(spark, sf_dir)
+    return state.requeued(known, seen, seen.limit(0))
+
+
+@query
+def resume_equivalence_all(spark, sf_dir):
+    """Rows of a state that was saved in two deltas, the second without a frontier, and resumed."""
+    known, seen = _saved(spark, sf_dir)
+    folder = f"{graph.scratch(spark)}/state-{uuid.uuid4().hex}"
+    state.save(spark, folder, {"nodes": known.filter("queueable"), "visited": seen, "frontier": state.requeued(known, seen, seen.limit(0))})
+    state.save(spark, folder, {"nodes": known.filter("not queueable")}, completed=True)
+    back = state.resume(spark, folder, pages(spark, sf_dir).select(*extract.SITE).distinct())
+    rows = lambda name: back[name].select(F.lit(name).alias("part"), "site_key", "url")
+    return rows("nodes").unionByName(rows("visited")).unionByName(rows("frontier"))
+
+
 @query
 def new_seeds(spark, sf_dir):
     rows = inputs.seeds(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", F.col("url").alias("line")))

@@ -157,6 +157,10 @@ wanted AS (SELECT DISTINCT site_key, url FROM y_f WHERE queueable),
 lacks AS (SELECT * FROM wanted WHERE (site_key, url) NOT IN (SELECT (site_key, url) FROM x_n WHERE queueable)),
 open AS (SELECT * FROM x_n WHERE queueable AND (site_key, url) NOT IN (SELECT (site_key, url) FROM vis))"""
 
+_SAVED = f"""{_NODES},
+pe AS (SELECT * FROM pg WHERE page_id IN (SELECT user_id FROM events WHERE event_type <> 'error')),{visited('pe')},
+open AS (SELECT * FROM n WHERE queueable AND (site_key, url) NOT IN (SELECT (site_key, url) FROM vis))"""
+
 _LOG = """log AS (SELECT event_id AS visit_id, user_id AS page_id, 'http://e/' || user_id AS requested_url, CASE WHEN user_id % 4 = 0 THEN '<direct>' ELSE 'p' || (user_id % 4) END AS proxy,
   event_type <> 'error' AS ok, CASE WHEN event_type <> 'error' THEN '' WHEN event_id % 3 = 0 THEN 'Error: Target closed' WHEN event_id % 3 = 1 THEN 'Timeout 30000ms exceeded' ELSE 'Protocol Error (x)' END AS error,
   epoch_us(ts) AS started, epoch_us(ts) / 1000000.0::DOUBLE + value / 8 AS finished, trunc(round(value * 8) / 64 * 1000)::BIGINT AS duration_ms FROM events)"""
@@ -236,6 +240,9 @@ def oracle_sql() -> dict[str, str]:
             UNION ALL SELECT site_key, 'unvisited_queueable', NULL, total, sample FROM v2 UNION ALL SELECT site_key, 'frontier', NULL, total, sample FROM v2""",
         "resume_requeue": f"WITH {_EVEN_ODD} SELECT site_key, url, 1 AS depth, first_source AS discovered_from, 'dom' AS discovery_method, 0 AS attempts FROM open",
         "resume_equivalence": f"WITH {_EVEN_ODD} SELECT 'nodes' AS part, count(*) AS n FROM x_n UNION ALL SELECT 'visited', count(*) FROM vis UNION ALL SELECT 'frontier', count(*) FROM open",
+        "unvisited_queueable_all": f"WITH {_SAVED} SELECT site_key, url FROM open",
+        "resume_requeue_all": f"WITH {_SAVED} SELECT site_key, url, 1 AS depth, first_source AS discovered_from, 'dom' AS discovery_method, 0 AS attempts FROM open",
+        "resume_equivalence_all": f"WITH {_SAVED} SELECT 'nodes' AS part, site_key, url FROM n UNION ALL SELECT 'visited', site_key, url FROM vis UNION ALL SELECT 'frontier', site_key, url FROM open",
         "new_seeds": f"WITH {PAGES} SELECT DISTINCT source_url AS url FROM pg WHERE source_url NOT IN (SELECT source_url FROM pg WHERE page_id % 2 = 0)",
         "nodes_merged": f"WITH {_NODES} SELECT site_key, url, seen_count, first_depth FROM n",
         "global_urls": f"WITH {_NODES} SELECT DISTINCT url FROM n WHERE url <> ''",
