@@ -150,8 +150,9 @@ def verified(rows: DataFrame, pairs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_pydict({"id": piece.column("id"), "set": pa.array([shingles(t.as_py()).tobytes() for t in piece.column("text")], pa.binary())})
 
     kind = rows.schema["id"].dataType.simpleString()
-    sets = may_be_in(rows.select("id", "text"), F.col("id"), ids).mapInArrow(run, f"id {kind}, set binary")
-    sets = cut(sets.join(ids, "id", "left_semi"))
+    # a text is shorter than its set, so what has no partner is left out before sets are built
+    wanted = may_be_in(rows.select("id", "text"), F.col("id"), ids).join(ids, "id", "left_semi")
+    sets = cut(wanted.mapInArrow(run, f"id {kind}, set binary"))
 
     @F.arrow_udf("long")
     def overlap(x: pa.Array, y: pa.Array) -> pa.Array:
