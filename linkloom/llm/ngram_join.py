@@ -141,25 +141,27 @@ def _prefixes(rows: DataFrame) -> DataFrame:
 
 def verified(rows: DataFrame, pairs: DataFrame) -> DataFrame:
     """The pairs (a, b) whose sets reach the threshold. Sets are built anew, for documents of pairs only."""
-    ids = cut(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct())
+    sides = pairs.select(F.col("a").alias("id"), F.lit(True).alias("in_a")).union(pairs.select("b", F.lit(False)))
+    ids = cut(sides.groupBy("id").agg(F.max("in_a").alias("in_a"), F.max(~F.col("in_a")).alias("in_b")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 piece = batch.slice(at, 500)
-                yield pa.RecordBatch.from_pydict({"id": piece.column("id"), "set": pa.array([shingles(t.as_py()).tobytes() for t in piece.column("text")], pa.binary())})
+                made = {"set": pa.array([shingles(t.as_py()).tobytes() for t in piece.column("text")], pa.binary())}
+                yield pa.RecordBatch.from_pydict({name: piece.column(name) for name in ("id", "in_a", "in_b")} | made)
 
     kind = rows.schema["id"].dataType.simpleString()
     # a text is shorter than its set, so what has no partner is left out before sets are built
-    wanted = may_be_in(rows.select("id", "text"), F.col("id"), ids).join(ids, "id", "left_semi")
-    sets = cut(wanted.mapInArrow(run, f"id {kind}, set binary"))
+    wanted = may_be_in(rows.select("id", "text"), F.col("id"), ids).join(ids, "id")
+    sets = cut(wanted.mapInArrow(run, f"id {kind}, in_a boolean, in_b boolean, set binary"))
 
     @F.arrow_udf("long")
     def overlap(x: pa.Array, y: pa.Array) -> pa.Array:
         read = lambda data: np.frombuffer(data.as_py(), np.uint64).reshape(-1, 2)
         return pa.array([in_common(read(a), read(b)) for a, b in zip(x, y, strict=True)], pa.int64())
 
-    side = lambda name: sets.select(F.col("id").alias(name), F.col("set").alias(f"{name}_set"))
+    side = lambda name: sets.filter(f"in_{name}").select(F.col("id").alias(name), F.col("set").alias(f"{name}_set"))
     both = pairs.join(side("a"), "a").join(side("b"), "b").withColumn("common", overlap("a_set", "b_set"))
     union = (F.length("a_set") + F.length("b_set")) / 16 - F.col("common")
     return both.filter(F.col("common") * DENOMINATOR >= union * NUMERATOR).select("a", "b").distinct()
