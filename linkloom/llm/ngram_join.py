@@ -1,7 +1,7 @@
 """Near-duplicate documents by an n-gram Jaccard self-join with adaptive multi-match prefixes.
 
 A document is the set of its distinct 5-word shingles, as 128-bit hashes; 64 bits of each, in one order that all documents
-share, find candidates. Of two
+share, find candidates, and 96 bits decide. Of two
 sets x and y that reach the threshold, the prefixes of |x| - ceil(t |x|) + l and |y| - ceil(t |y|) + l shingles share l
 shingles at least, for each l. A longer prefix with a higher l meets more shingles but leaves fewer pairs to verify, so
 each document takes the l of least estimated cost from the frequencies of its own prefix shingles.
@@ -33,6 +33,9 @@ SAMPLE_EVERY, FREQUENT = 32, 50_000
 #: Digests of words that a worker remembers.
 MEMO = 50_000
 
+#: Bytes of a shingle in a set that is shuffled, 96 bits.
+PACKED = 12
+
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 _SALT = 0x9E3779B97F4A7C15
 _PLACES = np.array([[pow(base, k + 1, 1 << 64) for base in (0xD1342543DE82EF95, 0xDA942042E4DD58B5)] for k in range(64)], dtype=np.uint64)
@@ -80,6 +83,16 @@ def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
     return total[np.concatenate([[True], ~same])]
 
 
+def packed(both: np.ndarray) -> bytes:
+    """A set as it is shuffled: PACKED bytes a shingle, the first number and the lower half of the second."""
+    return both[:, 0].tobytes() + both[:, 1].astype(np.uint32).tobytes()
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    n = len(data) // PACKED
+    return np.stack([np.frombuffer(data, np.uint64, n), np.frombuffer(data, np.uint32, n, 8 * n).astype(np.uint64)], axis=1)
+
+
 def in_common(x: np.ndarray, y: np.ndarray) -> int:
     """How many shingles two sets share."""
     _, i, j = np.intersect1d(x[:, 0], y[:, 0], return_indices=True)
@@ -148,7 +161,7 @@ def verified(rows: DataFrame, pairs: DataFrame) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 piece = batch.slice(at, 500)
-                made = {"set": pa.array([shingles(t.as_py()).tobytes() for t in piece.column("text")], pa.binary())}
+                made = {"set": pa.array([packed(shingles(t.as_py())) for t in piece.column("text")], pa.binary())}
                 yield pa.RecordBatch.from_pydict({name: piece.column(name) for name in ("id", "in_a", "in_b")} | made)
 
     kind = rows.schema["id"].dataType.simpleString()
@@ -158,12 +171,11 @@ def verified(rows: DataFrame, pairs: DataFrame) -> DataFrame:
 
     @F.arrow_udf("long")
     def overlap(x: pa.Array, y: pa.Array) -> pa.Array:
-        read = lambda data: np.frombuffer(data.as_py(), np.uint64).reshape(-1, 2)
-        return pa.array([in_common(read(a), read(b)) for a, b in zip(x, y, strict=True)], pa.int64())
+        return pa.array([in_common(unpacked(a.as_py()), unpacked(b.as_py())) for a, b in zip(x, y, strict=True)], pa.int64())
 
     side = lambda name: sets.filter(f"in_{name}").select(F.col("id").alias(name), F.col("set").alias(f"{name}_set"))
     both = pairs.join(side("a"), "a").join(side("b"), "b").withColumn("common", overlap("a_set", "b_set"))
-    union = (F.length("a_set") + F.length("b_set")) / 16 - F.col("common")
+    union = (F.length("a_set") + F.length("b_set")) / PACKED - F.col("common")
     return both.filter(F.col("common") * DENOMINATOR >= union * NUMERATOR).select("a", "b").distinct()
 
 
@@ -203,7 +215,7 @@ def _candidates(shared: DataFrame, costs: DataFrame, roots: DataFrame) -> DataFr
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: id, n_shingles, component_id (the least id that links reach, its own included).
 
-    Two documents link when their sets' Jaccard similarity is 4/5 or more, which is decided on 128-bit hashes of the whole sets. A text
+    Two documents link when their sets' Jaccard similarity is 4/5 or more, which is decided on 96-bit hashes of the whole sets. A text
     without words, or null, has an empty set and links with nothing. Rows that repeat an id are one document in the
     links; a row without id stands alone, with a null component. Other columns are not read.
     """
