@@ -242,8 +242,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # star rounds: of the documents with a shingle, the one that shares most of its own prefix stands in the middle of
     # its near copies, which need not be near one another; each document is held against that one and the smallest
     share = shared.groupBy("id").agg((F.count("*") / (F.floor(F.max("n") / DENOMINATOR) + LEVELS)).alias("share"))
-    hubs = shared.join(share, "id").groupBy("shingle").agg(F.max(F.struct("share", (-F.col("id")).alias("first"), "id"))["id"].alias("middle"), F.min("id").alias("low"))
-    votes = shared.join(hubs, "shingle").select("id", "n", F.posexplode(F.array("middle", "low")).alias("way", "hub")).filter("hub <> id").groupBy("id", "way", "hub", "n").agg(F.count("*").alias("votes"))
+    hubs = shared.join(share, "id").groupBy("shingle").agg(F.max(F.struct("share", (-F.col("id")).alias("first"), "id", "n")).alias("middle"), F.min(F.struct("id", "n")).alias("low"))
+    ways = F.array(F.struct("middle.id", "middle.n"), F.col("low"))
+    held = shared.join(hubs, "shingle").select("id", "n", F.posexplode(ways).alias("way", "met")).select("id", "n", "way", F.col("met.id").alias("hub"), F.col("met.n").alias("hub_n"))
+    near = F.least("n", "hub_n") * DENOMINATOR >= F.greatest("n", "hub_n") * NUMERATOR  # other sizes cannot link
+    votes = held.filter((F.col("hub") != F.col("id")) & near).groupBy("id", "way", "hub", "n").agg(F.count("*").alias("votes"))
     best = votes.filter(F.col("votes") * 4 >= base).groupBy("id", "way").agg(F.max(F.struct("votes", "hub")).alias("best"))
     edges = cut(verified(rows, cut(best.select(F.col("id").alias("a"), F.col("best.hub").alias("b")).distinct())).select(F.col("a").alias("u"), F.col("b").alias("v")))
     rest = verified(rows, cut(_candidates(shared, costs, components(edges)))).select(F.col("a").alias("u"), F.col("b").alias("v"))
