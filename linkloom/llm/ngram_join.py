@@ -229,9 +229,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     alone = named.select("id", "n", "prefix").join(copies.filter("id <> rep").select("id"), "id", "left_anti")
 
     base = F.floor(F.col("n") / DENOMINATOR) + 1
-    entries = alone.select("id", "n", F.posexplode("prefix").alias("at", "shingle")).select("id", "n", "shingle", "at", F.greatest(F.lit(1), F.col("at") - base + 2).cast("int").alias("level"))
+    entries = alone.select("id", "n", F.posexplode("prefix").alias("at", "shingle")).select("id", "n", "shingle", "at")
     repeated = entries.groupBy("shingle").agg(F.count("*").alias("df")).filter("df > 1")
-    shared = cut(entries.join(repeated, "shingle"))
+    shared = cut(entries.join(repeated, "shingle").withColumn("level", F.greatest(F.lit(1), F.col("at") - base + 2).cast("int")))
 
     # the level of least cost: entries looked up, and the pairs that can reach so many matches
     looked_up = [F.sum(F.when(F.col("level") <= k, F.col("df") - 1).otherwise(0)) for k in range(1, LEVELS + 1)]
