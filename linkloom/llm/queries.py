@@ -6,7 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import audio_features, chat_format, exact_dedup, language_id, line_dedup, mixing, ngram_join, piece_transducer, secret_scan, suffix_dedup
+from . import (
+    audio_features,
+    chat_format,
+    exact_dedup,
+    fill_middle,
+    language_id,
+    line_dedup,
+    mixing,
+    neighbours,
+    ngram_join,
+    piece_transducer,
+    secret_scan,
+    suffix_dedup,
+    vector_codes,
+)
 from .common import table
 
 
@@ -89,6 +103,24 @@ def op10_audio_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded, books = vector_codes.compress(table(spark, sf_dir, "embeddings"))
+    code = F.array_join(F.transform("code", lambda c: F.lower(F.lpad(F.hex(c), 2, "0"))), "")
+    found = vector_codes.with_label_errors(coded)
+    return found.select(F.col("id").alias("vec_id"), code.alias("code"), "error", "label_error", F.lit(vector_codes.digest(books)).alias("codebooks_sha256"))
+
+
+def op12_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fill_middle.fill_in_middle(table(spark, sf_dir, "documents"))
+    back = fill_middle.restored(F.col("output"), F.col("form"))
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(back, 256).alias("restored_sha256"))
+
+
+def op13_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return neighbours.nearest(neighbours.build_index(vectors), vectors.filter("vec_id % 50 = 0"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_language_id": op1_language_id,
@@ -101,11 +133,14 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_ngram_join": op8_ngram_join,
         "op9_mixing": op9_mixing,
         "op10_audio_features": op10_audio_features,
+        "op11_vector_codes": op11_vector_codes,
+        "op12_fill_middle": op12_fill_middle,
+        "op13_neighbours": op13_neighbours,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_exact_dedup": OP7_SQL, "op9_mixing": OP9_SQL}
+    return {"op7_exact_dedup": OP7_SQL, "op9_mixing": OP9_SQL, "op11_vector_codes": OP11_SQL, "op12_fill_middle": OP12_SQL}
 
 
 OP7_SQL = """
@@ -147,3 +182,55 @@ WITH sizes AS (
 SELECT doc_id, size, source_size, target, taken
 FROM drawn JOIN nearest ON drawn.source IS NOT DISTINCT FROM nearest.source AND drawn.k = nearest.k
 """
+
+#: CTEs of a round of op11: d{n} has the entry of c{n} that is nearest to each part, c{n+1} the entries that follow from these.
+_OP11_ROUND = """
+d{n} AS (
+  SELECT row, p, any_value(b.v) AS v, min({near}) % 64 AS e FROM b JOIN c{n} c USING (p) GROUP BY row, p
+), c{m} AS (
+  SELECT c.p, c.e, CASE WHEN s.n IS NULL THEN c.v ELSE list_transform(s.total, lambda t: (t - ((t % s.n) + s.n) % s.n) // s.n) END AS v
+  FROM c{n} c LEFT JOIN (
+    SELECT p, e, count(*) AS n, [{sums}] AS total FROM d{n} GROUP BY p, e
+  ) s USING (p, e)
+)"""
+
+_WIDTH = 4
+_NEAR = "64 * (" + " + ".join(f"(b.v[{k}] - c.v[{k}]) * (b.v[{k}] - c.v[{k}])" for k in range(1, _WIDTH + 1)) + ") + c.e"
+_SUMS = ", ".join(f"sum(v[{k}])::BIGINT" for k in range(1, _WIDTH + 1))
+
+#: For vectors of 64 components, as the tables have them. The order of (distance, entry) is that of 64 times the one plus the other.
+OP11_SQL = f"""
+WITH kept AS (
+  SELECT row_number() OVER (ORDER BY vec_id NULLS LAST) AS row, vec_id, label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS q
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), b AS (
+  SELECT row, vec_id, label, p, q[{_WIDTH} * p + 1:{_WIDTH} * p + {_WIDTH}] AS v FROM kept, range(16) AS parts(p)
+), c0 AS (
+  SELECT p, row - 1 AS e, v FROM b WHERE row <= 64
+),{_OP11_ROUND.format(n=0, m=1, near=_NEAR, sums=_SUMS)},{_OP11_ROUND.format(n=1, m=2, near=_NEAR, sums=_SUMS)},
+last AS (
+  SELECT row, vec_id, label, p, min({_NEAR}) AS k FROM b JOIN c2 c USING (p) GROUP BY row, vec_id, label, p
+), coded AS (
+  SELECT row, vec_id, label, string_agg(printf('%02x', k % 64), '' ORDER BY p) AS code, sum(k // 64)::BIGINT AS error FROM last GROUP BY row, vec_id, label
+), books AS (
+  SELECT sha256(string_agg(array_to_string(v, ','), ',' ORDER BY p, e)) AS codebooks_sha256 FROM c2
+)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256 FROM coded, books
+"""
+
+OP12_SQL = """
+WITH t AS (
+  SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS lines,
+    [('0x' || substr(sha256('7:' || coalesce(doc_id::VARCHAR, 'null')), 8 * k + 1, 8))::BIGINT FOR k IN range(4)] AS h FROM documents
+), c AS (
+  SELECT *, len(lines)::BIGINT AS n, least(h[1] % (len(lines) + 1), h[2] % (len(lines) + 1)) AS a, greatest(h[1] % (len(lines) + 1), h[2] % (len(lines) + 1)) AS b FROM t
+), p AS (
+  SELECT *, array_to_string(lines[1:a], '') AS prefix, array_to_string(lines[a + 1:b], '') AS middle, array_to_string(lines[b + 1:], '') AS suffix,
+    CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h[3] % 100 >= 100 THEN 'plain' WHEN h[4] % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM c
+)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(prefix) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(middle) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+  sha256(text) AS restored_sha256
+FROM p
+"""

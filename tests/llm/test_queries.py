@@ -8,7 +8,8 @@ SF = "/root/testdata/sf0.001"
 
 def tables():
     con = duckdb.connect()
-    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
+    for name in ("documents", "embeddings"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{SF}/{name}.parquet'")
     return con
 
 
