@@ -25,7 +25,7 @@ SHARD_ROWS, BLOCK_ROWS = 16_384, 16_384
 #: Vectors of a leaf, which are compared with all queries that get there.
 LEAF_ROWS = 64
 #: Least possible distances are taken so many times; measured recall is in the README.
-FACTOR = 1.6
+FACTOR = 5.0
 #: Found beside the neighbours asked for: the query itself, and some whose last bits may change places.
 SPARE = 3
 #: Distances of unit vectors are right to far less than this.
