@@ -7,17 +7,15 @@ raw_url, method); pages that were requested by further addresses are found by jo
 
 from __future__ import annotations
 
-import json
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
-from pyspark.sql.types import ArrayType, StringType
 
 from ..functions import rules
 from ..functions.classify import shared_api
 from ..functions.urls import part, query_params, starts_with_any, strip, with_query
 from .extract import SITE, links_of_strings
+from .json_tree import strings, tree_items
 
 KEYS = [*SITE, "source_url"]
 ITEMS = "data array<map<string,string>>"
@@ -110,30 +108,6 @@ def _search_url(year: Column, issue: Column) -> Column:
     return F.when(_filled(year) & _filled(issue) & has_route("/search"), F.concat("site_origin", F.lit("/#/search?issue="), issue, F.lit("&year="), year))
 
 
-@F.pandas_udf(ArrayType(StringType()))
-def _channel_items(bodies: pd.Series) -> pd.Series:
-    """Items of all channels of a tree, depth first, each as JSON; a tree has any depth, which no fixed schema has."""
-
-    lists = lambda value: value if isinstance(value, list) else []
-
-    def one(body):
-        try:
-            data = json.loads(body or "")
-        except (ValueError, RecursionError):
-            return []
-        for key in ("data", "channels"):
-            data = data.get(key) if isinstance(data, dict) else None
-        out, waiting = [], lists(data)[::-1]
-        while waiting:
-            channel = waiting.pop()
-            if isinstance(channel, dict):
-                out += [json.dumps(item, ensure_ascii=False) for item in lists(channel.get("issueInfoList"))]
-                waiting += lists(channel.get("channels"))[::-1]
-        return out
-
-    return bodies.map(one)
-
-
 def current_issue(responses: DataFrame) -> DataFrame:
     """The current issue: its photo, its search page, its own items and those of all its channels."""
     api = "api:GetCurrentPeriodMutiChannel"
@@ -141,7 +115,8 @@ def current_issue(responses: DataFrame) -> DataFrame:
     rows = responses.withColumn("head", head)
     top = _unpivot(rows, [(_text(F.col("head.titlePhoto")), F.lit(f"{api}:titlePhoto")), (_search_url(F.col("head.year"), F.col("head.issue")), F.lit(f"{api}:currentIssue"))])
     own = rows.select("*", F.explode("head.issueInfoList").alias("item"), F.lit("api:GetCurrentPeriod:issueDetail").alias("method"))
-    deep = responses.select("*", F.explode(_channel_items(F.col("body"))).alias("text")).select("*", F.from_json("text", "map<string,string>").alias("item"), F.lit(f"{api}:issueDetail").alias("method"))
+    channels = tree_items(responses, "body", [*KEYS, "issue_route"], root="data.channels", children="channels", items="issueInfoList")
+    deep = channels.select("*", F.from_json(F.col("item"), "map<string,string>").alias("fields"), F.lit(f"{api}:issueDetail").alias("method")).drop("item").withColumnRenamed("fields", "item")
     return top.unionByName(issue_items(own)).unionByName(issue_items(deep))
 
 
@@ -162,7 +137,7 @@ def content_info(responses: DataFrame) -> DataFrame:
     rows = responses.select("*", F.explode(F.array(*[results[n] for n in names])).alias("text")).filter(_filled(F.col("text")))
     rows = rows.withColumn("item", F.from_json("text", "map<string,string>"))
     fields = [(_text(F.col("item")[f]), F.lit(f"api:GetContentInfo:{f}")) for f in ("filePath", "filePath2", "otherPath", "titlePhoto", "linkUrl")]
-    inline = links_of_strings(rows.select(*KEYS, F.explode(json_strings(F.col("text"))).alias("value"))).select(*KEYS, "raw_url", F.lit("api:GetContentInfo:inline").alias("method"))
+    inline = links_of_strings(strings(rows, "text", KEYS)).select(*KEYS, "raw_url", F.lit("api:GetContentInfo:inline").alias("method"))
     return _unpivot(rows, fields).unionByName(inline)
 
 
@@ -264,27 +239,6 @@ def pagination_plan(responses: DataFrame, max_pages: int = 0) -> DataFrame:
     return pages.withColumn("__n", F.row_number().over(first)).filter("__n = 1").select(*KEYS, F.col("api").alias("url"), "payload", "page", "request")
 
 
-@F.pandas_udf(ArrayType(StringType()))
-def json_strings(bodies: pd.Series) -> pd.Series:
-    """All string values of a JSON text, in order, at any depth."""
-
-    def one(body):
-        try:
-            waiting = [json.loads(body or "")]
-        except (ValueError, RecursionError):
-            return []
-        out = []
-        while waiting:
-            value = waiting.pop()
-            if isinstance(value, str):
-                out.append(value)
-            else:
-                waiting += (list(value.values()) if isinstance(value, dict) else value if isinstance(value, list) else [])[::-1]
-        return out
-
-    return bodies.map(one)
-
-
 def links_of_responses(responses: DataFrame, routes: DataFrame) -> DataFrame:
     """Discoveries (KEYS, raw_url, method) of all JSON answers: by the first expander whose name the address has, and of every string.
 
@@ -322,6 +276,6 @@ def links_of_responses(responses: DataFrame, routes: DataFrame) -> DataFrame:
         journal_issues(journal),
         browse_items(back, "api:GetBackIssueBrowsing:detail"),
         browse_items(articles, "api:GetJournalArticleList:detail"),
-        links_of_strings(answers.select(*KEYS, F.explode(json_strings(F.col("body"))).alias("value"))).select(*KEYS, "raw_url", F.lit("response:json").alias("method")),
+        links_of_strings(strings(answers, "body", KEYS)).select(*KEYS, "raw_url", F.lit("response:json").alias("method")),
     ]
     return reduce(DataFrame.unionByName, parts)

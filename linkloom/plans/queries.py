@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..functions import classify, urls
-from ..operators import expand, extract, graph, rollup, state
+from ..operators import expand, extract, graph, json_tree, rollup, state
 from ..sources import inputs
 from ..streaming import feed
 from . import fixtures
@@ -487,6 +487,17 @@ def classic_expansion(spark, sf_dir):
     return graph.classic_expansion(start, captured).select("root", "url", "depth")
 
 
+@query
+def json_walk(spark, sf_dir):
+    """Every value of answers that are nested as deep as their event's number says, around what the event itself has."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    depth = (F.col("event_id") % 12).cast("int")
+    opening = F.concat(F.lit('{"at":"http://e/'), F.col("event_id").cast("string"), F.lit('","in":[null,'))
+    body = F.concat(F.repeat(opening, depth), F.coalesce("props", F.lit("{}")), F.repeat(F.lit("]}"), depth))
+    found = json_tree.leaves(e.select("event_id", body.alias("body")), "body", ["event_id"])
+    return found.select("event_id", F.array_join("path", "/").alias("path"), "kind", "value")
+
+
 # --- streaming -----------------------------------------------------------------------------------------------------
 
 

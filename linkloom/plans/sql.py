@@ -203,6 +203,13 @@ _REACH = """WITH RECURSIVE links AS (
 ) SELECT node, min(depth) AS depth FROM walk GROUP BY node"""
 
 
+_WALK = """WITH RECURSIVE walk AS (
+  SELECT event_id, []::VARCHAR[] AS path, (repeat('{"at":"http://e/' || event_id || '","in":[null,', (event_id % 12)::INT) || coalesce(props, '{}') || repeat(']}', (event_id % 12)::INT))::JSON AS v FROM events
+  UNION ALL SELECT event_id, list_append(walk.path, e.key), e.value FROM walk, json_each(walk.v) e WHERE json_type(walk.v) IN ('OBJECT', 'ARRAY')
+) SELECT event_id, array_to_string(path, '/') AS path, CASE json_type(v) WHEN 'VARCHAR' THEN 'string' WHEN 'NULL' THEN 'null' WHEN 'BOOLEAN' THEN 'boolean' WHEN 'OBJECT' THEN 'object' WHEN 'ARRAY' THEN 'array' ELSE 'number' END AS kind,
+  CASE WHEN json_type(v) = 'NULL' THEN 'null' ELSE v->>'$' END AS value FROM walk WHERE v::VARCHAR IN ('{}', '[]') OR json_type(v) NOT IN ('OBJECT', 'ARRAY')"""
+
+
 def oracle_sql() -> dict[str, str]:
     kind_rank = "CASE page_kind WHEN 'root' THEN 0 WHEN 'resource' THEN 4 ELSE 2 END"
     low = f"(starts_with(lower(path), '{rules.UPLOAD_PREFIX}') OR regexp_extract(lower(path), '([^/]+)/*$', 1) IN ({names(rules.LOW_PRIORITY_FILENAMES)}) OR list_has_any(string_split(lower(path), '/'), [{names(rules.LOW_PRIORITY_SEGMENTS)}]))::INT"
@@ -232,6 +239,7 @@ def oracle_sql() -> dict[str, str]:
         "frontier_next": f"WITH {frontier} SELECT * FROM next",
         "frontier_limit": f"WITH {frontier} SELECT * FROM next ORDER BY depth, site_key, url LIMIT 100",
         "bfs_reachability": _REACH,
+        "json_walk": _WALK,
         "coverage_missing": f"WITH {_EVEN_ODD} SELECT site_key, 'linked' AS category, url FROM lacks",
         "coverage_samples": f"WITH {_EVEN_ODD} {sample.format(item='', rows='lacks')}",
         "unvisited_queueable": f"WITH {_EVEN_ODD} SELECT site_key, url FROM open",

@@ -1,6 +1,7 @@
 """The link-graph queries against DuckDB, and invariants that hold on any pages."""
 
 import os
+import random
 
 import duckdb
 import pytest
@@ -197,14 +198,61 @@ def test_entry(spark):
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
 
 
-def test_malformed_answers_give_no_rows(spark):
-    """J5, X4: answers of any shape and depth."""
-    from linkloom.operators import expand
-    from pyspark.sql import functions as F
-
-    deep = "[" * 100_000
-    nested = {"data": {"channels": [{"channels": [{"issueInfoList": [{"id": 2}]}], "issueInfoList": [{"id": 1}, "x"]}]}}
-    bodies = ['{"data": {"channels": ["x"]}}', '{"data": [1]}', '{"data": {"channels": {"a": 1}}}', "[1]", "3", "", None, deep, "{", __import__("json").dumps(nested)]
-    rows = spark.createDataFrame(list(enumerate(bodies)), "n int, body string").select("n", expand._channel_items("body").alias("items"), expand.json_strings("body").alias("strings")).orderBy("n").collect()
-    assert [r["items"] for r in rows] == [[]] * 9 + [['{"id": 1}', '"x"', '{"id": 2}']]
-    assert [r["strings"] for r in rows] == [["x"], [], [], [], [], [], [], [], [], ["x"]]
+def plain_leaves(value, at=()):
+    """(path, kind, value) of what holds nothing else, keys in order."""
+    import json
+
+    if value and isinstance(value, dict | list):
+        members = sorted(value.items()) if isinstance(value, dict) else enumerate(value)
+        return [leaf for k, v in members for leaf in plain_leaves(v, (*at, str(k)))]
+    kind = {dict: "object", list: "array", bool: "boolean", type(None): "null", str: "string"}.get(type(value), "number")
+    return [(at, kind, value if kind == "string" else json.dumps(value))]
+
+
+def test_json_walk(spark):
+    """X4, G6: every value of texts of any shape and depth, in order."""
+    import json
+
+    from linkloom.operators import json_tree
+
+    rng = random.Random(1)
+
+    def made(depth):
+        kind = rng.choice(["object", "array", "leaf"]) if depth else "leaf"
+        if kind == "leaf":
+            return rng.choice([None, True, False, 7, -3, "", "x", '{"a": "no object"}', "漢", "a/b", {}, []])
+        members = [made(depth - 1) for _ in range(rng.randrange(4))]
+        return members if kind == "array" else {rng.choice("abcdé") + str(n): m for n, m in enumerate(members)}
+
+    values = [made(6) for _ in range(150)]
+    for depth in (1, 4, 60):
+        values.append("deep")
+        for _ in range(depth):
+            values[-1] = {"k": [values[-1], depth]}
+    rows = spark.createDataFrame([(n, json.dumps(v), "x") for n, v in enumerate(values)], "n int, body string, v string").repartition(3)
+    got = {}
+    for r in json_tree.leaves(rows, "body", ["n"]).orderBy("n", "at").collect():
+        got.setdefault(r["n"], []).append((tuple(r["path"]), r["kind"], r["value"]))
+    assert [got[n] for n in range(len(values))] == [plain_leaves(v) for v in values]
+    odd = spark.createDataFrame([(1, '{"a": "one", "a": "two"}'), (2, '{"a": "one"'), (3, None), (4, ""), (5, "[" * 5000 + "]" * 5000), (6, '"s"'), (6, '"s"')], "n int, body string")
+    assert [(r["n"], r["value"]) for r in json_tree.strings(odd, "body", ["n"]).orderBy("n").collect()] == [(1, "two"), (6, "s"), (6, "s")]
+    assert spark.conf.get("spark.sql.variant.allowDuplicateKeys") == "false"
+    assert json_tree.leaves(odd.limit(0), "body", ["n"]).count() == 0
+
+
+def test_tree_items(spark):
+    """J5, G6: items of all channels, depth first, and none of answers of another shape."""
+    import json
+
+    from linkloom.operators import json_tree
+
+    nested = {"data": {"channels": [{"channels": [{"issueInfoList": [{"id": 2}]}, {"issueInfoList": []}], "issueInfoList": [{"id": 1}, "x"]}, {"issueInfoList": [{"id": 3}]}]}}
+    deep = {"issueInfoList": [{"id": 9}]}
+    for _ in range(30):
+        deep = {"channels": [deep]}
+    bodies = ['{"data": {"channels": ["x"]}}', '{"data": [1]}', '{"data": {"channels": {"a": {"issueInfoList": [1]}}}}', "[1]", "3", "", None, "[" * 100_000, "{", json.dumps(nested), json.dumps({"data": {"channels": [deep]}})]
+    rows = spark.createDataFrame(list(enumerate(bodies)), "n int, body string")
+    got = {}
+    for r in json_tree.tree_items(rows, "body", ["n"], "data.channels", "channels", "issueInfoList").orderBy("n", "at").collect():
+        got.setdefault(r["n"], []).append(r["item"])
+    assert got == {9: ['{"id":1}', '"x"', '{"id":2}', '{"id":3}'], 10: ['{"id":9}']}
