@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..functions import classify, urls
-from ..operators import expand, extract, graph, json_tree, rollup, state
+from ..operators import expand, extract, graph, json_tree, order, rollup, state
 from ..sources import inputs
 from ..streaming import feed
 from . import fixtures
@@ -415,6 +415,47 @@ def visit_attempts(spark, sf_dir):
     return rollup.visit_attempts(visit_log(spark, sf_dir)).select("visit_id", "attempt")
 
 
+@query
+def save_segments(spark, sf_dir):
+    """Which visits a save of the state has in it, where it is due after 10 pages or half an hour."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    started = F.unix_micros(F.col("ts").cast("timestamp"))
+    log = e.select(F.lit("events").alias("site_key"), F.col("event_id").alias("visit_id"), started.alias("started"), (started + F.floor(F.col("value") * 125_000)).alias("finished"))
+    return order.segments(log, inputs.RunConfig().checkpoint_every_pages, 1_800_000_000).drop("site_key")
+
+
+def _deque(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """What events do to a frontier: purchases and sign-ups take its first page, errors put theirs in front, others put theirs at the end."""
+    kind = F.col("event_type")
+    op = F.when(kind.isin("purchase", "signup"), order.TAKE).when(kind == "error", order.FRONT).otherwise(order.BACK)
+    log = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.lit("events").alias("site_key"), "ts", "event_id", op.alias("op"), F.struct("event_id", "user_id").alias("page"))
+    return order.replayed(log, ["site_key"], ["ts", "event_id"], "page")
+
+
+@query
+def deque_taken(spark, sf_dir):
+    return _deque(spark, sf_dir)[0].select("event_id", F.col("item.event_id").alias("put_by"), F.col("item.user_id").alias("page_id"), "came")
+
+
+@query
+def deque_waiting(spark, sf_dir):
+    left = _deque(spark, sf_dir)[1].select("site_key", "side", "turn", F.col("item.event_id").alias("put_by"), F.col("item.user_id").alias("page_id"))
+    return order.numbered(left, ["site_key"], ["side", "turn"]).select("place", "put_by", "page_id", "side")
+
+
+@query
+def dispatch_order(spark, sf_dir):
+    """The order in which each site's pages are taken if the best one waiting is always next, from the captured ones on."""
+    f = found(spark, sf_dir, aggressive=False)
+    own = urls.normalize(pages(spark, sf_dir), "source_url", None, "url")
+    starts = own.select("site_key", "url").distinct().withColumn("start", F.lit(True))
+    known = f.filter("should_visit").groupBy("site_key", "url").agg(F.min(F.struct(*classify.priority("url", F.col("page_kind"), F.col("method"))[:2])).alias("kind"), F.min("url_path").alias("url_path"))
+    items = known.join(starts, ["site_key", "url"], "left").withColumn("start", F.coalesce("start", F.lit(False)))
+    links = f.filter("should_visit").join(own.select("site_key", "source_url", F.col("url").alias("src")), ["site_key", "source_url"]).select("site_key", "src", F.col("url").alias("dst"))
+    best = ["kind", F.when(F.col("start"), 0).otherwise(1), F.size(urls.segments(F.col("url_path"))), "url"]
+    return order.best_first(items, links, ["site_key"], "url", best)
+
+
 # --- scripts, calls and answers ------------------------------------------------------------------------------------
 
 

@@ -203,6 +203,27 @@ _REACH = """WITH RECURSIVE links AS (
 ) SELECT node, min(depth) AS depth FROM walk GROUP BY node"""
 
 
+_SEGMENTS = """WITH RECURSIVE v AS (
+  SELECT event_id AS visit_id, epoch_us(ts) AS started, epoch_us(ts) + floor(value * 125000)::BIGINT AS fin FROM events
+), p AS (
+  SELECT visit_id, fin, row_number() OVER (ORDER BY fin, visit_id) AS place FROM v UNION ALL SELECT NULL, min(started), 0 FROM v
+), t AS (
+  SELECT a.place, min(b.place) AS timed FROM p a ASOF JOIN (SELECT fin, min(place) AS place FROM p WHERE place > 0 GROUP BY fin) b ON a.fin + 1800000000 <= b.fin GROUP BY a.place
+), hop AS (
+  SELECT place, least(place + 10, timed) AS next FROM p LEFT JOIN t USING (place) WHERE least(place + 10, timed) <= (SELECT max(place) FROM p)
+), saves AS (
+  SELECT 0::BIGINT AS segment, 0::BIGINT AS place UNION ALL SELECT segment + 1, next FROM saves JOIN hop USING (place)
+)
+SELECT visit_id, segment, next IS NOT NULL AS saved FROM p ASOF JOIN saves ON p.place > saves.place LEFT JOIN hop ON hop.place = saves.place WHERE p.place > 0"""
+
+_DEQUE = """WITH RECURSIVE log AS (
+  SELECT event_id, CASE WHEN event_type IN ('purchase', 'signup') THEN 'take' WHEN event_type = 'error' THEN 'front' ELSE 'back' END AS op, row_number() OVER (ORDER BY ts, event_id) AS i FROM events
+), sim AS (
+  SELECT 0::BIGINT AS i, []::BIGINT[] AS dq, NULL::BIGINT AS event_id, NULL::BIGINT AS put_by
+  UNION ALL SELECT l.i, CASE l.op WHEN 'back' THEN list_append(dq, l.event_id) WHEN 'front' THEN list_prepend(l.event_id, dq) ELSE dq[2:] END,
+    CASE WHEN l.op = 'take' THEN l.event_id END, CASE WHEN l.op = 'take' THEN dq[1] END FROM sim JOIN log l ON l.i = sim.i + 1
+)"""
+
 _WALK = """WITH RECURSIVE walk AS (
   SELECT event_id, []::VARCHAR[] AS path, (repeat('{"at":"http://e/' || event_id || '","in":[null,', (event_id % 12)::INT) || coalesce(props, '{}') || repeat(']}', (event_id % 12)::INT))::JSON AS v FROM events
   UNION ALL SELECT event_id, list_append(walk.path, e.key), e.value FROM walk, json_each(walk.v) e WHERE json_type(walk.v) IN ('OBJECT', 'ARRAY')
@@ -240,6 +261,15 @@ def oracle_sql() -> dict[str, str]:
         "frontier_limit": f"WITH {frontier} SELECT * FROM next ORDER BY depth, site_key, url LIMIT 100",
         "bfs_reachability": _REACH,
         "json_walk": _WALK,
+        "save_segments": _SEGMENTS,
+        "deque_taken": f"{_DEQUE} SELECT sim.event_id, put_by, e.user_id AS page_id, CASE log.op WHEN 'front' THEN 'front' WHEN 'back' THEN 'back' END AS came FROM sim LEFT JOIN events e ON e.event_id = put_by LEFT JOIN log ON log.event_id = put_by WHERE sim.event_id IS NOT NULL",
+        "deque_waiting": f"{_DEQUE}, left_over AS (SELECT unnest(dq) AS put_by, unnest(range(1, len(dq) + 1)) AS place FROM sim ORDER BY i DESC LIMIT (SELECT len(dq) FROM sim ORDER BY i DESC LIMIT 1)) SELECT place, put_by, e.user_id AS page_id, (log.op = 'back')::INT AS side FROM left_over JOIN events e ON e.event_id = put_by JOIN log ON log.event_id = put_by",
+        "dispatch_order": f"""WITH {_FOUND},{visited()}, own AS (SELECT source_url, any_value(url) AS start_url FROM vf GROUP BY source_url),
+            it AS (SELECT site_key, url, any_value(path) AS path, min(({low}, {kind_rank})) AS kind, (site_key, url) IN (SELECT (site_key, url) FROM vis) AS start FROM f WHERE queueable GROUP BY site_key, url),
+            rk AS (SELECT *, row_number() OVER (PARTITION BY site_key ORDER BY kind, CASE WHEN start THEN 0 ELSE 1 END, {deep}, url) AS p FROM it),
+            par AS (SELECT f.site_key, f.url, min(s.p) AS parent FROM f JOIN own USING (source_url) JOIN rk s ON s.site_key = f.site_key AND s.url = start_url AND s.start WHERE f.queueable GROUP BY f.site_key, f.url),
+            ord AS (SELECT rk.*, CASE WHEN start THEN p ELSE greatest(p, parent) END AS gate FROM rk LEFT JOIN par USING (site_key, url) WHERE start OR parent IS NOT NULL)
+            SELECT site_key, url, row_number() OVER (PARTITION BY site_key ORDER BY gate, CASE WHEN gate = p THEN 0 ELSE 1 END, p) AS place FROM ord""",
         "coverage_missing": f"WITH {_EVEN_ODD} SELECT site_key, 'linked' AS category, url FROM lacks",
         "coverage_samples": f"WITH {_EVEN_ODD} {sample.format(item='', rows='lacks')}",
         "unvisited_queueable": f"WITH {_EVEN_ODD} SELECT site_key, url FROM open",
