@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from ..functions import classify, urls
+from ..functions import classify, rules, urls
 from ..operators import expand, extract, graph, json_tree, order, rollup, state
 from ..sources import inputs
 from ..streaming import feed
@@ -339,6 +339,50 @@ def resume_equivalence_all(spark, sf_dir):
     return rows("nodes").unionByName(rows("visited")).unionByName(rows("frontier"))
 
 
+def _resumed(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """A state saved in three deltas that share nodes, compacted in between, and resumed with all pages as seeds.
+
+    The third of the pages with page_id % 3 = n is found by delta n. Pages with a visit without error are done: each
+    delta's own wait first, the next one takes those that are done from the frontier. The last delta leaves its own in flight.
+    """
+    captured = pages(spark, sf_dir)
+    done = visit_log(spark, sf_dir).filter("ok").select("page_id").distinct().withColumn("done", F.lit(True))
+    own = urls.normalize(captured.join(done, "page_id", "left"), "source_url", None, "url")
+    own = graph.written(own.select("page_id", *extract.SITE, "url", F.coalesce("done", F.lit(False)).alias("done")))
+    all_found = found(spark, sf_dir).join(captured.select("site_key", "source_url", (F.col("page_id") % 3).alias("third")), ["site_key", "source_url"])
+    all_found = graph.written(all_found)
+    folder = f"{graph.scratch(spark)}/state-{uuid.uuid4().hex}"
+    for n in range(3):
+        third = own.filter(F.col("page_id") % 3 == n)
+        queue = third.groupBy("site_key", "url").agg(F.lit(0).alias("depth"), F.min("url").alias("discovered_from"), F.lit("seed").alias("discovery_method"), F.lit(n).alias("attempts"))
+        tables = {"nodes": graph.nodes(all_found.filter(F.col("third") == n)), "visited": third.filter("done").select("site_key", "url").distinct(), "in_flight" if n == 2 else "frontier": queue}
+        state.save(spark, folder, tables, removed={"frontier": own.filter((F.col("page_id") % 3 == n - 1) & F.col("done"))} if n else None)
+        if n == 1:
+            state.compact(spark, folder)
+            state.clear_out(spark, folder)
+    sites = captured.select(*extract.SITE).distinct()
+    return state.resume(spark, folder, sites, own.select("site_key", "url").distinct())
+
+
+@query
+def resumed_nodes(spark, sf_dir):
+    return _resumed(spark, sf_dir)["nodes"].select("site_key", "url", "seen_count", "first_depth", "queueable", "page_kind")
+
+
+@query
+def resumed_frontier(spark, sf_dir):
+    return _resumed(spark, sf_dir)["frontier"]
+
+
+@query
+def run_plan(spark, sf_dir):
+    """What is to be done for each site, where states know most seeds, and some sites are done, or done under an older policy."""
+    rows = inputs.seeds(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", F.col("url").alias("line")))
+    known = rows.filter("page_id % 4 < 3").groupBy("site_key").agg(F.count("*").alias("n"), F.min("page_id").alias("first"))
+    saved = known.select("site_key", (F.col("n") % 4 < 3).alias("completed"), (rules.POLICY_VERSION - (F.col("first") % 5 == 0).cast("int")).alias("policy_version"), F.lit(False).alias("visit_leaf_pages"))
+    return state.run_plan(rows, saved, rows.filter("page_id % 4 < 3"))
+
+
 @query
 def new_seeds(spark, sf_dir):
     rows = inputs.seeds(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", F.col("url").alias("line")))

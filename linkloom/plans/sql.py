@@ -261,6 +261,16 @@ def oracle_sql() -> dict[str, str]:
         "frontier_limit": f"WITH {frontier} SELECT * FROM next ORDER BY depth, site_key, url LIMIT 100",
         "bfs_reachability": _REACH,
         "json_walk": _WALK,
+        "resumed_nodes": f"WITH {_NODES},{visited()}, seeds_found AS (SELECT site_key, url, count(*) AS again FROM vis GROUP BY site_key, url) SELECT site_key, url, seen_count + coalesce(again, 0) AS seen_count, CASE WHEN again > 0 THEN 0 ELSE 1 END AS first_depth, queueable, page_kind FROM n LEFT JOIN seeds_found USING (site_key, url)",
+        "resumed_frontier": f"""WITH {_SAVED}, araw AS (SELECT site_key, site_host, site_origin, source_url, source_url AS raw_url FROM pg),{found('araw', 'af')}, own AS (SELECT DISTINCT page_id, pg.site_key, v.url FROM pg JOIN (SELECT DISTINCT source_url, url FROM af) v USING (source_url)),
+            fs AS (SELECT f.site_key, f.url, min((pg.page_id % 3, f.source_url)) AS first FROM f JOIN pg ON pg.site_key = f.site_key AND pg.source_url = f.source_url GROUP BY f.site_key, f.url),
+            queue AS (SELECT site_key, url, arg_max(n, n) AS attempts FROM (SELECT site_key, url, (page_id % 3)::INT AS n FROM own) GROUP BY site_key, url)
+            SELECT o.site_key, o.url, CASE WHEN queue.url IS NULL THEN 1 ELSE 0 END AS depth, CASE WHEN queue.url IS NULL THEN fs.first[2] ELSE o.url END AS discovered_from, CASE WHEN queue.url IS NULL THEN 'dom' ELSE 'seed' END AS discovery_method, coalesce(queue.attempts, 0) AS attempts
+            FROM open o JOIN fs USING (site_key, url) LEFT JOIN queue USING (site_key, url)""",
+        "run_plan": f"""WITH {PAGES}, k AS (SELECT site_key, count(*) AS n, min(page_id) AS first FROM pg WHERE page_id % 4 < 3 GROUP BY site_key),
+            fresh AS (SELECT site_key, count(DISTINCT source_url) AS new_seeds FROM pg WHERE (site_key, source_url) NOT IN (SELECT (site_key, source_url) FROM pg WHERE page_id % 4 < 3) GROUP BY site_key)
+            SELECT s.site_key, CASE WHEN k.n IS NULL THEN 'start' WHEN n % 4 = 3 THEN 'unfinished' WHEN first % 5 = 0 THEN 'policy' WHEN new_seeds > 0 THEN 'seeds' ELSE 'skip' END AS decision, coalesce(new_seeds, 0) AS new_seeds
+            FROM (SELECT DISTINCT site_key FROM pg) s LEFT JOIN k USING (site_key) LEFT JOIN fresh USING (site_key)""",
         "save_segments": _SEGMENTS,
         "deque_taken": f"{_DEQUE} SELECT sim.event_id, put_by, e.user_id AS page_id, CASE log.op WHEN 'front' THEN 'front' WHEN 'back' THEN 'back' END AS came FROM sim LEFT JOIN events e ON e.event_id = put_by LEFT JOIN log ON log.event_id = put_by WHERE sim.event_id IS NOT NULL",
         "deque_waiting": f"{_DEQUE}, left_over AS (SELECT unnest(dq) AS put_by, unnest(range(1, len(dq) + 1)) AS place FROM sim ORDER BY i DESC LIMIT (SELECT len(dq) FROM sim ORDER BY i DESC LIMIT 1)) SELECT place, put_by, e.user_id AS page_id, (log.op = 'back')::INT AS side FROM left_over JOIN events e ON e.event_id = put_by JOIN log ON log.event_id = put_by",

@@ -133,21 +133,6 @@ def test_merged_nodes_and_in_flight(spark):
     assert {(r["url"], r["depth"]) for r in both.collect()} == {("u", 2), ("w", 1)}
 
 
-def test_state_versions_and_policy(spark, tmp_path):
-    path = str(tmp_path / "state")
-    rows = spark.createDataFrame([("s", "u")], "site_key string, url string")
-    assert state.versions(spark, path) == [] and state.save(spark, path, {"visited": rows}) == 1
-    assert state.save(spark, path, {"visited": rows.withColumn("url", F.lit("v"))}, completed=True) == 2
-    assert state.load(spark, path, "visited").count() == 2 and state.load(spark, path, "visited", 1).count() == 1 and state.load(spark, path, "nodes") is None
-    saved = state.meta(spark, path, 2)
-    assert state.matches_policy(saved, False) and not state.matches_policy(saved, True) and not state.matches_policy({"policy_version": 4}, False)
-    seeds = spark.createDataFrame([("a",), ("b",)], "url string")
-    assert state.skippable(saved, seeds, seeds) and not state.skippable(saved, seeds, seeds.limit(1))
-    os.makedirs(f"{path}/v=3/visited")
-    assert state.versions(spark, path) == [1, 2]
-    assert state.due(10, 0, 10, 60) and state.due(0, 61, 10, 60) and not state.due(1, 1, 10, 60)
-
-
 def test_seed_file_and_configuration(spark, tmp_path):
     (tmp_path / "seeds.txt").write_text("﻿https://b.example/x\n# note\n\nb.example\nb.example\nftp://no/\n", encoding="utf-8")
     rows = inputs.seeds(inputs.seed_lines(spark, str(tmp_path / "seeds.txt")).withColumn("n", F.monotonically_increasing_id()))
