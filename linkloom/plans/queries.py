@@ -594,17 +594,21 @@ def new_nodes_feed(spark, sf_dir):
 
 @query
 def new_nodes_stream(spark, sf_dir):
-    """The feed itself, over slices of pages that arrive one after the other."""
+    """The feed itself, over pages that arrive in three slices in order of their address; it is started again for each."""
     folder = f"{graph.scratch(spark)}/feed-{uuid.uuid4().hex}"
-    captured = pages(spark, sf_dir).select(*extract.SITE, "source_url", "html")
-    captured.repartition(3, "source_url").write.parquet(f"{folder}/in")
+    captured = order.numbered(pages(spark, sf_dir).select("page_id", *extract.SITE, "source_url", "html"), [], ["source_url", "page_id"])
+    captured = graph.written(captured)
+    many = captured.count()
+    schema = captured.select(*extract.SITE, "source_url", "html").schema
+    for n in range(3):
+        arrived = captured.filter((F.col("place") > n * many // 3) & (F.col("place") <= (n + 1) * many // 3))
+        arrived.select(*schema.names).write.mode("append").parquet(f"{folder}/in")
 
-    def sink(df: DataFrame, batch: int) -> None:
-        df.write.mode("overwrite").parquet(f"{folder}/out/batch={batch}")
+        def sink(df: DataFrame, batch: int) -> None:
+            df.write.mode("overwrite").parquet(f"{folder}/out/batch={batch}")
 
-    stream = feed.start_feed(feed.page_stream(spark, f"{folder}/in", captured.schema), f"{folder}/checkpoint", sink)
-    stream.awaitTermination()
-    return spark.read.parquet(f"{folder}/out").select("site_key", "url", "first_depth")
+        feed.start_feed(feed.page_stream(spark, f"{folder}/in", schema), f"{folder}/checkpoint", sink).awaitTermination()
+    return spark.read.parquet(f"{folder}/out").drop("batch")
 
 
 def queries() -> dict[str, Query]:

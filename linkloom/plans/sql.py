@@ -301,8 +301,8 @@ def oracle_sql() -> dict[str, str]:
         "visits_by_proxy": f"WITH {_LOG} SELECT proxy, count(*) AS visits, count_if(ok) AS ok, count_if(NOT ok) AS failed, count_if(contains(lower(error), 'target closed') OR contains(lower(error), 'protocol error')) AS transport_errors, sum(duration_ms)::BIGINT AS duration_ms FROM log GROUP BY proxy",
         "visit_attempts": f"WITH {_LOG} SELECT visit_id, row_number() OVER (PARTITION BY requested_url ORDER BY started, finished, visit_id) AS attempt FROM log",
         "retry_candidates": f"WITH {_LOG}, t AS (SELECT *, row_number() OVER (PARTITION BY requested_url ORDER BY started, finished, visit_id) AS attempts FROM log) SELECT requested_url, attempts FROM t WHERE NOT ok AND attempts < 4",
-        "new_nodes_feed": f"WITH {_NODES} SELECT site_key, url, first_depth FROM n",
-        "new_nodes_stream": f"WITH {_NODES} SELECT site_key, url, first_depth FROM n",
+        "new_nodes_feed": f"WITH {_NODES} SELECT site_key, url, same_site, queueable, first_depth, first_source, first_method, page_kind FROM n",
+        "new_nodes_stream": f"WITH {_NODES} SELECT site_key, url, same_site, queueable, first_depth, first_source, first_method, page_kind FROM n",
         "crawl_levels": f"WITH {_FOUND},{visited()} SELECT 0 AS depth, count(*) AS n FROM vis UNION ALL SELECT 1, count(*) FROM (SELECT DISTINCT site_key, url FROM f WHERE queueable AND (site_key, url) NOT IN (SELECT (site_key, url) FROM vis)) HAVING count(*) > 0",
     }
     return out | {name: golden(name) for name in GOLDEN}
