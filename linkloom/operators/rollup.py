@@ -97,6 +97,15 @@ def global_links(sites: DataFrame, nodes: DataFrame) -> DataFrame:
     return joined.select(site_folder(F.col("site_key")).alias("site_folder"), "site_host", site_family(F.col("site_host")).alias("site_family"), "url", "same_site", "queueable", "page_kind", "first_depth")
 
 
+def saved_report(summaries: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Rows of summaries with what was read of each site's nodes: links, distinct URLs and broken lines, 0 without nodes.
+
+    Nodes of folders without a summary do not count. summaries has site_folder, nodes site_folder, url and broken.
+    """
+    read = nodes.groupBy("site_folder").agg(F.count_if(F.col("broken").isNull()).alias("links"), F.count_distinct("url").alias("urls"), F.count_if(F.col("broken").isNotNull()).alias("broken_lines"))
+    return summaries.join(read, "site_folder", "left").na.fill(0, ["links", "urls", "broken_lines"])
+
+
 def visits_by_proxy(visits: DataFrame) -> DataFrame:
     label = proxy_label(F.col("proxy"), F.lit(None).cast("string")).alias("proxy")
     return visits.groupBy(label).agg(F.count("*").alias("visits"), F.count_if("ok").alias("ok"), F.count_if(~F.col("ok")).alias("failed"), F.count_if(transport_error(F.col("error"))).alias("transport_errors"), F.sum("duration_ms").alias("duration_ms"))

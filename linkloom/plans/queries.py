@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..functions import classify, rules, urls
 from ..operators import expand, extract, graph, json_tree, order, rollup, state
-from ..sources import inputs
+from ..sources import inputs, outputs
 from ..streaming import feed
 from . import fixtures
 
@@ -428,6 +428,22 @@ def batch_summary(spark, sf_dir):
     return rollup.batch_summary(_summary(spark, sf_dir))
 
 
+@query
+def saved_sites(spark, sf_dir):
+    """Sites as their own folders have them, written and read back: the first one lost its nodes, the last one's have lines that are no JSON."""
+    f = found(spark, sf_dir)
+    site = pages(spark, sf_dir).select("site_key", "site_host").distinct()
+    n = graph.written(graph.nodes(f).withColumn("site_folder", urls.site_folder(F.col("site_key"))))
+    counts = rollup.site_counts(n, graph.edges(f), visit_log(spark, sf_dir).drop("site_key").join(pages(spark, sf_dir).select("page_id", "site_key"), "page_id"))
+    summary = graph.written(rollup.sites_summary(counts, rollup.completion(site, n.filter("seen_count > 2 and should_visit"))))
+    ends = summary.agg(F.min("site_folder").alias("first"), F.max("site_folder").alias("last"))
+    root = f"{graph.scratch(spark)}/sites-{uuid.uuid4().hex}"
+    outputs.write_sites(n.join(F.broadcast(ends), F.col("site_folder") == F.col("first"), "left_anti"), summary, root)
+    lines = ends.select("last", F.explode(F.array(F.lit('{"url": "cut off'), F.lit(""), F.lit("[1]"))).alias("value"))
+    lines.withColumnRenamed("last", "site_folder").write.mode("append").partitionBy("site_folder").text(f"{root}/nodes.jsonl")
+    return rollup.saved_report(inputs.saved_summaries(spark, root), inputs.saved_nodes(spark, root))
+
+
 # --- visits --------------------------------------------------------------------------------------------------------
 
 

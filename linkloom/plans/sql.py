@@ -261,6 +261,9 @@ def oracle_sql() -> dict[str, str]:
         "frontier_limit": f"WITH {frontier} SELECT * FROM next ORDER BY depth, site_key, url LIMIT 100",
         "bfs_reachability": _REACH,
         "json_walk": _WALK,
+        "saved_sites": f"""WITH {_SUMMARY}, ends AS (SELECT min(site_folder) AS first, max(site_folder) AS last FROM summary), r AS (SELECT {FOLDER.format('site_key')} AS site_folder, count(*) AS links, count(DISTINCT url) AS urls FROM n GROUP BY ALL)
+            SELECT summary.*, CASE WHEN site_folder = first THEN 0 ELSE coalesce(links, 0) END AS links, CASE WHEN site_folder = first THEN 0 ELSE coalesce(urls, 0) END AS urls, CASE WHEN site_folder = last THEN 2 ELSE 0 END AS broken_lines
+            FROM summary LEFT JOIN r USING (site_folder), ends""",
         "resumed_nodes": f"WITH {_NODES},{visited()}, seeds_found AS (SELECT site_key, url, count(*) AS again FROM vis GROUP BY site_key, url) SELECT site_key, url, seen_count + coalesce(again, 0) AS seen_count, CASE WHEN again > 0 THEN 0 ELSE 1 END AS first_depth, queueable, page_kind FROM n LEFT JOIN seeds_found USING (site_key, url)",
         "resumed_frontier": f"""WITH {_SAVED}, araw AS (SELECT site_key, site_host, site_origin, source_url, source_url AS raw_url FROM pg),{found('araw', 'af')}, own AS (SELECT DISTINCT page_id, pg.site_key, v.url FROM pg JOIN (SELECT DISTINCT source_url, url FROM af) v USING (source_url)),
             fs AS (SELECT f.site_key, f.url, min((pg.page_id % 3, f.source_url)) AS first FROM f JOIN pg ON pg.site_key = f.site_key AND pg.source_url = f.source_url GROUP BY f.site_key, f.url),

@@ -7,7 +7,7 @@ from dataclasses import dataclass, field, fields
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..functions.urls import normalize_seed, part, site_family, site_folder
+from ..functions.urls import normalize_seed, site_family, site_folder
 
 
 def seed_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -78,16 +78,35 @@ class RunConfig:
         return cls.from_text("\n".join(r["value"] for r in spark.read.text(path, wholetext=True).collect()))
 
 
-def saved_summaries(spark: SparkSession, folder: str) -> DataFrame:
-    """Summaries of all sites under folder, with the name of each one's own folder; sites without one are not there."""
-    rows = spark.read.option("multiLine", True).json(f"{folder}/*/summary.json")
-    return rows.withColumn("site_folder", F.element_at(F.split("_metadata.file_path", "/"), -2))
+COUNTS = ["discovered_urls", "queueable_urls", "same_site_urls", "external_or_non_queueable_urls", "edges", "visited_pages", "visit_ok", "visit_failed"]
+SUMMARY_ROW = f"site_key string, site_host string, site_family string, completed boolean, counts struct<{', '.join(f'{c}: long' for c in COUNTS)}>"
+NODE_ROW = "url string, same_site boolean, queueable boolean, first_depth int, first_source string, first_method string, seen_count long, page_kind string"
+BROKEN = "broken"
 
 
-def saved_nodes(spark: SparkSession, folder: str, schema: str) -> DataFrame:
-    rows = spark.read.schema(schema).json(f"{folder}/*/nodes.jsonl")
-    return rows.withColumn("site_folder", F.element_at(F.split("_metadata.file_path", "/"), -2))
+def _saved(spark: SparkSession, root: str, name: str, schema: str, whole: bool) -> DataFrame:
+    """Rows of one table of all sites under root, in one scan, with site_folder and, where a record is no JSON of that schema, broken.
 
+    Sites are folders with a file (site/name) each, or, as write_sites has them, parts of one table (name/site_folder=site).
+    """
+    jvm = spark.sparkContext._jvm
+    bulk = jvm.org.apache.hadoop.fs.Path(f"{root}/{name}")
+    one_table = bulk.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(bulk)
+    paths = f"{root}/{name}/*/" if one_table else f"{root}/*/{name}"
+    reader = spark.read.schema(f"{schema}, {BROKEN} string").option("columnNameOfCorruptRecord", BROKEN).option("multiLine", whole and not one_table)
+    folder = F.element_at(F.split("_metadata.file_path", "/"), -2)
+    return reader.json(paths).withColumn("site_folder", F.url_decode(F.regexp_replace(folder, "^site_folder=", "")))
 
-def origin_of(url: str = "url"):
-    return F.concat(F.lower(part(F.col(url), 1)), F.lit("://"), F.lower(part(F.col(url), 2)))
+
+def saved_summaries(spark: SparkSession, root: str) -> DataFrame:
+    """Summaries of all sites under root, numbers flat and 0 where a summary lacks them; a site without one is not there."""
+    rows = _saved(spark, root, "summary.json", SUMMARY_ROW, True)
+    host = F.coalesce("site_host", F.lit(""))
+    family = F.when(F.coalesce("site_family", F.lit("")) != "", F.col("site_family")).when(host != "", site_family(host)).otherwise("")
+    numbers = [F.coalesce(F.col(f"counts.{c}"), F.lit(0)).alias(c) for c in COUNTS]
+    return rows.select("site_folder", host.alias("site_host"), family.alias("site_family"), F.coalesce("completed", F.lit(False)).alias("completed"), *numbers)
+
+
+def saved_nodes(spark: SparkSession, root: str) -> DataFrame:
+    """Nodes of all sites under root; blank lines are none, and a line that is no JSON has nothing but broken."""
+    return _saved(spark, root, "nodes.jsonl", NODE_ROW, False)

@@ -71,6 +71,18 @@ def write_global(links: DataFrame, summary: DataFrame, batch: DataFrame, folder:
     write_summary(batch, f"{folder}/batch")
 
 
+def write_sites(nodes: DataFrame, summaries: DataFrame, root: str) -> None:
+    """Nodes and summaries of all sites, two jobs in all: a folder a site in each of two tables, as saved_nodes and saved_summaries read them.
+
+    nodes has site_folder and NODE, summaries the columns of rollup.sites_summary. A site's nodes come from as many
+    tasks as they fill, each in order of URL.
+    """
+    nodes.select("site_folder", *NODE).sortWithinPartitions("site_folder", "url").write.mode("overwrite").partitionBy("site_folder").json(f"{root}/nodes.jsonl")
+    rest = [c for c in summaries.columns if c not in ("site_folder", "site_host", "site_family", "completed")]
+    rows = summaries.select("site_folder", "site_host", "site_family", "completed", F.struct(*rest).alias("counts"))
+    rows.write.mode("overwrite").partitionBy("site_folder").json(f"{root}/summary.json")
+
+
 def write_error(site_folder: str, message: DataFrame, folder: str) -> None:
     """What ended a site's run: rows (error) beside a summary that has nothing but them."""
     message.select("error").write.mode("overwrite").text(f"{folder}/{site_folder}/run_error")
