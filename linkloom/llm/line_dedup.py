@@ -12,7 +12,9 @@ finds the signatures that two lines have; all further steps, and all texts that
 A line needs one witness, not all partners. An edit changes the counts of at most two characters, so of threshold * 2 + 1
 groups of characters one has the same counts in both lines of a near pair: signatures are told apart by the counts of
 each group in turn. Each line is first held against the earliest line of each of these; only lines that are still undecided meet
-all others, and then as pairs whose counts agree.
+all others, and then as pairs whose counts agree. Where many lines meet an undecided one, as numbered lines do, they
+are told apart once more: the digits alone of near lines are no more than `threshold` edits apart either, so they share a
+segment of these.
 """
 
 from __future__ import annotations
@@ -23,8 +25,12 @@ from .common import WHITE_SPACE, cut, may_be_in
 
 THRESHOLD = 2
 MIN_CHARS = 20
-#: Fixed value: characters that are counted, frequent ones first, dealt to the groups in turn. Others only count less.
-COUNTED = " etaoinshrdlucmfwygpbvk.,jxqz-"
+#: Fixed value: characters that are counted, those that tell most first, dealt to the groups in turn. Others only count less.
+COUNTED = " 0123456789etaoinshrdlucmfwygpbvk.,jxqz-"
+#: Counts that a number holds, one a byte.
+BYTES = 8
+#: Lines of a key beyond which it is told apart by digits.
+CROWD = 32
 #: A hot line's rows are dealt to so many tasks.
 SALTS = 16
 
@@ -56,12 +62,31 @@ def probe_signatures(line: Column, threshold: int) -> list[Column]:
     return out
 
 
+def digit_signatures(line: Column, threshold: int) -> Column:
+    """array of (signature, indexed) of a line's digits; indexed are those of its own segments.
+
+    Of near lines, one has an indexed signature that the other has too. Fewer digits than segments tell a line apart by their number.
+    """
+    digits = F.regexp_replace(line, "[^0-9]", "")
+    few = threshold + 1
+    entry = lambda signature, indexed: F.struct(signature.alias("signature"), F.lit(indexed).alias("indexed"))
+    probes = []
+    for shorter in range(threshold + 1):
+        length = F.length(digits) - shorter
+        probes.append(F.when((length >= 0) & (length < few), entry(F.xxhash64(F.lit(-1), length), shorter == 0)))
+        for i in range(threshold + 1):
+            start, size = _segment(length, i, threshold + 1)
+            low, high = max(-i, shorter - (threshold - i)), min(i, shorter + (threshold - i))
+            probes += [F.when(length >= few, entry(F.xxhash64(F.lit(i), length, digits.substr(start + shift, size)), shorter == 0 and shift == 0)) for shift in range(low, high + 1)]
+    return F.array_distinct(F.array_compact(F.array(*probes)))
+
+
 def character_counts(line: Column, groups: int) -> list[Column]:
     """Per group of characters a number with the count of each, modulo 256, in a byte of its own."""
     out = []
     for group in range(groups):
         counts = F.lit(0).cast("long")
-        for k, c in enumerate(COUNTED[group::groups][:7]):
+        for k, c in enumerate(COUNTED[group::groups][:BYTES]):
             counts = counts.bitwiseOR(F.shiftleft((F.length(line) - F.length(F.replace(line, F.lit(c), F.lit("")))).bitwiseAND(255).cast("long"), 8 * k))
         out.append(counts)
     return out
@@ -70,8 +95,8 @@ def character_counts(line: Column, groups: int) -> list[Column]:
 def counts_apart(a: list[Column], b: list[Column]) -> Column:
     """How far the counts of two lines are apart in all, counting modulo 256: at most twice the edit distance."""
     total = F.lit(0).cast("long")
-    for p, q in zip(a, b, strict=True):
-        for k in range(len(COUNTED[:: len(a)])):
+    for group, (p, q) in enumerate(zip(a, b, strict=True)):
+        for k in range(len(COUNTED[group :: len(a)][:BYTES])):
             x, y = (F.shiftright(c, 8 * k).bitwiseAND(255) for c in (p, q))
             total = total + F.least(F.abs(x - y), 256 - F.abs(x - y))
     return total
@@ -172,11 +197,27 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     decided = cut(verified(with_first))
 
     undecided = placed.join(decided, ["h", "g"], "left_anti")
-    a, b = (rows.select("key", *[F.col(c).alias(f"{s}_{c}") for c in ("id", "h", "indexed", *names)]) for s, rows in (("a", placed), ("b", undecided)))
-    close = counts_apart([F.col(f"a_{n}") for n in names], [F.col(f"b_{n}") for n in names]) <= 2 * threshold
-    met = a.join(b, (a["key"] == b["key"]) & (F.col("a_id") < F.col("b_id")) & (F.col("a_indexed") | F.col("b_indexed")) & close)
-    rest = verified(cut(met.select(F.col("a_h").alias("a"), F.col("b_h").alias("b")).distinct()))
-    return decided.union(rest)
+    undecided = cut(undecided)
+    sizes = placed.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > CROWD)
+    crowd = cut(sizes.join(undecided.select("key").distinct().hint("shuffle_hash"), "key", "left_semi").select("key"))
+
+    def by_digits(rows: DataFrame) -> DataFrame:
+        """The rows of crowded keys, under each of the key's signatures of digits."""
+        there = rows.join(crowd.hint("shuffle_hash"), "key", "left_semi").join(texts.select("id", "h", "line").hint("shuffle_hash"), ["id", "h"])
+        each = there.select("*", F.explode(digit_signatures(F.col("line"), threshold)).alias("d"))
+        return each.select(F.xxhash64("key", "d.signature").alias("key"), "id", "h", "indexed", F.col("d.indexed").alias("by_digit"), *names)
+
+    def met(lines: DataFrame, others: DataFrame) -> DataFrame:
+        """Pairs (a, b) of the hashes of lines and of others that share a key, are in order and have close counts."""
+        columns = ("id", "h", "indexed", "by_digit", *names)
+        a, b = (rows.select("key", *[F.col(c).alias(f"{s}_{c}") for c in columns]) for s, rows in (("a", lines), ("b", others)))
+        close = counts_apart([F.col(f"a_{n}") for n in names], [F.col(f"b_{n}") for n in names]) <= 2 * threshold
+        on = (a["key"] == b["key"]) & (F.col("a_id") < F.col("b_id")) & (F.col("a_indexed") | F.col("b_indexed")) & (F.col("a_by_digit") | F.col("b_by_digit")) & close
+        return a.join(b, on).select(F.col("a_h").alias("a"), F.col("b_h").alias("b"))
+
+    few = lambda rows: rows.join(crowd.hint("shuffle_hash"), "key", "left_anti").withColumn("by_digit", F.lit(True))
+    pairs = met(few(placed), few(undecided)).union(met(by_digits(placed), by_digits(undecided)))
+    return decided.union(verified(cut(pairs.distinct())))
 
 
 def line_verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = THRESHOLD, min_chars: int = MIN_CHARS) -> DataFrame:

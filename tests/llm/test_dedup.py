@@ -177,6 +177,35 @@ def test_line_dedup_against_plain(spark):
     assert got.columns[:5] == ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+@pytest.mark.parametrize("threshold", [1, 2, 3, 4])
+def test_line_dedup_at_every_threshold(spark, monkeypatch, threshold):
+    """Numbered lines, lines with few digits or none, and letters that only the first counts tell apart; keys of three lines are a crowd."""
+    monkeypatch.setattr(line_dedup, "CROWD", 2)
+    rng = random.Random(threshold)
+    texts = [f"invoice {rng.randrange(10**6):06d} was sent" for _ in range(25)]
+    texts += [f"{rng.choice(['row', 'no'])} of a table {rng.choice(['', '7', '12', '345'])}" for _ in range(10)]
+    texts += ["".join(rng.choices("abt ", k=rng.randrange(9, 14))) for _ in range(10)]
+    texts += ["a line of letters ttttt x", "a line of letters tttttax"]
+    texts += [edited(rng, rng.choice(texts), rng.randrange(threshold + 2)) for _ in range(25)]
+    rng.shuffle(texts)
+    near = lambda x, y: x == y or len(x) >= 8 and len(y) >= 8 and levenshtein(x, y) <= threshold
+    expected = {i for i, x in enumerate(texts) if x.strip() and any(near(x, y) for y in texts[:i])}
+    got = line_dedup.line_verdicts(frame(spark, texts), threshold=threshold, min_chars=8)
+    assert {r["doc_id"] for r in got.collect()} == expected
+
+
+def test_numbered_lines_take_no_square(spark):
+    """Lines that differ in digits alone: eight times as many take far less than eight times eight times as long."""
+    rng = random.Random(8)
+    took = []
+    for n in (500, 4000):
+        texts = [f"invoice number {x:08d} was sent to the customer in good order" for x in rng.sample(range(10**8), n)]
+        began = time.time()
+        line_dedup.near_copies(frame(spark, texts)).count()
+        took.append(time.time() - began)
+    assert took[1] < 6 * took[0]
+
+
 def test_line_dedup_edges(spark):
     assert line_dedup.dedup_lines(frame(spark, [])).count() == 0
     line = "a line of more than twenty characters"
