@@ -13,16 +13,24 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from linkloom.llm import language_id, line_dedup, mixing, ngram_join, piece_transducer
 from linkloom.llm.common import cut, table
 
+#: Bytes of an Arrow batch of the stages with Python: whole texts are held by the JVM and by Python at once, however long they are.
+BATCH_BYTES = 8 << 20
 #: A document whose language has a lower posterior is rejected, as is one without letters.
 MIN_SCORE = 0.5
 
 
+def bounded(spark: SparkSession) -> None:
+    """Arrow batches of at most BATCH_BYTES, or one text, from here on."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def by_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is told; lang becomes what the text was recognised as.
 
     Null texts and texts without letters go. Rows without id and repeated rows are told like any other; extra columns
     pass through. Without labelled rows no language is known and nothing is left. An empty table gives no rows.
     """
+    bounded(spark)
     model = language_id.train(docs)
     named = language_id.identify(docs, model, lang_name="__lang", score_name="__score")
     kept = named.filter((F.col("__lang") != language_id.UNKNOWN) & (F.col("__score") >= MIN_SCORE))
@@ -41,6 +49,7 @@ def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies the document of smallest id; rows without id or words stay. An empty table gives no rows."""
+    bounded(spark)
     return ngram_join.keep_one_of_each(docs)
 
 
@@ -51,6 +60,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def in_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with their ids, and whether these decode to the text; a null text has none. An empty table gives no rows."""
+    bounded(spark)
     transducer = piece_transducer.compile_transducer(piece_transducer.read_vocabulary())
     made = piece_transducer.encode_and_decode(docs, transducer)
     return made.withColumn("round_trip", piece_transducer.round_trips(F.col("text"), F.col("decoded"))).drop("decoded")
