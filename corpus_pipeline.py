@@ -19,9 +19,14 @@ BATCH_BYTES = 8 << 20
 MIN_SCORE = 0.5
 
 
+#: Environment of Python workers: what they free goes back to the system, as they stay while stages without Python run.
+WORKER_ENVIRONMENT = {"ARROW_DEFAULT_MEMORY_POOL": "system", "MALLOC_ARENA_MAX": "1", "MALLOC_TRIM_THRESHOLD_": "131072", "MALLOC_MMAP_THRESHOLD_": "131072"}
+
+
 def bounded(spark: SparkSession) -> None:
-    """Arrow batches of at most BATCH_BYTES, or one text, from here on."""
+    """Arrow batches of at most BATCH_BYTES, or one text, and workers that give memory back, from here on."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    spark.sparkContext.environment.update(WORKER_ENVIRONMENT)
 
 
 def by_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
