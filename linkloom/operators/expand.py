@@ -15,6 +15,7 @@ from ..functions import rules
 from ..functions.classify import shared_api
 from ..functions.urls import part, query_params, starts_with_any, strip, with_query
 from .extract import SITE, links_of_strings
+from .graph import written
 from .json_tree import strings, tree_items
 
 KEYS = [*SITE, "source_url"]
@@ -242,9 +243,10 @@ def pagination_plan(responses: DataFrame, max_pages: int = 0) -> DataFrame:
 def links_of_responses(responses: DataFrame, routes: DataFrame) -> DataFrame:
     """Discoveries (KEYS, raw_url, method) of all JSON answers: by the first expander whose name the address has, and of every string.
 
-    routes has (site_key, routes, issue_route), as known_routes gives it.
+    routes has (site_key, routes, issue_route), as known_routes gives it. The answers are written once, as each
+    expander reads them.
     """
-    answers = distinct_responses(responses.filter(is_json(F.col("content_type")))).join(routes, "site_key", "left")
+    answers = written(distinct_responses(responses.filter(is_json(F.col("content_type")))).join(routes, "site_key", "left"))
     own = answers.filter(F.col("site_family") == rules.FAMILY_ROUTES)
     shared = answers.filter((F.col("site_family") != rules.FAMILY_ROUTES) & shared_api(F.col("url")))
 

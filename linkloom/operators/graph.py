@@ -10,7 +10,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ..functions.classify import classified, method_rank
+from ..functions.classify import classified, method_rank, page_kind
 from ..functions.urls import normalize
 from .extract import SITE
 
@@ -88,14 +88,18 @@ def merged_nodes(known: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def expected(found: DataFrame) -> DataFrame:
-    """Rows (site_key, category, url) of pages whose kind says that they should be covered."""
-    category = F.when(F.col("page_kind") == "issue_detail", "issue_detail").when(F.col("page_kind") == "detail", "static_detail")
-    by_kind = found.select("site_key", category.alias("category"), "url").filter("category is not null")
-    source = normalize(found.filter("page_kind = 'english_issue'").withColumn("__source", F.col("source_url")), "__source", None, "from")
-    from ..functions.classify import page_kind
+    """Rows (site_key, category, url) of pages that should be covered, by what found them or by their kind.
 
+    Searches that answers name for an issue, articles, pages of details, and English articles that answers or the
+    English start page name. A URL may be in more than one category; a null method names none.
+    """
+    method, kind = F.coalesce("method", F.lit("")), F.coalesce("page_kind", F.lit(""))
+    by_answer = F.when(method.endswith(":search") | method.endswith(":currentIssue"), "issue_search").when(method.endswith(":enIssue"), "en_issue")
+    by_kind = F.when(kind == "issue_detail", "issue_detail").when(kind == "detail", "static_detail")
+    named = found.select("site_key", F.explode(F.array_compact(F.array(by_answer, by_kind))).alias("category"), "url")
+    source = normalize(found.filter("page_kind = 'english_issue'").withColumn("__source", F.col("source_url")), "__source", None, "from")
     english = source.filter(page_kind("from") == "english_index").select("site_key", F.lit("en_issue").alias("category"), "url")
-    return by_kind.unionByName(english).distinct()
+    return named.unionByName(english).distinct()
 
 
 def frontier_next(found: DataFrame, visited: DataFrame, queued: DataFrame | None = None) -> DataFrame:
@@ -178,7 +182,7 @@ def classic_expansion(start: DataFrame, pages: DataFrame, limit: int = 256) -> D
     from pyspark.sql import Window
 
     from ..functions import rules
-    from ..functions.classify import page_kind, portal_page
+    from ..functions.classify import portal_page
     from .extract import links_of_html
 
     def lists_only(df: DataFrame) -> DataFrame:

@@ -8,7 +8,6 @@ from ..functions.classify import transport_error
 from ..functions.urls import proxy_label, site_family, site_folder
 
 SAMPLE = 20
-CATEGORIES = ["issue_search", "issue_detail", "static_detail", "en_issue"]
 
 
 def site_counts(nodes: DataFrame, edges: DataFrame, visits: DataFrame | None = None) -> DataFrame:

@@ -1,19 +1,16 @@
-"""Small made-up inputs for rules that captured test pages do not touch, as (columns, rows)."""
+"""Inputs for rules that captured test pages do not touch: made-up rows, as (columns, rows), put on sites of each page's own."""
 
 from __future__ import annotations
 
 import json
 
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
 _ROUTES = "zgncjj.ajcass.com"
-_ROUTES_2 = "erj.ajcass.com"
 _PORTAL = "gggl.cbpt.cnki.net"
 _PLAIN = "h.example"
 
 
-def _answer(**body) -> str:
-    return json.dumps(body)
-
-
 TABLES: dict[str, tuple[str, list[tuple]]] = {
     "raw_urls": (
         "id int, raw string, base string, host string",
@@ -115,7 +112,7 @@ TABLES: dict[str, tuple[str, list[tuple]]] = {
             (44, "http://h.example/a/exportCitation.do?id=1", _PLAIN),
         ],
     ),
-    "methods": ("method string", [(m,) for m in ("seed", "DOM", "api:x", "click", "click:a", "popup:x", "selector:x", "response:document", "response:script:route", "response:json", "response:xhr", "response:fetch", "download:x", "resume", "")]),
+    "methods": ("method string", [(m,) for m in ("seed", "DOM", "api:{n}", "click", "click:{n}", "popup:{n}", "selector:{n}", "response:document", "response:script:{n}", "response:json", "response:xhr", "response:fetch", "download:{n}", "resume{n}", "")]),
     "issue_pages": (
         "source_url string, html string, host string",
         [
@@ -154,27 +151,6 @@ TABLES: dict[str, tuple[str, list[tuple]]] = {
             ("http://o.example/js/app.js", "http://h.example/", "routes:[{path:'/other'}]", _PLAIN),
         ],
     ),
-    "routes": ("site_key string, route string", [(_ROUTES, "/search"), (_ROUTES, "/detail"), (_ROUTES, "/issueDetail"), (_ROUTES_2, "/issue")]),
-    "responses": (
-        "source_url string, url string, http_method string, post_body string, content_type string, body string, host string",
-        [
-            ("http://zgncjj.ajcass.com/", "https://api.ajcass.com/api/x/GetIssueinfoList?id=1", "GET", None, "application/json", _answer(data=[{"contentId": 7, "year": 2020, "issue": 1, "title": "A b", "filePath": "/f/1.pdf"}, {"id": 8, "year": 2020, "title": "no issue"}, {"title": "no id", "otherPath": " /o/2 "}]), _ROUTES),
-            ("http://erj.ajcass.com/", "https://api.ajcass.com/api/x/GetIssueinfoList?id=1", "GET", None, "application/json", _answer(data=[{"contentId": 7, "year": None, "issue": "", "title": None, "enTitle": "E"}]), _ROUTES_2),
-            ("http://zgncjj.ajcass.com/", "https://api.ajcass.com/api/x/GetYearVolumeTree?j=1", "GET", None, "application/json", _answer(data=[{"year": 2020, "issueLists": [{"issue": 1}, {"issue": 2}, {"issue": None}]}, {"year": None, "issueLists": [{"issue": 1}]}]), _ROUTES),
-            ("http://erj.ajcass.com/", "https://api.ajcass.com/api/x/GetYearVolumeTree?j=1", "GET", None, "application/json", _answer(data=[{"year": 2020, "issueLists": [{"issue": 1}]}]), _ROUTES_2),
-            ("http://zgncjj.ajcass.com/", "https://api.ajcass.com/api/x/GetCurrentPeriodMutiChannel?j=1", "GET", None, "application/json", _answer(data={"titlePhoto": "/p.jpg", "year": 2021, "issue": 3, "issueInfoList": [{"id": 1, "year": 2021, "issue": 3}], "channels": [{"issueInfoList": [{"id": 2, "year": 2021, "issue": 3}], "channels": [{"channels": [{"issueInfoList": [{"id": 3, "year": 2021, "issue": 3, "filePath2": "/d.pdf"}]}]}]}]}), _ROUTES),
-            ("http://zgncjj.ajcass.com/", "https://api.ajcass.com/api/JournalInfoApi/GetSiteContentPageList", "POST", '{"channeID": 5, "curr": 1}', "application/json", _answer(totalpage=5, data=[{"linkUrl": "12", "titlePhoto": "/t.png"}, {"linkUrl": "/search?x=1"}, {"linkUrl": "http://o.example/"}, {"contentID": 9}, {}]), _ROUTES),
-            ("http://zgncjj.ajcass.com/b", "https://api.ajcass.com/api/JournalInfoApi/GetSiteContentPageList", "POST", '{"curr": 1, "channeID": 5}', "application/json", _answer(totalpage=5, data=[]), _ROUTES),
-            ("http://zgncjj.ajcass.com/", "https://api.ajcass.com/api/IssueContentApi/GetIssueSimpleSearch", "POST", "{}", "application/json", _answer(totalpage=1, data=[{"contentId": 4, "enTitle": "En"}]), _ROUTES),
-            ("http://zgncjj.ajcass.com/", "https://api.ajcass.com/api/x/GetContentInfo?id=1", "GET", None, "application/json", _answer(data={"siteContentInfoResult": {"filePath": "/c.pdf", "linkUrl": "", "text": "<a href='/in/line'>x</a>"}, "bmpVideoCourseResult": None}), _ROUTES),
-            ("http://h.example/", "https://uniapp.boyuancb.com/api/SiteWebApi/GetJournalGapYear?journalId=3&gapYear=5", "GET", None, "application/json", _answer(data=[{"year": 2010}, {"year": 2010}, {"year": None}]), _PLAIN),
-            ("http://h.example/", "https://uniapp.boyuancb.com/api/SiteWebApi/GetJournalYear?journalId=3&year=2010&gapYear=5", "GET", None, "application/json", _answer(data=[{"year": 2011}]), _PLAIN),
-            ("http://h.example/", "https://uniapp.boyuancb.com/api/SiteWebApi/GetThatYearIssueList?journalId=3&year=2011", "GET", None, "application/json", _answer(data=[{"issue": 1, "titlePhoto": "/i.jpg"}, {"issue": ""}]), _PLAIN),
-            ("http://h.example/", "https://uniapp.boyuancb.com/api/SiteWebApi/GetBackIssueBrowsing", "POST", '{"year": 2012, "issue": 2}', "application/json", _answer(totalpage=3, data=[{"id": 1}, {"issuecid": 2, "year": None, "pdfPath": "/b.pdf"}]), _PLAIN),
-            ("http://h.example/", "http://h.example/data.json", "GET", None, "application/ld+json; charset=utf-8", _answer(a=["http://o.example/q).", {"b": "see /page.html now", "c": "no link here / at all"}], d=3), _PLAIN),
-            ("http://h.example/", "http://h.example/text", "GET", None, "text/html", "{}", _PLAIN),
-        ],
-    ),
     "classic_starts": ("root string, url string, host string", [("http://gggl.cbpt.cnki.net/WKB/WKList.aspx", "http://gggl.cbpt.cnki.net/WKB/WKList.aspx?p=1", _PORTAL), ("http://gggl.cbpt.cnki.net/WKB/WKList.aspx", "http://gggl.cbpt.cnki.net/portal", _PORTAL)]),
     "classic_pages": (
         "source_url string, html string, host string",
@@ -186,3 +162,20 @@ TABLES: dict[str, tuple[str, list[tuple]]] = {
         ],
     ),
 }
+
+#: Hosts of the made-up sites.
+HOSTS = r"(zgncjj\.ajcass\.com|gggl\.cbpt\.cnki\.net|[ho]\.example)"
+
+
+def cases(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """The made-up rows once for each captured page, with its page_id, on sites of its own: a host h is p<page_id>.h there.
+
+    {n} in a text is the page's number. The rows are a constant of fixed size, exploded beside each page's id alone.
+    """
+    columns, rows = TABLES[name]
+    fields = [c.split() for c in columns.split(", ")]
+    made = F.from_json(F.lit(json.dumps([dict(zip((f for f, _ in fields), r, strict=True)) for r in rows])), f"array<struct<{', '.join(f'{f}: {t}' for f, t in fields)}>>")
+    number = F.col("page_id").cast("string")
+    own = lambda c: F.replace(F.regexp_replace(c, f"(?i){HOSTS}", F.concat(F.lit("p"), number, F.lit(".$1"))), F.lit("{n}"), number)
+    one = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", F.explode(made).alias("c"))
+    return one.select("page_id", *[(own(F.col(f"c.{f}")) if t == "string" else F.col(f"c.{f}")).alias(f) for f, t in fields])

@@ -1,4 +1,4 @@
-"""Results of the made-up inputs, worked out by hand from the rules."""
+"""Results of the made-up inputs, worked out by hand from the rules; sql.keyed puts them on each page's sites."""
 
 from __future__ import annotations
 
@@ -89,22 +89,5 @@ GOLDEN: dict[str, tuple[str, list[tuple]]] = {
             ("http://h.example/static/r", "http://h.example/x", "response:script:route"),
         ],
     ),
-    "json_items": (
-        "source_url VARCHAR, raw_url VARCHAR, method VARCHAR",
-        [
-            (f"{_R}/", f"{_R}/#/issueDetail?contentId=7&issue=1&year=2020&title=A+b", "api:GetIssueinfoList:issueDetail"),
-            (f"{_R}/", "/f/1.pdf", "api:GetIssueinfoList:issueDetail:filePath"),
-            (f"{_R}/", "/o/2", "api:GetIssueinfoList:issueDetail:otherPath"),
-            ("http://erj.ajcass.com/", "http://erj.ajcass.com/#/issue?id=7&title=E", "api:GetIssueinfoList:issueDetail"),
-        ],
-    ),
-    "year_issue_tree": ("source_url VARCHAR, raw_url VARCHAR, method VARCHAR", [(f"{_R}/", f"{_R}/#/search?issue={i}&year=2020", "api:GetYearVolumeTree:search") for i in (1, 2)]),
-    "pagination_plan": (
-        "source_url VARCHAR, url VARCHAR, page INTEGER",
-        [
-            *[(f"{_R}/", "https://api.ajcass.com/api/JournalInfoApi/GetSiteContentPageList", p) for p in (2, 3)],
-            *[("http://h.example/", "https://uniapp.boyuancb.com/api/SiteWebApi/GetBackIssueBrowsing", p) for p in (2, 3)],
-        ],
-    ),
     "classic_expansion": ("root VARCHAR, url VARCHAR, depth INTEGER", [(f"{_P}/WKB/WKList.aspx", f"{_P}/WKB/WKList.aspx?p={p}", d) for p, d in ((1, 0), (2, 1), (4, 2))]),
 }

@@ -11,7 +11,7 @@ from ..functions import classify, rules, urls
 from ..operators import expand, extract, graph, json_tree, order, rollup, state
 from ..sources import inputs, outputs
 from ..streaming import feed
-from . import fixtures
+from . import answers, fixtures
 
 Query = Callable[[SparkSession, str], DataFrame]
 _all: dict[str, Query] = {}
@@ -35,11 +35,6 @@ def found(spark: SparkSession, sf_dir: str, aggressive: bool = True) -> DataFram
     return graph.written(graph.resolved(raw_links(pages(spark, sf_dir)), aggressive=aggressive))
 
 
-def rows_of(spark: SparkSession, name: str) -> DataFrame:
-    columns, rows = fixtures.TABLES[name]
-    return spark.createDataFrame(rows, columns)
-
-
 def with_site(df: DataFrame, host: str = "host") -> DataFrame:
     """df with the columns of a made-up site whose origin is http://host."""
     h = F.col(host)
@@ -73,13 +68,13 @@ def url_normalize(spark, sf_dir):
 
 @query
 def url_normalize_cases(spark, sf_dir):
-    return urls.normalize(with_site(rows_of(spark, "raw_urls")), "raw", "base", "url").select("id", "url")
+    return urls.normalize(with_site(fixtures.cases(spark, sf_dir, "raw_urls")), "raw", "base", "url").select("page_id", "id", "url")
 
 
 @query
 def url_sort_query(spark, sf_dir):
     own = spark.read.parquet(f"{sf_dir}/pages.parquet").select(F.col("page_id").alias("id"), urls.part(F.col("url"), 4).alias("query"))
-    made = rows_of(spark, "queries").select((-F.col("id")).alias("id"), "query")
+    made = fixtures.cases(spark, sf_dir, "queries").select((-100 * F.col("page_id") - F.col("id")).alias("id"), "query")
     return own.unionByName(made).select("id", urls.sort_query(F.col("query")).alias("sorted"))
 
 
@@ -91,7 +86,8 @@ def seed_normalize(spark, sf_dir):
 
 @query
 def seed_normalize_cases(spark, sf_dir):
-    return urls.normalize_seed(rows_of(spark, "seeds"), "line").select("id", "url", F.col("url_site_key").alias("site_key"))
+    made = fixtures.cases(spark, sf_dir, "seeds").select((100 * F.col("page_id") + F.col("id")).alias("id"), "line")
+    return urls.normalize_seed(made, "line").select("id", "url", F.col("url_site_key").alias("site_key"))
 
 
 @query
@@ -131,36 +127,36 @@ def should_visit(spark, sf_dir):
 
 @query
 def unsafe_urls(spark, sf_dir):
-    cases = urls.normalize(with_site(rows_of(spark, "unsafe")), "raw", None, "url")
-    return cases.select("id", classify.unsafe_action(F.col("url_path"), F.col("url_query")).alias("unsafe"))
+    cases = urls.normalize(with_site(fixtures.cases(spark, sf_dir, "unsafe")), "raw", None, "url")
+    return cases.select("page_id", "id", classify.unsafe_action(F.col("url_path"), F.col("url_query")).alias("unsafe"))
 
 
-def _kinds(spark: SparkSession) -> DataFrame:
-    cases = urls.normalize(with_site(rows_of(spark, "kinds")), "raw", None, "url")
+def _kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cases = urls.normalize(with_site(fixtures.cases(spark, sf_dir, "kinds")), "raw", None, "url")
     return cases.withColumns({"kind": classify.page_kind("url"), "queueable": classify.queueable("url")})
 
 
 @query
 def page_kind(spark, sf_dir):
-    return _kinds(spark).select("id", "kind")
+    return _kinds(spark, sf_dir).select("page_id", "id", "kind")
 
 
 @query
 def workload_class(spark, sf_dir):
-    k = _kinds(spark)
-    return k.select("id", classify.workload_class("url", F.col("kind"), F.col("queueable")).alias("gentle"), classify.workload_class("url", F.col("kind"), F.col("queueable"), True).alias("aggressive"))
+    k = _kinds(spark, sf_dir)
+    return k.select("page_id", "id", classify.workload_class("url", F.col("kind"), F.col("queueable")).alias("gentle"), classify.workload_class("url", F.col("kind"), F.col("queueable"), True).alias("aggressive"))
 
 
 @query
 def visit_rules(spark, sf_dir):
-    k = _kinds(spark)
+    k = _kinds(spark, sf_dir)
     visit = lambda a, v: classify.should_visit(F.col("kind"), F.col("queueable"), a, v)
-    return k.select("id", "queueable", visit(True, False).alias("aggressive"), visit(False, False).alias("gentle"), visit(False, True).alias("with_leaves"))
+    return k.select("page_id", "id", "queueable", visit(True, False).alias("aggressive"), visit(False, False).alias("gentle"), visit(False, True).alias("with_leaves"))
 
 
 @query
 def method_priority(spark, sf_dir):
-    return rows_of(spark, "methods").select("method", classify.method_rank(F.col("method")).alias("rank"))
+    return fixtures.cases(spark, sf_dir, "methods").select("page_id", "method", classify.method_rank(F.col("method")).alias("rank"))
 
 
 @query
@@ -214,15 +210,8 @@ def bfs_reachability(spark, sf_dir):
     return graph.bfs(*key_graph(spark, sf_dir))
 
 
-@query
-def bfs_reachability_all(spark, sf_dir):
-    """From all customers; the SQL of bfs_reachability starts from some."""
-    links, _ = key_graph(spark, sf_dir)
-    return graph.bfs(links, spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("node")))
-
-
 def key_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """A cyclic graph over keys: customer, order, supplier, nation, region and its nations; and some customers to start from."""
+    """A cyclic graph over keys: customer, order, supplier, nation, region and its nations; and all customers to start from."""
     read = lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet")
     node = lambda kind, c: F.concat(F.lit(kind), F.col(c).cast("string"))
     links = [
@@ -235,7 +224,7 @@ def key_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     every = links[0]
     for more in links[1:]:
         every = every.unionByName(more)
-    return every.distinct(), read("customer").filter("c_custkey % 97 = 1").select(node("c", "c_custkey").alias("node"))
+    return every.distinct(), read("customer").select(node("c", "c_custkey").alias("node"))
 
 
 @query
@@ -274,12 +263,6 @@ def coverage_samples(spark, sf_dir):
     return lacks.withColumn("sample", F.array_join("sample", " "))
 
 
-@query
-def unvisited_queueable(spark, sf_dir):
-    known, _, seen = _even_odd(spark, sf_dir)
-    return rollup.unvisited(known, seen)
-
-
 @query
 def verification(spark, sf_dir):
     known, wanted, seen = _even_odd(spark, sf_dir)
@@ -287,27 +270,6 @@ def verification(spark, sf_dir):
     return rollup.verification(wanted, known, seen, waiting).withColumn("sample", F.array_join("sample", " "))
 
 
-@query
-def resume_requeue(spark, sf_dir):
-    known, _, seen = _even_odd(spark, sf_dir)
-    return state.requeued(known, seen, seen.limit(0))
-
-
-@query
-def resume_equivalence(spark, sf_dir):
-    """Counts of a state that was saved in two deltas and resumed, against the state itself."""
-    captured = pages(spark, sf_dir)
-    known, _, seen = _even_odd(spark, sf_dir)
-    folder = f"{graph.scratch(spark)}/state-{uuid.uuid4().hex}"
-    waiting = state.requeued(known, seen, seen.limit(0))
-    state.save(spark, folder, {"nodes": known.filter("queueable"), "visited": seen, "frontier": waiting})
-    state.save(spark, folder, {"nodes": known.filter("not queueable")}, completed=True)
-    site = captured.select(*extract.SITE).distinct()
-    back = state.resume(spark, folder, site)
-    count = lambda df, name: df.agg(F.count("*").alias("n")).withColumn("part", F.lit(name))
-    return count(back["nodes"], "nodes").unionByName(count(back["visited"], "visited")).unionByName(count(back["frontier"], "frontier"))
-
-
 def _saved(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Nodes of all pages, and as visited the pages that have a visit without error."""
     captured = pages(spark, sf_dir)
@@ -317,18 +279,18 @@ def _saved(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 
 @query
-def unvisited_queueable_all(spark, sf_dir):
+def unvisited_queueable(spark, sf_dir):
     return rollup.unvisited(*_saved(spark, sf_dir))
 
 
 @query
-def resume_requeue_all(spark, sf_dir):
+def resume_requeue(spark, sf_dir):
     known, seen = _saved(spark, sf_dir)
     return state.requeued(known, seen, seen.limit(0))
 
 
 @query
-def resume_equivalence_all(spark, sf_dir):
+def resume_equivalence(spark, sf_dir):
     """Rows of a state that was saved in two deltas, the second without a frontier, and resumed."""
     known, seen = _saved(spark, sf_dir)
     folder = f"{graph.scratch(spark)}/state-{uuid.uuid4().hex}"
@@ -521,18 +483,18 @@ def dispatch_order(spark, sf_dir):
 
 @query
 def issue_list_synthesis(spark, sf_dir):
-    return extract.issue_list_links(with_site(rows_of(spark, "issue_pages"))).select("source_url", "issue_url")
+    return extract.issue_list_links(with_site(fixtures.cases(spark, sf_dir, "issue_pages"))).select("source_url", "issue_url")
 
 
 @query
 def onclick_urls(spark, sf_dir):
-    cases = with_site(rows_of(spark, "onclicks"))
-    return cases.select("id", extract.onclick_url(F.col("value")).alias("url"), extract.onclick_action(F.col("value"))["method"].alias("ajax"))
+    cases = with_site(fixtures.cases(spark, sf_dir, "onclicks"))
+    return cases.select("page_id", "id", extract.onclick_url(F.col("value")).alias("url"), extract.onclick_action(F.col("value"))["method"].alias("ajax"))
 
 
 @query
 def portal_requests(spark, sf_dir):
-    cases = with_site(rows_of(spark, "onclicks"))
+    cases = with_site(fixtures.cases(spark, sf_dir, "onclicks"))
     page = cases.groupBy(*extract.SITE).agg(F.concat_ws("", F.array_sort(F.collect_list(F.concat(F.lit('<a onclick="'), F.replace("value", F.lit('"'), F.lit("'")), F.lit('">'))))).alias("html")).withColumn("source_url", F.concat("site_origin", F.lit("/portal")))
     asked = extract.portal_requests(page, inputs.RunConfig().max_cbpt_portal_ajax_requests_per_page)
     answers = asked.select("key", F.lit('<a href="/portal/x/next">').alias("body"))
@@ -541,50 +503,59 @@ def portal_requests(spark, sf_dir):
 
 @query
 def script_routes(spark, sf_dir):
-    return extract.script_routes(with_site(rows_of(spark, "scripts"))).select("url", "raw_url", "method")
-
-
-def _responses(spark: SparkSession) -> DataFrame:
-    return with_site(rows_of(spark, "responses"))
+    return extract.script_routes(with_site(fixtures.cases(spark, sf_dir, "scripts"))).select("url", "raw_url", "method")
 
 
-def _routes(spark: SparkSession) -> DataFrame:
-    return expand.known_routes(rows_of(spark, "routes"))
+def _routes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return expand.known_routes(answers.routes(spark, sf_dir))
 
 
 @query
 def json_links(spark, sf_dir):
-    """Discoveries of all made-up answers, by every expander."""
-    return expand.links_of_responses(_responses(spark), _routes(spark)).select("source_url", "raw_url", "method").distinct()
+    """Discoveries of all answers, by every expander."""
+    return expand.links_of_responses(answers.answers(spark, sf_dir), _routes(spark, sf_dir)).select("source_url", "raw_url", "method").distinct()
 
 
 @query
 def json_items(spark, sf_dir):
-    rows = _responses(spark).filter("url like '%GetIssueinfoList%'").join(_routes(spark), "site_key", "left")
+    rows = answers.answers(spark, sf_dir).filter("url like '%GetIssueinfoList%'").join(_routes(spark, sf_dir), "site_key", "left")
     return expand.issue_items(expand._items(rows, "api:GetIssueinfoList:issueDetail")).select("source_url", "raw_url", "method")
 
 
 @query
 def year_issue_tree(spark, sf_dir):
-    rows = _responses(spark).filter("url like '%GetYearVolumeTree%'").join(_routes(spark), "site_key", "left")
+    rows = answers.answers(spark, sf_dir).filter("url like '%GetYearVolumeTree%'").join(_routes(spark, sf_dir), "site_key", "left")
     return expand.year_volumes(rows).select("source_url", "raw_url", "method")
 
 
 @query
 def pagination_plan(spark, sf_dir):
-    return expand.pagination_plan(_responses(spark), 2).select("source_url", "url", "page")
+    """The next two pages of each series, as a limit on a series asks for."""
+    return expand.pagination_plan(answers.answers(spark, sf_dir), 2).select("source_url", "url", "page")
 
 
 @query
 def pagination_plan_all(spark, sf_dir):
-    """All further pages; the SQL of pagination_plan has two a series."""
-    return expand.pagination_plan(_responses(spark)).select("source_url", "url", "page")
+    """All further pages."""
+    return expand.pagination_plan(answers.answers(spark, sf_dir)).select("source_url", "url", "page")
+
+
+@query
+def answer_coverage(spark, sf_dir):
+    """What answers make expected, by category, against the nodes that a state has which was saved before the answers on
+    current issues and searches came; leaves are left out, so they are no open pages."""
+    links = graph.written(expand.links_of_responses(answers.answers(spark, sf_dir), _routes(spark, sf_dir)))
+    f = graph.written(graph.resolved(links.withColumns({"depth": F.lit(1), "pos": F.lit(0)}), aggressive=False))
+    late = F.col("method").rlike("^api:(?:GetCurrentPeriod|GetIssueNormalSearch|GetIssueSimpleSearch)")
+    known = graph.written(graph.nodes(f.filter(~late)))
+    seen = f.select("site_key", F.col("source_url").alias("url")).distinct()
+    return rollup.verification(graph.expected(f), known, seen, rollup.unvisited(known, seen)).withColumn("sample", F.array_join("sample", " "))
 
 
 @query
 def classic_expansion(spark, sf_dir):
-    start = with_site(rows_of(spark, "classic_starts"))
-    captured = with_site(rows_of(spark, "classic_pages"))
+    start = with_site(fixtures.cases(spark, sf_dir, "classic_starts"))
+    captured = with_site(fixtures.cases(spark, sf_dir, "classic_pages"))
     return graph.classic_expansion(start, captured).select("root", "url", "depth")
 
 

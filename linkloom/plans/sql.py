@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 
 from ..functions import rules
-from . import fixtures
+from . import answers, fixtures
 from .golden import GOLDEN
 
 _SPLIT = r"'(?s)^(?:([A-Za-z][A-Za-z0-9+.-]*):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?(?:#(.*))?$'"
@@ -180,25 +180,35 @@ def literal(value) -> str:
     return str(value).lower() if isinstance(value, bool) else str(value) if isinstance(value, int) else names([value])
 
 
+def own(x: str) -> str:
+    """A made-up text as it is on the sites of page page_id."""
+    return f"replace(regexp_replace({x}, '{fixtures.HOSTS}', 'p' || page_id || '.\\1', 'gi'), '{{n}}', page_id::VARCHAR)"
+
+
+def keyed(columns: str, rows: list[tuple]) -> str:
+    """Rows of (name type, ...) for each page, texts on the page's own sites."""
+    fields = [c.split() for c in columns.split(", ")]
+    shown = ", ".join(f"CAST({own(f) if t.lower() in ('string', 'varchar') else f} AS {t}) AS {f}" for f, t in fields)
+    return f"SELECT page_id, {shown} FROM (SELECT page_id FROM pages), (VALUES {', '.join('(' + ', '.join(map(literal, r)) + ')' for r in rows)}) AS t({', '.join(f for f, _ in fields)})"
+
+
 def values(name: str) -> str:
-    """A made-up table as a subquery."""
-    columns, rows = fixtures.TABLES[name]
-    heads = ", ".join(c.split()[0] for c in columns.split(", "))
-    return f"(SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(literal, r)) + ')' for r in rows)}) AS t({heads}))"
+    """Made-up rows of all pages as a subquery."""
+    return f"({keyed(*fixtures.TABLES[name])})"
 
 
 def golden(name: str) -> str:
-    """Results that were worked out by hand from the rules, as a table."""
+    """Results that were worked out by hand from the rules, on the sites of each page."""
     columns, rows = GOLDEN[name]
-    casts = ", ".join(f"CAST({c.split()[0]} AS {c.split()[1]}) AS {c.split()[0]}" for c in columns.split(", "))
-    return f"SELECT {casts} FROM (VALUES {', '.join('(' + ', '.join(map(literal, r)) + ')' for r in rows)}) AS t({', '.join(c.split()[0] for c in columns.split(', '))})"
+    found = keyed(columns, rows)
+    return found if columns.startswith("id ") else f"SELECT * EXCLUDE (page_id) FROM ({found})"
 
 
 _REACH = """WITH RECURSIVE links AS (
   SELECT 'c' || o_custkey AS src, 'o' || o_orderkey AS dst FROM orders UNION SELECT 'o' || l_orderkey, 's' || l_suppkey FROM lineitem
   UNION SELECT 's' || s_suppkey, 'n' || s_nationkey FROM supplier UNION SELECT 'n' || n_nationkey, 'r' || n_regionkey FROM nation UNION SELECT 'r' || n_regionkey, 'n' || n_nationkey FROM nation
 ), walk AS (
-  SELECT 'c' || c_custkey AS node, 0 AS depth FROM customer WHERE c_custkey % 97 = 1
+  SELECT 'c' || c_custkey AS node, 0 AS depth FROM customer
   UNION SELECT dst, depth + 1 FROM walk JOIN links ON src = node WHERE depth < 8
 ) SELECT node, min(depth) AS depth FROM walk GROUP BY node"""
 
@@ -242,17 +252,17 @@ def oracle_sql() -> dict[str, str]:
         "sites": f"WITH {PAGES} SELECT site_key, any_value(site_host) AS site_host, any_value(site_origin) AS site_origin, 'generic' AS site_family, {FOLDER.format('site_key')} AS site_folder, array_to_string(list_sort(list_distinct(list_append(list(source_url), any_value(site_origin) || '/'))), ' ') AS seed_urls FROM pg GROUP BY site_key",
         "site_folder": f"WITH {PAGES} SELECT DISTINCT site_key, {FOLDER.format('site_key')} AS site_folder FROM pg",
         "url_normalize": f"WITH {PAGES}, vraw AS (SELECT page_id, site_key, site_host, site_origin, source_url, source_url AS raw_url FROM pg),{found('vraw', 'vf')} SELECT page_id, url FROM pg JOIN (SELECT DISTINCT source_url, url FROM vf) USING (source_url)",
-        "url_sort_query": f"SELECT page_id AS id, {sort_query(part('url', 4))} AS sorted FROM pages UNION ALL SELECT -id, {sort_query('query')} FROM {values('queries')}",
+        "url_sort_query": f"SELECT page_id AS id, {sort_query(part('url', 4))} AS sorted FROM pages UNION ALL SELECT -100 * page_id - id, {sort_query('query')} FROM {values('queries')}",
         "seed_normalize": f"WITH {PAGES} SELECT id, url, site_key FROM q",
-        "seed_normalize_cases": f"WITH {seeds(values('seeds'))} SELECT id, url, site_key FROM q",
+        "seed_normalize_cases": f"WITH {seeds('(SELECT 100 * page_id + id AS id, line FROM ' + values('seeds') + ')')} SELECT id, url, site_key FROM q",
         "title_truncate": r"SELECT page_id, CASE WHEN length(t) <= 40 THEN t ELSE substr(t, 1, 37) || '...' END AS title FROM (SELECT page_id, trim(regexp_replace(regexp_extract(html, '(?is)<title>(.*?)</title>', 1), '\s+', ' ', 'g')) AS t FROM pages)",
         "links_extract": f"WITH {PAGES},{links()} SELECT source_url, raw_url, raw_kind, count(*) AS n FROM raw GROUP BY ALL",
         "link_clean": f"WITH {PAGES},{links()} SELECT DISTINCT page_id, value, {clean('value')} AS cleaned FROM a WHERE value <> ''",
         "links_same_site": f"WITH {_FOUND} SELECT source_url, raw_url, url, same_site FROM f",
         "links_queueable": f"WITH {_FOUND} SELECT source_url, raw_url, queueable FROM f",
         "should_visit": f"WITH {_FOUND} SELECT source_url, raw_url, queueable AS should_visit FROM f",
-        "unsafe_urls": f"SELECT id, {unsafe()} AS unsafe FROM (SELECT id, {part('raw', 3)} AS path, {sort_query(part('raw', 4))} AS query FROM {values('unsafe')})",
-        "method_priority": f"SELECT method, CASE WHEN m = 'seed' THEN 0 WHEN m = 'dom' THEN 1 WHEN m LIKE 'api:%' THEN 2 WHEN m LIKE 'click%' OR m LIKE 'popup:%' OR m LIKE 'selector:%' THEN 3 WHEN m LIKE 'response:document%' THEN 4 WHEN m LIKE 'response:script%' THEN 5 WHEN m LIKE 'response:json%' THEN 6 WHEN m LIKE 'response:xhr%' OR m LIKE 'response:fetch%' THEN 7 WHEN m LIKE 'download:%' THEN 9 ELSE 8 END AS rank FROM (SELECT method, lower(method) AS m FROM {values('methods')})",
+        "unsafe_urls": f"SELECT page_id, id, {unsafe()} AS unsafe FROM (SELECT page_id, id, {part('raw', 3)} AS path, {sort_query(part('raw', 4))} AS query FROM {values('unsafe')})",
+        "method_priority": f"SELECT page_id, method, CASE WHEN m = 'seed' THEN 0 WHEN m = 'dom' THEN 1 WHEN m LIKE 'api:%' THEN 2 WHEN m LIKE 'click%' OR m LIKE 'popup:%' OR m LIKE 'selector:%' THEN 3 WHEN m LIKE 'response:document%' THEN 4 WHEN m LIKE 'response:script%' THEN 5 WHEN m LIKE 'response:json%' THEN 6 WHEN m LIKE 'response:xhr%' OR m LIKE 'response:fetch%' THEN 7 WHEN m LIKE 'download:%' THEN 9 ELSE 8 END AS rank FROM (SELECT page_id, method, lower(method) AS m FROM {values('methods')})",
         "prioritized_links": f"WITH {_FOUND} SELECT source_url, raw_url, url, row_number() OVER (PARTITION BY source_url ORDER BY {low}, {kind_rank}, {deep}, url, raw_url) AS place FROM f",
         "edges": f"WITH {_FOUND}, {_E} SELECT site_key, source_url, target_url, 1 AS depth, 'dom' AS method, same_site, queueable, '' AS note FROM e",
         "nodes": f"WITH {_NODES} SELECT * FROM n",
@@ -285,15 +295,18 @@ def oracle_sql() -> dict[str, str]:
             SELECT site_key, url, row_number() OVER (PARTITION BY site_key ORDER BY gate, CASE WHEN gate = p THEN 0 ELSE 1 END, p) AS place FROM ord""",
         "coverage_missing": f"WITH {_EVEN_ODD} SELECT site_key, 'linked' AS category, url FROM lacks",
         "coverage_samples": f"WITH {_EVEN_ODD} {sample.format(item='', rows='lacks')}",
-        "unvisited_queueable": f"WITH {_EVEN_ODD} SELECT site_key, url FROM open",
         "verification": f"""WITH {_EVEN_ODD}, v0 AS ({sample.format(item='', rows='lacks')}), v1 AS (SELECT site_key, count(*) AS expected FROM wanted GROUP BY site_key), v2 AS ({sample.format(item='', rows='open')})
             SELECT site_key, 'linked' AS item, expected, coalesce(total, 0) AS total, coalesce(sample, '') AS sample FROM v1 LEFT JOIN v0 USING (site_key)
             UNION ALL SELECT site_key, 'unvisited_queueable', NULL, total, sample FROM v2 UNION ALL SELECT site_key, 'frontier', NULL, total, sample FROM v2""",
-        "resume_requeue": f"WITH {_EVEN_ODD} SELECT site_key, url, 1 AS depth, first_source AS discovered_from, 'dom' AS discovery_method, 0 AS attempts FROM open",
-        "resume_equivalence": f"WITH {_EVEN_ODD} SELECT 'nodes' AS part, count(*) AS n FROM x_n UNION ALL SELECT 'visited', count(*) FROM vis UNION ALL SELECT 'frontier', count(*) FROM open",
-        "unvisited_queueable_all": f"WITH {_SAVED} SELECT site_key, url FROM open",
-        "resume_requeue_all": f"WITH {_SAVED} SELECT site_key, url, 1 AS depth, first_source AS discovered_from, 'dom' AS discovery_method, 0 AS attempts FROM open",
-        "resume_equivalence_all": f"WITH {_SAVED} SELECT 'nodes' AS part, site_key, url FROM n UNION ALL SELECT 'visited', site_key, url FROM vis UNION ALL SELECT 'frontier', site_key, url FROM open",
+        "unvisited_queueable": f"WITH {_SAVED} SELECT site_key, url FROM open",
+        "resume_requeue": f"WITH {_SAVED} SELECT site_key, url, 1 AS depth, first_source AS discovered_from, 'dom' AS discovery_method, 0 AS attempts FROM open",
+        "resume_equivalence": f"WITH {_SAVED} SELECT 'nodes' AS part, site_key, url FROM n UNION ALL SELECT 'visited', site_key, url FROM vis UNION ALL SELECT 'frontier', site_key, url FROM open",
+        "json_links": f"WITH {answers.LINKS} SELECT * FROM lk",
+        "json_items": f"WITH {answers.LINKS} SELECT * FROM lk WHERE method LIKE 'api:GetIssueinfoList%'",
+        "year_issue_tree": f"WITH {answers.LINKS} SELECT * FROM lk WHERE method = 'api:GetYearVolumeTree:search'",
+        "pagination_plan": answers.pagination(2),
+        "pagination_plan_all": answers.pagination(),
+        "answer_coverage": answers.COVERAGE,
         "new_seeds": f"WITH {PAGES} SELECT DISTINCT source_url AS url FROM pg WHERE source_url NOT IN (SELECT source_url FROM pg WHERE page_id % 2 = 0)",
         "nodes_merged": f"WITH {_NODES} SELECT site_key, url, seen_count, first_depth FROM n",
         "global_urls": f"WITH {_NODES} SELECT DISTINCT url FROM n WHERE url <> ''",
