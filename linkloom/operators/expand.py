@@ -215,15 +215,14 @@ def sorted_payload(payload: Column) -> Column:
     return F.to_json(F.array_sort(F.map_entries(payload)))
 
 
-#: No series of captured answers is longer; a claim beyond it is an error of the answer.
-MOST_PAGES = 1_000_000
+#: Pages are listed in blocks of this many, so that no row holds a long series, however many pages an answer claims.
+BLOCK = 10_000
 
 
 def pagination_plan(responses: DataFrame, max_pages: int = 0) -> DataFrame:
     """Rows (KEYS, url, payload, page, request): the further pages of paginated answers, each request once.
 
-    max_pages limits the pages of one series, 0 does not. An answer that claims more than MOST_PAGES pages in all is
-    taken for malformed and plans none. Answers that were themselves further pages plan none anew.
+    max_pages limits the pages of one series, 0 does not. A claim that is no int counts as one page. Answers that were themselves further pages plan none anew.
     """
     payload = F.coalesce(F.from_json("post_body", "map<string,string>"), F.create_map().cast("map<string,string>"))
     api = F.lit(None).cast("string")
@@ -232,7 +231,11 @@ def pagination_plan(responses: DataFrame, max_pages: int = 0) -> DataFrame:
     rows = responses.select(*KEYS, api.alias("api"), payload.alias("payload"), F.coalesce(F.from_json("body", "totalpage int")["totalpage"], F.lit(1)).alias("total")).filter("api is not null")
     rows = rows.withColumn("curr", F.coalesce(F.col("payload")["curr"].cast("int"), F.lit(1)))
     last = F.least("total", F.col("curr") + max_pages) if max_pages else F.col("total")
-    pages = rows.filter((F.col("total") > F.col("curr")) & (F.col("total") <= MOST_PAGES) & (F.col("curr") >= 0)).select("*", F.explode(F.sequence(F.col("curr") + 1, last)).alias("page"))
+    asked = rows.withColumns({"__from": F.col("curr").cast("long") + 1, "__to": last.cast("long")}).filter("__from <= __to")
+    block = lambda c: F.floor(F.col(c) / BLOCK).cast("long")
+    blocks = asked.select("*", F.explode(F.sequence(block("__from"), block("__to"))).alias("__b"))
+    inside = F.sequence(F.greatest("__from", F.col("__b") * BLOCK), F.least("__to", (F.col("__b") + 1) * BLOCK - 1))
+    pages = blocks.select("*", F.explode(inside).alias("__page")).withColumn("page", F.col("__page").cast("int")).drop("__from", "__to", "__b", "__page")
     kept = F.map_filter("payload", lambda k, v: k != "curr")
     pages = pages.withColumn("payload", F.map_concat(kept, F.create_map(F.lit("curr"), F.col("page").cast("string"))))
     pages = pages.withColumn("request", F.concat_ws("|", "api", sorted_payload(F.col("payload"))))

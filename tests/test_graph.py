@@ -6,7 +6,7 @@ import random
 import duckdb
 import pytest
 from linkloom import catalogue
-from linkloom.operators import extract, graph, state
+from linkloom.operators import expand, extract, graph, state
 from linkloom.plans import queries as plans
 from linkloom.sources import inputs, outputs
 from linkloom.streaming import feed
@@ -110,6 +110,36 @@ def test_pagination_plan_all(spark):
     assert {p for _, p in got} == {2, 3, 4}
 
 
+def _series(spark, *claims):
+    rows = [("h.example", f"http://h.example/{n}", f"https://uniapp.boyuancb.com/api/SiteWebApi/GetBackIssueBrowsing?s={n}", post, body) for n, (post, body) in enumerate(claims)]
+    return plans.with_site(spark.createDataFrame(rows, "host string, source_url string, url string, post_body string, body string"))
+
+
+def test_pagination_of_long_and_odd_claims(spark):
+    """J18: no claim is too long, and what is no claim plans nothing."""
+    rows = _series(spark, ('{"s":1}', '{"totalpage":1500000}'), ('{"s":2,"curr":9999}', '{"totalpage":10001}'), ('{"s":3}', '{"totalpage":"x"}'), ("no json", "{}"), (None, None), ('{"s":4,"curr":7}', '{"totalpage":7}'))
+    got = expand.pagination_plan(rows).groupBy("source_url").agg(F.count("*").alias("n"), F.min("page").alias("lo"), F.max("page").alias("hi"), F.count_distinct("page").alias("d")).collect()
+    assert {tuple(r) for r in got} == {("http://h.example/0", 1_499_999, 2, 1_500_000, 1_499_999), ("http://h.example/1", 2, 10_000, 10_001, 2)}
+    assert expand.pagination_plan(_series(spark, ("{}", '{"totalpage":2147483647}')), 3).count() == 3
+
+
+def test_expected_categories(spark):
+    """G1, JN4: by the method that found a page, by its kind, and English articles that the English start page names."""
+    at = "http://j.ajcass.com"
+    rows = [
+        (f"{at}/#/search?year=1", "api:GetYearVolumeTree:search", f"{at}/", "j.ajcass.com"),
+        (f"{at}/#/search?year=2", "dom", f"{at}/", "j.ajcass.com"),
+        (f"{at}/#/issueDetail?contentId=1", None, f"{at}/", "j.ajcass.com"),
+        (f"{at}/#/detail?id=1", "dom", f"{at}/", "j.ajcass.com"),
+        (f"{at}/#/enIssue?contentId=1", "dom", f"{at}/#/enIndex", "j.ajcass.com"),
+        (f"{at}/#/enIssue?contentId=2", "dom", f"{at}/", "j.ajcass.com"),
+        (f"{at}/#/enIssue?contentId=3", "api:GetIssueSimpleSearch:enIssue", f"{at}/", "j.ajcass.com"),
+    ]
+    raw = plans.with_site(spark.createDataFrame(rows, "raw_url string, method string, source_url string, host string")).withColumns({"depth": F.lit(1), "pos": F.lit(0)})
+    got = {(r["category"], r["url"].removeprefix(f"{at}/#/")) for r in graph.expected(graph.resolved(raw)).collect()}
+    assert got == {("issue_search", "search?year=1"), ("issue_detail", "issueDetail?contentId=1"), ("static_detail", "detail?id=1"), ("en_issue", "enIssue?contentId=1"), ("en_issue", "enIssue?contentId=3")}
+
+
 def test_classic_expansion_counts_captured_pages(spark):
     at = lambda p: f"http://gggl.cbpt.cnki.net/WKB/WKList.aspx?p={p}"
     host = "gggl.cbpt.cnki.net"
