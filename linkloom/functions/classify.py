@@ -30,10 +30,11 @@ def static_asset(path: Column) -> Column:
 
 def unsafe_action(path: Column, query: Column) -> Column:
     """Whether a visit could log out or delete. The first destructive key decides, whatever pairs come after it."""
+    unsafe = [f"{k}={v}" for k, v in rules.UNSAFE_PAIRS]
     pairs = F.transform(query_pairs(query), lambda p: F.struct(F.lower(p["k"]).alias("k"), F.lower(p["v"]).alias("v")))
-    decides = lambda p: F.concat_ws("=", p["k"], p["v"]).isin(rules.UNSAFE_PAIRS) | p["k"].isin(rules.DESTRUCTIVE_KEYS)
+    decides = lambda p: F.concat_ws("=", p["k"], p["v"]).isin(unsafe) | p["k"].isin(rules.DESTRUCTIVE_KEYS)
     first = F.try_element_at(F.filter(pairs, decides), F.lit(1))
-    harmful = F.concat_ws("=", first["k"], first["v"]).isin(rules.UNSAFE_PAIRS) | ~first["v"].isin(rules.HARMLESS_VALUES)
+    harmful = F.concat_ws("=", first["k"], first["v"]).isin(unsafe) | ~first["v"].isin(rules.HARMLESS_VALUES)
     return F.exists(segments(path), lambda s: s.isin(rules.UNSAFE_SEGMENTS)) | F.coalesce(harmful, F.lit(False))
 
 
@@ -195,15 +196,15 @@ def transport_error(error: Column) -> Column:
     return contains_any(F.lower(F.coalesce(error, F.lit(""))), rules.TRANSPORT_ERRORS)
 
 
-def response_of_interest(url: str = "url") -> Column:
-    """Responses worth a look: documents and data requests, JSON, files, and the site's scripts."""
+def response_of_interest(address: Column, url: str) -> Column:
+    """Responses worth a look: documents and data requests, JSON, files, and the site's scripts; url is the normalised address."""
     kind, content = F.col("resource_type"), F.lower(F.coalesce("content_type", F.lit("")))
-    files = F.lower(F.col(url)).rlike(f"\\.(?:{'|'.join(rules.NON_HTML_SUFFIXES)})$")
+    files = F.lower(address).rlike(f"\\.(?:{'|'.join(rules.NON_HTML_SUFFIXES)})$")
     return F.coalesce(kind.isin("document", "xhr", "fetch") | content.contains("application/json") | files | ((kind == "script") & script_worth_reading(url)), F.lit(False))
 
 
 def not_blocked(url: Column, resource_type: Column) -> Column:
-    return ~F.coalesce(resource_type.isin(rules.BLOCKED_RESOURCE_TYPES) | F.lower(url).rlike(f"\\.(?:{'|'.join(rules.BLOCKED_SUFFIXES)})$"), F.lit(False))
+    return ~F.coalesce(F.lower(resource_type).isin(rules.BLOCKED_RESOURCE_TYPES) | F.lower(url).rlike(f"\\.(?:{'|'.join(rules.BLOCKED_SUFFIXES)})$"), F.lit(False))
 
 
 def classified(df: DataFrame, url: str = "url", aggressive: bool = True, visit_leaf_pages: bool = False) -> DataFrame:

@@ -31,25 +31,28 @@ ROUTE_PARAMETERS = {
 
 # --- fixed values: names that decide whether a URL is followed -----------------------------------------------------
 TRACKING_KEYS = ["from", "source", "spm", "utm_campaign", "utm_content", "utm_medium", "utm_source", "utm_term"]
-NON_HTML_SUFFIXES = (
-    "7z avi bmp csv css doc docx eot epub gif gz ico jpeg jpg js json m4a m4v md mov mp3 mp4 ods odt pdf png ppt pptx rar rtf "
-    "swf svg tar tgz ttf ts txt wav webm webp woff woff2 xls xlsx xml zip"
-).split()
-BLOCKED_SUFFIXES = (
-    "bmp csv doc docx epub eot gif ico jpeg jpg m4s mp3 mp4 pdf png ppt pptx rar svg tar ttf wav webm webp woff woff2 xls xlsx zip"
-).split()
+NON_HTML_SUFFIXES = [
+    "7z", "avi", "bmp", "csv", "css", "doc", "docx", "eot", "epub", "gif", "gz", "ico", "jpeg", "jpg", "js", "json", "m4a", "m4v", "md",
+    "mov", "mp3", "mp4", "ods", "odt", "pdf", "png", "ppt", "pptx", "rar", "rtf", "swf", "svg", "tar", "tgz", "ttf", "ts", "txt", "wav",
+    "webm", "webp", "woff", "woff2", "xls", "xlsx", "xml", "zip",
+]
+BLOCKED_SUFFIXES = [
+    "bmp", "csv", "doc", "docx", "epub", "eot", "gif", "ico", "jpeg", "jpg", "m4s", "mp3", "mp4", "pdf", "png", "ppt", "pptx", "rar", "svg",
+    "tar", "ttf", "wav", "webm", "webp", "woff", "woff2", "xls", "xlsx", "zip",
+]
 BLOCKED_RESOURCE_TYPES = ["image", "media", "font", "ping"]
 STATIC_PREFIXES = ["dist", "src", "assets", "static", "_nuxt", "js", "css", "img", "image", "images", "fonts", "media", "scripts"]
 UNSAFE_SEGMENTS = ["delete", "del", "exit", "logoff", "logout", "quit", "remove", "signoff", "signout"]
 UNSAFE_PAIRS = [
-    "action=delete", "action=del", "action=logout", "action=logoff", "action=quit", "action=remove", "do=logout", "method=delete",
-    "method=logout", "op=delete", "op=logout",
+    ("action", "delete"), ("action", "del"), ("action", "logout"), ("action", "logoff"), ("action", "quit"), ("action", "remove"),
+    ("do", "logout"), ("method", "delete"), ("method", "logout"), ("op", "delete"), ("op", "logout"),
 ]
 DESTRUCTIVE_KEYS = ["logout", "logoff", "signout", "signoff", "delete", "remove"]
 HARMLESS_VALUES = ["", "0", "false", "no"]
-HTML_TAGS = (
-    "a b br dd div dl dt em font h1 h2 h3 h4 h5 h6 hr i img li ol p small span strong sub sup table tbody td th thead tr u ul"
-).split()
+HTML_TAGS = [
+    "a", "b", "br", "dd", "div", "dl", "dt", "em", "font", "h1", "h2", "h3", "h4", "h5", "h6", "hr", "i", "img", "li", "ol", "p", "small",
+    "span", "strong", "sub", "sup", "table", "tbody", "td", "th", "thead", "tr", "u", "ul",
+]
 ENDPOINT_FILENAMES = [
     "articledownloadcontrol.do", "existscnctstinarticle.do", "exportcitation.do", "downloadissueinfo.aspx", "getdianjishu.jsp",
     "getdianjirichhtmlshu.jsp", "getchinesdownloadinfobyenglishpaper", "getchineseenglishquotepaperformat", "gotocnkinodeurl",

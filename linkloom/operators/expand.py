@@ -51,9 +51,10 @@ def is_script(content_type: Column, url: Column) -> Column:
 def known_routes(discoveries: DataFrame) -> DataFrame:
     """Rows (site_key, routes, issue_route) from rows (site_key, route): all routes of a site, whenever they were seen.
 
-    The form of issue pages is the one the site uses; with both forms, the shorter name.
+    Routes that are none of the fixed ones decide nothing and are left out, so a site has at most that many. The form of
+    issue pages is the one the site uses; with both forms, the shorter name.
     """
-    return discoveries.groupBy("site_key").agg(F.collect_set("route").alias("routes"), F.min(F.when(F.col("route").isin("/issue", "/issueDetail"), F.col("route"))).alias("issue_route"))
+    return discoveries.filter(F.col("route").isin(rules.ROUTE_PREFIXES)).groupBy("site_key").agg(F.collect_set("route").alias("routes"), F.min(F.when(F.col("route").isin("/issue", "/issueDetail"), F.col("route"))).alias("issue_route"))
 
 
 def issue_url(item_id: Column, year: Column, issue: Column, title: Column, english: bool) -> Column:

@@ -55,10 +55,10 @@ def resolved(discoveries: DataFrame, aggressive: bool = True, visit_leaf_pages:
 
 
 def edges(found: DataFrame) -> DataFrame:
-    """One row per (site_key, source_url, target, method) of resolved discoveries."""
-    best = F.min_by(F.struct("depth", "same_site", "queueable"), arrival()).alias("first")
+    """One row per (site_key, source_url, target, method) of resolved discoveries; pos is where the page has the first of them."""
+    best = F.min_by(F.struct("depth", "same_site", "queueable", "pos"), arrival()).alias("first")
     grouped = found.groupBy("site_key", "source_url", F.col("url").alias("target_url"), "method").agg(best)
-    return grouped.select("site_key", "source_url", "target_url", "first.depth", "method", "first.same_site", "first.queueable", F.lit("").alias("note"))
+    return grouped.select("site_key", "source_url", "target_url", "first.depth", "method", "first.same_site", "first.queueable", F.lit("").alias("note"), "first.pos")
 
 
 def nodes(found: DataFrame) -> DataFrame:

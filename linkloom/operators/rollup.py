@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.classify import transport_error
 from ..functions.urls import proxy_label, site_family, site_folder
+from . import order
 
 SAMPLE = 20
 
@@ -111,6 +112,31 @@ def visits_by_proxy(visits: DataFrame) -> DataFrame:
 
 
 def visit_attempts(visits: DataFrame) -> DataFrame:
-    """visits with the number of the attempt at their URL, in order of start."""
-    order = Window.partitionBy("site_key", "requested_url").orderBy("started_at", "finished_at", "visit_id")
-    return visits.withColumn("attempt", F.row_number().over(order))
+    """visits with the number of the attempt at their URL, in order of start; a null URL or site is one of its own.
+
+    Attempts are numbered by slices, so a URL that a third of all visits went to is not one task's.
+    """
+    keyed = visits.withColumn("__tried", F.to_json(F.struct("site_key", "requested_url")))
+    return order.numbered(keyed, ["__tried"], ["started_at", "finished_at", "visit_id"], "attempt").drop("__tried")
+
+
+def ticks(visits: DataFrame, segments: DataFrame) -> DataFrame:
+    """Rows (site_key, segment, new_visits, new_ok, new_failed, visits, ok): what each report of a run adds, and its totals so far.
+
+    A report is due with each save: segments has (site_key, visit_id, segment), numbered from 0 as order.segments does,
+    visits has site_key, visit_id and ok. Only counts are summed up over reports, in blocks.
+    """
+    new = visits.select("site_key", "visit_id", "ok").join(segments.select("site_key", "visit_id", "segment"), ["site_key", "visit_id"])
+    counts = new.groupBy("site_key", "segment").agg(F.count("*").alias("new_visits"), F.count_if("ok").alias("new_ok"), F.count_if(~F.col("ok")).alias("new_failed"))
+    out = order.running(counts, ["site_key"], F.col("new_visits"), "visits", place="segment").drop("visits_before")
+    return order.running(out, ["site_key"], F.col("new_ok"), "ok", place="segment").drop("ok_before")
+
+
+def worker_totals(workers: DataFrame) -> DataFrame:
+    """One row (workers, failed_workers, sites, sites_of_failed) of rows (worker, return_code, sites).
+
+    A worker failed if its code is not 0 or missing. Without workers all are 0.
+    """
+    failed = F.coalesce(F.col("return_code") != 0, F.lit(True))
+    sums = [F.coalesce(F.sum(c), F.lit(0)).alias(name) for c, name in ((F.col("sites"), "sites"), (F.when(failed, F.col("sites")), "sites_of_failed"))]
+    return workers.agg(F.count("*").alias("workers"), F.count_if(failed).alias("failed_workers"), *sums)

@@ -8,10 +8,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..functions import classify, rules, urls
-from ..operators import expand, extract, graph, json_tree, order, rollup, state
+from ..operators import expand, extract, graph, json_tree, order, responses, rollup, state
 from ..sources import inputs, outputs
 from ..streaming import feed
-from . import answers, fixtures
+from . import answers, captured as captures, fixtures
 
 Query = Callable[[SparkSession, str], DataFrame]
 _all: dict[str, Query] = {}
@@ -171,7 +171,7 @@ def prioritized_links(spark, sf_dir):
 
 @query
 def edges(spark, sf_dir):
-    return graph.edges(found(spark, sf_dir))
+    return graph.edges(found(spark, sf_dir)).select("site_key", *graph.EDGE)
 
 
 @query
@@ -437,13 +437,33 @@ def visit_attempts(spark, sf_dir):
     return rollup.visit_attempts(visit_log(spark, sf_dir)).select("visit_id", "attempt")
 
 
-@query
-def save_segments(spark, sf_dir):
-    """Which visits a save of the state has in it, where it is due after 10 pages or half an hour."""
+def _segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = spark.read.parquet(f"{sf_dir}/events.parquet")
     started = F.unix_micros(F.col("ts").cast("timestamp"))
     log = e.select(F.lit("events").alias("site_key"), F.col("event_id").alias("visit_id"), started.alias("started"), (started + F.floor(F.col("value") * 125_000)).alias("finished"))
-    return order.segments(log, inputs.RunConfig().checkpoint_every_pages, 1_800_000_000).drop("site_key")
+    return order.segments(log, inputs.RunConfig().checkpoint_every_pages, 1_800_000_000)
+
+
+@query
+def save_segments(spark, sf_dir):
+    """Which visits a save of the state has in it, where it is due after 10 pages or half an hour."""
+    return _segments(spark, sf_dir).drop("site_key")
+
+
+@query
+def run_ticks(spark, sf_dir):
+    """What each report of the run adds: visits since the last one, and how they went."""
+    return rollup.ticks(visit_log(spark, sf_dir), _segments(spark, sf_dir)).drop("site_key")
+
+
+@query
+def worker_totals(spark, sf_dir):
+    """Workers that have every 64th page, of which one fails if its last visit lost the browser, and has no code without visits."""
+    log = visit_log(spark, sf_dir).select("page_id", "visit_id", classify.transport_error(F.col("error")).alias("lost"))
+    shard = F.col("page_id") % 64
+    sites = pages(spark, sf_dir).groupBy(shard.alias("worker")).agg(F.count_distinct("site_key").alias("sites"))
+    went = log.groupBy(shard.alias("worker")).agg(F.max_by("lost", "visit_id").cast("int").alias("return_code"))
+    return rollup.worker_totals(sites.join(went, "worker", "left"))
 
 
 def _deque(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -552,6 +572,18 @@ def answer_coverage(spark, sf_dir):
     return rollup.verification(graph.expected(f), known, seen, rollup.unvisited(known, seen)).withColumn("sample", F.array_join("sample", " "))
 
 
+@query
+def response_routing(spark, sf_dir):
+    """Which responses are kept, and what they are read as."""
+    return responses.routed(captures.responses(spark, sf_dir)).select("source_url", "url", F.lower("resource_type").alias("resource_type"), "route")
+
+
+@query
+def response_links(spark, sf_dir):
+    """Links of all responses, answers expanded by the routes that the sites' own scripts name."""
+    return responses.links_of_captured(captures.responses(spark, sf_dir)).select("source_url", "raw_url", "method").distinct()
+
+
 @query
 def classic_expansion(spark, sf_dir):
     start = with_site(fixtures.cases(spark, sf_dir, "classic_starts"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 
 from ..functions import rules
-from . import answers, fixtures
+from . import answers, captured, fixtures
 from .golden import GOLDEN
 
 _SPLIT = r"'(?s)^(?:([A-Za-z][A-Za-z0-9+.-]*):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?(?:#(.*))?$'"
@@ -98,9 +98,9 @@ raw AS (SELECT * FROM raw0 WHERE raw_url IS NOT NULL)"""
 
 
 _UNSAFE = f"""(list_bool_or(list_transform(string_split(lower(path), '/'), lambda s: s IN ({names(rules.UNSAFE_SEGMENTS)})))
-  OR coalesce((SELECT k || '=' || v IN ({names(rules.UNSAFE_PAIRS)}) OR v NOT IN ({names(rules.HARMLESS_VALUES)}) FROM (
+  OR coalesce((SELECT k || '=' || v IN ({names('='.join(p) for p in rules.UNSAFE_PAIRS)}) OR v NOT IN ({names(rules.HARMLESS_VALUES)}) FROM (
     SELECT lower(list_first(hits).k) AS k, lower(list_first(hits).v) AS v FROM (SELECT list_filter({{pairs}},
-      lambda kv: lower(kv.k) || '=' || lower(kv.v) IN ({names(rules.UNSAFE_PAIRS)}) OR lower(kv.k) IN ({names(rules.DESTRUCTIVE_KEYS)})) AS hits))), false))"""
+      lambda kv: lower(kv.k) || '=' || lower(kv.v) IN ({names('='.join(p) for p in rules.UNSAFE_PAIRS)}) OR lower(kv.k) IN ({names(rules.DESTRUCTIVE_KEYS)})) AS hits))), false))"""
 
 
 def unsafe() -> str:
@@ -285,6 +285,13 @@ def oracle_sql() -> dict[str, str]:
             SELECT s.site_key, CASE WHEN k.n IS NULL THEN 'start' WHEN n % 4 = 3 THEN 'unfinished' WHEN first % 5 = 0 THEN 'policy' WHEN new_seeds > 0 THEN 'seeds' ELSE 'skip' END AS decision, coalesce(new_seeds, 0) AS new_seeds
             FROM (SELECT DISTINCT site_key FROM pg) s LEFT JOIN k USING (site_key) LEFT JOIN fresh USING (site_key)""",
         "save_segments": _SEGMENTS,
+        "run_ticks": f"""WITH s AS ({_SEGMENTS}), {_LOG}, c AS (SELECT segment, count(*) AS new_visits, count_if(ok) AS new_ok, count_if(NOT ok) AS new_failed FROM log JOIN s USING (visit_id) GROUP BY segment)
+            SELECT *, (sum(new_visits) OVER (ORDER BY segment))::BIGINT AS visits, (sum(new_ok) OVER (ORDER BY segment))::BIGINT AS ok FROM c""",
+        "worker_totals": f"""WITH {PAGES}, {_LOG}, w AS (SELECT page_id % 64 AS worker, count(DISTINCT site_key) AS sites FROM pg GROUP BY ALL),
+            r AS (SELECT page_id % 64 AS worker, arg_max(error LIKE '%Target closed' OR error LIKE 'Protocol Error%', visit_id) AS lost FROM log GROUP BY ALL), a AS (SELECT *, coalesce(lost, true) AS bad FROM w LEFT JOIN r USING (worker))
+            SELECT count(*) AS workers, count_if(bad) AS failed_workers, sum(sites)::BIGINT AS sites, coalesce(sum(sites) FILTER (WHERE bad), 0)::BIGINT AS sites_of_failed FROM a""",
+        "response_routing": captured.ROUTING,
+        "response_links": captured.ALL_LINKS,
         "deque_taken": f"{_DEQUE} SELECT sim.event_id, put_by, e.user_id AS page_id, CASE log.op WHEN 'front' THEN 'front' WHEN 'back' THEN 'back' END AS came FROM sim LEFT JOIN events e ON e.event_id = put_by LEFT JOIN log ON log.event_id = put_by WHERE sim.event_id IS NOT NULL",
         "deque_waiting": f"{_DEQUE}, left_over AS (SELECT unnest(dq) AS put_by, unnest(range(1, len(dq) + 1)) AS place FROM sim ORDER BY i DESC LIMIT (SELECT len(dq) FROM sim ORDER BY i DESC LIMIT 1)) SELECT place, put_by, e.user_id AS page_id, (log.op = 'back')::INT AS side FROM left_over JOIN events e ON e.event_id = put_by JOIN log ON log.event_id = put_by",
         "dispatch_order": f"""WITH {_FOUND},{visited()}, own AS (SELECT source_url, any_value(url) AS start_url FROM vf GROUP BY source_url),

@@ -1,14 +1,15 @@
 """Sinks: lists, link tables and summaries, in the formats that readers of a site's folder expect.
 
 Each sink is a folder that Spark's commit protocol fills; nothing passes through the driver. Lists are range-sorted, so
-reading the parts in order gives the sorted list.
+reading the parts in order gives the sorted list. What goes into more than one file is written as a table first, so that
+it is not worked out again for each; the sorts read that table.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..operators.graph import EDGE, NODE
+from ..operators.graph import EDGE, NODE, written
 
 VISIT = ["requested_url", "final_url", "depth", "page_kind", "proxy", "title", "ok", "error", "discoveries", "started_at", "finished_at", "duration_ms"]
 FEED = ["url", "same_site", "queueable", "first_depth", "first_source", "first_method", "page_kind"]
@@ -30,25 +31,28 @@ def write_csv(df: DataFrame, path: str, columns: list[str], sep: str = ",") -> N
 
 
 def write_nodes(nodes: DataFrame, folder: str) -> None:
-    ordered = nodes.orderBy("url")
+    ordered = written(nodes.select(*NODE)).orderBy("url")
     ordered.select(*NODE).write.mode("overwrite").json(f"{folder}/nodes_jsonl")
     write_csv(ordered, f"{folder}/nodes_csv", NODE)
 
 
 def write_edges(edges: DataFrame, folder: str) -> None:
-    ordered = edges.orderBy("depth", "source_url", "method", "target_url")
+    """Edges in order of their discovery: depth, source, method, place on the page."""
+    ordered = written(edges.select(*EDGE, "pos")).orderBy("depth", "source_url", "method", "pos", "target_url")
     ordered.select(*EDGE).write.mode("overwrite").json(f"{folder}/edges_jsonl")
     write_csv(ordered, f"{folder}/edges_csv", EDGE)
 
 
 def write_visits(visits: DataFrame, folder: str) -> None:
     rows = visits.withColumn("duration_ms", F.coalesce("duration_ms", ((F.col("finished_at") - F.col("started_at")) * 1000).cast("long"))) if "duration_ms" in visits.columns else visits.withColumn("duration_ms", ((F.col("finished_at") - F.col("started_at")) * 1000).cast("long"))
-    rows.select(*VISIT).write.mode("overwrite").json(f"{folder}/visits_jsonl")
+    rows = written(rows.select(*VISIT))
+    rows.write.mode("overwrite").json(f"{folder}/visits_jsonl")
     write_csv(rows, f"{folder}/visits_csv", VISIT)
 
 
 def write_url_lists(nodes: DataFrame, folder: str) -> None:
     """All URLs, those of the site, and those not followed, which may be of the site as well."""
+    nodes = written(nodes.select("url", "same_site", "queueable"))
     for name, kept in (("all_discovered_urls", F.lit(True)), ("same_site_urls", F.col("same_site")), ("external_or_non_queueable_urls", ~F.col("queueable"))):
         nodes.filter(kept).select("url").orderBy("url").write.mode("overwrite").text(f"{folder}/{name}")
 
@@ -63,6 +67,7 @@ def write_summary(summary: DataFrame, folder: str) -> None:
 
 def write_global(links: DataFrame, summary: DataFrame, batch: DataFrame, folder: str) -> None:
     """The roll-up of all sites: URLs, links as TSV (without the family) and CSV, the table of sites, and the totals."""
+    links = written(links.select(*LINKS))
     links.select("url").filter("url <> ''").distinct().orderBy("url").write.mode("overwrite").text(f"{folder}/all_urls")
     ordered = links.orderBy("site_folder", "url")
     write_csv(ordered, f"{folder}/all_links_tsv", [c for c in LINKS if c != "site_family"], sep="\t")
