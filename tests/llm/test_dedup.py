@@ -57,6 +57,23 @@ def test_exact_groups_against_plain(spark):
     assert kept == {min(m)[1] for m in groups.values()}
 
 
+def test_exact_groups_with_a_hot_group(spark, monkeypatch):
+    """Half of all rows are one text; hot and other keys give the same as the plain way, and no key is both."""
+    texts = [["hot copy", "h ot copy ", None, "", f"alone {n}", f"pair {n // 8}", "head " + "x" * 300 + str(n % 3)][n % 7 if n % 2 else 0] for n in range(400)]
+    by_norm = {}
+    for n, t in enumerate(texts):
+        by_norm.setdefault("".join((t or "").split()), []).append(n)
+    want = {}
+    for members in by_norm.values():
+        keep = min(members, key=lambda n: (-len(texts[n] or ""), n))
+        want |= {n: (keep, len(members)) for n in members}
+    for part in (1, 4, 20, 1000):
+        monkeypatch.setattr(exact_dedup, "HOT_PART", part)
+        for digest_all in (False, True):
+            rows = exact_dedup.exact_groups(frame(spark, texts), digest_all=digest_all).collect()
+            assert len(rows) == len(texts) and {r["doc_id"]: (r["keep_id"], r["group_size"]) for r in rows} == want
+
+
 def test_exact_edges(spark):
     assert exact_dedup.exact_groups(frame(spark, [])).count() == 0
     rows = exact_dedup.exact_groups(frame(spark, ["x", "x", "y"], [None, 3, 3]).withColumn("head", F.lit(1))).collect()
