@@ -28,8 +28,6 @@ UNKNOWN = "und"
 ORDERS = (4, 3, 2, 1)
 #: The sample has about so many labelled rows of each language.
 SAMPLE_ROWS = 3000
-#: The model has at most so many features of each order, the most frequent ones over all languages together.
-FEATURES = 1_000_000
 #: Texts looked at together, and counters flushed at so many entries.
 SLICE, COUNTERS = 256, 200_000
 #: How many times the mean log posterior of a word is counted in a score. A text of one language alone has means far
@@ -147,13 +145,13 @@ def _count_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
     yield from flushed()
 
 
-def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_rows: int = SAMPLE_ROWS, features: int = FEATURES, smoothing: float = 0.1) -> LanguageModel:
+def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_rows: int = SAMPLE_ROWS, features: int | None = None, smoothing: float = 0.1) -> LanguageModel:
     """A model of the languages in lang_col, from rows that have a language and a text.
 
-    Of each language about sample_rows rows are drawn by a hash of id and counted whole; all their features are kept, or of
-    an order with more than `features` those above the least count that leaves no more, counted over all languages, with
-    the counts of every language. Both bound what reaches the driver. Without labelled rows the model has no languages
-    and answers und.
+    Of each language about sample_rows rows are drawn by a hash of id and counted whole, and all their features are kept: the
+    drawn rows bound what reaches the driver. With `features` a smaller model is made on request: of an order with more than
+    that many, those above the least count that leaves no more, counted over all languages, stay with the counts of every
+    language. Without labelled rows the model has no languages and answers und.
     """
     small_batches(docs.sparkSession)
     labelled = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).filter("lang is not null and text is not null")
@@ -167,9 +165,9 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     languages = sorted(sizes)
     per_lang = [F.sum(F.when(F.col("lang") == lang, F.col("n")).otherwise(0)).alias(f"n{k}") for k, lang in enumerate(languages)]
     counted = cut(drawn.select("lang", "text").mapInArrow(_count_features, "lang string, grams int, key long, n long").groupBy("grams", "key").agg(F.sum("n").alias("n"), *per_lang))
-    steps = counted.groupBy("grams", F.least("n", F.lit(1000)).alias("n")).count().collect()  # at most 1000 rows an order
+    steps = counted.groupBy("grams", F.least("n", F.lit(1000)).alias("n")).count().collect() if features is not None else []  # at most 1000 rows an order
     least = {}
-    for order in (0, *ORDERS):
+    for order in (0, *ORDERS) if features is not None else ():
         left = features
         for n, rows in sorted(((r["n"], r["count"]) for r in steps if r["grams"] == order), reverse=True):
             left -= rows
