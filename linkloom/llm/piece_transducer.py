@@ -5,12 +5,14 @@ whose final arcs cost minus the piece's score), and a byte fallback (one costly
 of its UTF-8 bytes). Composing them with an input gives an acyclic lattice over the input's symbols; its shortest path in
 the tropical semiring (costs add along a path, the least path wins) is the encoding of a unigram model.
 
-Scores of a BPE model are ranks of merges and do not add up. Its path through the same lattice starts as one arc a symbol;
-of all neighbours that one arc of the lexicon spans, those with the cheapest such arc give way to it, the leftmost first,
-until no two have one. These are the model's own merges.
-
-In no piece does the escaped space follow another symbol, and some line characters stand in no piece with others, so every
-path of the lattice passes through the states at these places, and no merge spans them. The path is thus the paths of the stretches
+Scores of a BPE model are ranks of merges and do not add up. Merges start with one arc a symbol; of all neighbours that one
+arc of the lexicon spans, those with the cheapest such arc give way to it, the leftmost first, until no two have one. Its path
+through the same lattice is the one on which every arc fits after the one before it: merges of the two's symbols leave just
+these two. Whether two arcs fit is worked out once and kept with the first one's state, up to a bound.
+
+In no piece does the escaped space follow another symbol or a letter stand next to anything but letters, and digits and some
+line characters stand in no piece with others, so every path of the lattice passes through the states at these places, and no
+merge spans them. The path is thus the paths of the stretches
 between them, one after the other, and stretches seen before are taken from a bounded memo.
 """
 
@@ -18,7 +20,7 @@ from __future__ import annotations
 
 import re
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from heapq import heapify, heappop, heappush
 from pathlib import Path
@@ -33,8 +35,10 @@ from .common import small_batches
 #: The escaped space, and where the tokenizer files lie unless a path is given.
 SPACE = "▁"
 DEFAULT_VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
-LINE_CHARS = "\n\t\r"
+ALONE = "\n\t\r0123456789"
 MEMO, MEMO_CHARS = 100_000, 40
+#: Pairs of arcs of which it is remembered whether one fits after the other.
+FOLLOWS = 200_000
 #: Documents whose ids and texts are held at once.
 SLICE = 256
 #: What the byte fallback costs above the dearest piece.
@@ -45,9 +49,32 @@ class Merges(dict):
     """A lexicon of a BPE model: the costs of its arcs are ranks of merges."""
 
 
+class Memo(dict):
+    """Ids of stretches, as the bytes of 32-bit integers. A full memo becomes the older one, from which what is used comes back."""
+
+    def __init__(self, path: Callable[[str], tuple[int, ...]]):
+        self.path, self.older = path, {}
+
+    def __missing__(self, stretch: str) -> bytes:
+        ids = self.older.get(stretch)
+        if ids is None:
+            ids = array("i", self.path(stretch)).tobytes()
+        if len(stretch) <= MEMO_CHARS:
+            if len(self) >= MEMO:
+                self.older = dict(self)
+                super().clear()
+            self[stretch] = ids
+        return ids
+
+    def clear(self) -> None:
+        self.older = {}
+        super().clear()
+
+
 @dataclass
 class PieceTransducer:
-    """The compiled machines. root: the lexicon's arcs from its first state, each to (arcs, cost if a piece ends there, its id). symbols: the normaliser's output of each character that it changes, None to refuse it."""
+    """The compiled machines. root: the lexicon's arcs from its first state, each to (arcs, cost if a piece ends there, its id, length, which
+    arcs fit after it, as far as known). follows: which fit at the start. symbols: the normaliser's output of each character that it changes, None to refuse it."""
 
     root: dict
     symbols: dict[str, str | None]
@@ -56,10 +83,16 @@ class PieceTransducer:
     written: list[bytes]
     dummy_prefix: bool
     stretches: re.Pattern | None
-    memo: dict[str, tuple[int, ...]] = field(default_factory=dict, repr=False)
+    fallback: dict[str, list] = field(default_factory=dict, repr=False)
+    follows: dict[int, bool] = field(default_factory=dict, repr=False)
+    n_follows: int = 0
 
     def __post_init__(self):
         self.plain = self.symbols == {" ": SPACE, SPACE: None}
+        self.memo = Memo(self.path)
+        self.longest, states = 0, [self.root]
+        while states := [arc[0] for arcs in states for arc in arcs.values()]:
+            self.longest += 1
 
     def normalise(self, text: str) -> list[tuple[str, str]]:
         """(symbol, character) pairs; an empty symbol stands for a character that only the byte fallback reads."""
@@ -79,7 +112,60 @@ class PieceTransducer:
         return self.merged_path(tape, read) if isinstance(self.root, Merges) else self.shortest_path(tape, read)
 
     def merged_path(self, tape: str | list[str], read: str | list[str]) -> tuple[int, ...]:
-        """Ids on the path that merges leave. An arc is known by the place where it starts; end is 0 once it is part of another."""
+        """Ids on the path that merges leave: the only one of which every two arcs in a row are what merges make of their symbols.
+
+        No merge spans the place where two of its arcs meet, so merges go on either side as they do there alone; and on any
+        other path, the first merge that spans such a place is one of the two arcs' own symbols too. Longer arcs are tried
+        first. A state is reached by the path of the symbols before it, so no state is reached twice.
+        """
+        n, longest, at, follows, arcs = len(tape), self.longest, 0, self.follows, None
+        taken: list[tuple] = []  # state, what fits there, arcs not tried yet, arc taken
+        while at < n:
+            if arcs is None:
+                arcs, states = [], self.root
+                for symbol in tape[at : at + longest]:
+                    arc = states.get(symbol)
+                    if arc is None:
+                        break
+                    if arc[2] >= 0:
+                        arcs.append(arc)
+                    states = arc[0]
+                if not arcs or arcs[0][3] > 1:
+                    arcs.insert(0, self.fallback_arc(tape[at]))
+            while arcs:
+                arc = arcs.pop()
+                fits = follows.get(arc[2])
+                if fits is None:
+                    begin, stop = taken[-1][0] if taken else at, at + arc[3]
+                    fits = self.merged(tape[begin:stop]) == ([at - begin, stop - begin] if taken else [stop - begin])
+                    if self.n_follows < FOLLOWS:
+                        self.n_follows += 1
+                        follows[arc[2]] = fits
+                if fits:
+                    taken.append((at, follows, arcs, arc))
+                    at, follows, arcs = at + arc[3], arc[4], None
+                    break
+            else:
+                at, follows, arcs, _ = taken.pop()
+        path: list[int] = []
+        for at, _, _, arc in taken:
+            if arc[2] >= 0:
+                path.append(arc[2])
+            else:
+                path += [self.byte_ids[b] for b in read[at].encode("utf-8")]
+        return tuple(path)
+
+    def fallback_arc(self, symbol: str) -> list:
+        """An arc that reads one symbol and writes bytes; its number is negative, and its own."""
+        arc = self.fallback.get(symbol)
+        if arc is None:
+            arc = [{}, float("inf"), -2 - ord(symbol) if symbol else -1, 1, {}]
+            if len(self.fallback) < MEMO:
+                self.fallback[symbol] = arc
+        return arc
+
+    def merged(self, tape: str | list[str]) -> list[int]:
+        """Where the arcs end that merges leave. An arc is known by the place where it starts; end is 0 once it is part of another."""
         n = len(tape)
         states = [self.root.get(symbol) for symbol in tape]
         end, before = list(range(1, n + 1)), list(range(-1, n - 1))
@@ -106,16 +192,7 @@ class PieceTransducer:
                     state = state[0].get(symbol)
                 if state and state[2] >= 0:
                     heappush(queue, (state[1], first, end[second], state))
-        path: list[int] = []
-        at = 0
-        while at < n:
-            state = states[at]
-            if state and state[2] >= 0:
-                path.append(state[2])
-            else:
-                path += [self.byte_ids[b] for b in read[at].encode("utf-8")]
-            at = end[at]
-        return tuple(path)
+        return [stop for stop in end if stop]
 
     def shortest_path(self, tape: str | list[str], read: str | list[str]) -> tuple[int, ...]:
         """Ids on the least path of the lattice; of equal paths the one whose last differing arc is longer."""
@@ -132,7 +209,7 @@ class PieceTransducer:
                 if node is None:
                     break
                 at += 1
-                arcs, final, piece = node
+                arcs, final, piece = node[:3]
                 final += so_far
                 if final < cost[at]:
                     cost[at] = final
@@ -161,14 +238,7 @@ class PieceTransducer:
         if self.stretches is None:
             out.extend(self.path(text))
             return out
-        memo = self.memo
-        for stretch in self.stretches.findall(text):
-            ids = memo.get(stretch)
-            if ids is None:
-                ids = self.path(stretch)
-                if len(memo) < MEMO and len(stretch) <= MEMO_CHARS:
-                    memo[stretch] = ids
-            out.extend(ids)
+        out.frombytes(b"".join(map(self.memo.__getitem__, self.stretches.findall(text))))
         return out
 
     def decode(self, ids) -> str:
@@ -198,18 +268,34 @@ def compile_transducer(pieces: list[tuple[str, float, str]], rules: dict[str, st
         else:
             written.append(text.replace(SPACE, " ").encode("utf-8"))
             arcs, node = root, None
-            for c in text:
-                node = arcs.setdefault(c, [{}, float("inf"), -1])
+            for depth, c in enumerate(text, 1):
+                node = arcs.setdefault(c, [{}, float("inf"), -1, depth, {}])
                 arcs = node[0]
             if node and -score < node[1]:
-                node[1:] = [-score, i]
+                node[1:3] = [-score, i]
             if score > -1e8:
                 dearest = max(dearest, -score)
     normal = [text for text, _, kind in pieces if kind in ("piece", "merge")]
-    alone = "".join(c for c in LINE_CHARS if c not in symbols and not any(c in text for text in normal if len(text) > 1))
     whole = any(SPACE in text.lstrip(SPACE) for text in normal) or any(v and SPACE in v for k, v in symbols.items() if k != " ")
-    stretches = None if whole else re.compile(rf"[{alone}]| *[^ {alone}]+| +" if alone else " *[^ ]+| +")
-    return PieceTransducer(root, symbols, byte_ids, dearest + FALLBACK_PENALTY, written, dummy_prefix, stretches)
+    return PieceTransducer(root, symbols, byte_ids, dearest + FALLBACK_PENALTY, written, dummy_prefix, None if whole else _stretches(normal, symbols))
+
+
+def _stretches(pieces: list[str], symbols: dict[str, str | None]) -> re.Pattern:
+    """What no piece spans the borders of, given that in none the escaped space follows another symbol: runs of letters, runs of other characters, either with the spaces before it, and characters of ALONE that stand in no piece with others."""
+    next_to: dict[str, set[str]] = {}
+    for text in pieces:
+        for a, b in zip(text, text[1:]):
+            if SPACE not in (a, b):
+                next_to.setdefault(a, set()).add(b)
+                next_to.setdefault(b, set()).add(a)
+    alone = "".join(c for c in ALONE if c not in symbols and not any(c in text for text in pieces if len(text) > 1))
+    letters, found = set(), ["e"]
+    while found:  # all that pieces lead to from one letter on, so that none has one of these next to another character
+        letters.update(found)
+        found = {c for a in found for c in next_to.get(a, ())} - letters
+    # what rules change may become anything
+    runs = "" if set(symbols) - {" ", SPACE} or len(letters) == 1 else re.escape("".join(sorted(letters)))
+    return re.compile("|".join([*([f"[{alone}]"] if alone else []), *([f" *[{runs}]+"] if runs else []), f" *[^ {alone}{runs}]+", " +"]))
 
 
 def read_vocabulary(path: str = DEFAULT_VOCABULARY) -> list[tuple[str, float, str]]:

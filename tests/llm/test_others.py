@@ -143,6 +143,41 @@ def test_pieces_are_the_models_own(transducer, documents):
         assert list(transducer.encode(text)) == library.encode(text)
 
 
+def test_merges_are_looked_up(transducer, monkeypatch):
+    transducer = piece_transducer.compile_transducer(piece_transducer.read_vocabulary())
+    text = 'lanterns, lanterns. (lanterns) "lanterns" 12lanterns34'
+    assert transducer.decode(transducer.encode(text)) == text
+    assert {k.strip() for k in transducer.memo if "lantern" in k} == {"lanterns"}  # whatever stands beside a word
+    # words come back from the older memo, and each pair of arcs is merged once
+    monkeypatch.setattr(piece_transducer, "MEMO", 20)
+    asked, path = [], transducer.memo.path
+    transducer.memo.path = lambda stretch: asked.append(stretch) or path(stretch)
+    words = [f"zq{a}{b}" for a in "abcdefg" for b in "hijklm"]
+    for word in words:
+        assert transducer.encode(f"river {word}") == transducer.encode(f"river {word}")
+    assert asked.count(" river") <= 1 and len(asked) <= len(words) + 1
+    merged = []
+    transducer.merged = lambda tape: merged.append(tape) or type(transducer).merged(transducer, tape)
+    for word in words:
+        transducer.path(f" {word}")
+    assert not merged
+
+
+def test_merged_path_against_merges():
+    rng = random.Random(5)
+    for k in range(60):
+        texts = {"".join(rng.choices("abc▁", k=rng.randrange(2, 5))) for _ in range(rng.randrange(3, 14))}
+        scored = [(t, -float(rng.randrange(6)), "merge") for t in sorted(texts) + [c for c in "abc▁" if rng.random() < 0.9]]
+        small = piece_transducer.compile_transducer([("<unk>", 0.0, "control"), *[(f"<0x{b:02X}>", 0.0, "byte") for b in range(256)], *scored])
+        for _ in range(40):
+            tape = "".join(rng.choices("abcd▁", k=rng.randrange(1, 14)))
+            stops = small.merged(tape)
+            numbers = {t: i for i, (t, _, _) in enumerate(scored, 257)}
+            plain = [tape[a:b] for a, b in zip([0, *stops], stops)]
+            expected = [i for x in plain for i in ([numbers[x]] if x in numbers else [small.byte_ids[b] for b in x.encode()])]
+            assert list(small.merged_path(tape, tape)) == expected, (k, tape)
+
+
 ASSIGN = re.compile(r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 
 
