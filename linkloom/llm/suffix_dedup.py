@@ -129,39 +129,48 @@ class Stretches:
 def transform(strings: list[bytes]) -> bytes:
     """The Burrows-Wheeler transform of strings, as little-endian 16-bit symbols: a byte plus 1, or 0 before a string's start.
 
-    Suffixes are sorted once, by doubling: ranks by d symbols give ranks by 2 d, until all differ. Equal suffixes that
-    run to their strings' ends stand in order of the strings. Sort keys hold the position in their low bits, so that
-    plain sorts of numbers do.
+    Suffixes are sorted by doubling: ranks by d symbols give ranks by 2 d, until all differ. Equal suffixes that
+    run to their strings' ends stand in order of the strings. A suffix without equals has its place and is not sorted again.
+    Sort keys hold the position in their low bits, so that plain sorts of numbers do.
     """
     lengths = np.array([len(s) + 1 for s in strings])
     ends = np.cumsum(lengths)
     n = int(ends[-1])
-    symbols = np.zeros(n + 4, dtype=np.int64)
-    symbols[:n] = np.frombuffer(b"\0".join(strings) + b"\0", dtype=np.uint8)
-    symbols[:n] += 1
+    symbols = np.zeros(n, dtype=np.int64)
+    symbols[:] = np.frombuffer(b"\0".join(strings) + b"\0", dtype=np.uint8)
+    symbols += 1
     symbols[ends - 1] = 0
     to_end = np.repeat(ends, lengths) - np.arange(n)
-    key = np.zeros(n, dtype=np.int64)
-    for k in range(4):
-        key = key << 9 | np.where(to_end > k, symbols[k : n + k], 0)
-    bits, done = max(1, n.bit_length()), 4
-    while True:
+    # as many symbols at once as fit beside a position, numbered anew as few of them occur
+    number = np.cumsum(np.bincount(symbols, minlength=257) > 0) - 1
+    bits, width = max(1, n.bit_length()), max(1, int(number[-1]).bit_length())
+    done = max(1, (63 - bits) // width)
+    dense = np.concatenate([number[symbols], np.zeros(done, dtype=np.int64)])
+    key = dense[:n].copy()
+    for k in range(1, done):
+        key = key << width | np.where(to_end > k, dense[k : n + k], 0)
+    order = np.empty(n, dtype=np.int64)
+    rank = np.zeros(n + 1, dtype=np.int64)  # place of the first of a suffix's equals so far, plus 1; 0 beyond the end
+    places = open_ = np.arange(n)  # places that are not settled yet, and the suffixes there
+    while len(places):
         if key.max() < 1 << (63 - bits):
-            key = np.sort(key << bits | np.arange(n))
-            order = key & ((1 << bits) - 1)
+            key = np.sort(key << bits | np.arange(len(key)))
+            by_key = key & ((1 << bits) - 1)
             key >>= bits
         else:
-            order = np.argsort(key, kind="stable")
-            key = key[order]
-        border = np.ones(n, dtype=bool)
-        border[1:] = (key[1:] != key[:-1]) | (to_end[order[1:]] <= done)
-        if border.all():
-            break
-        rank = np.empty(n + 1, dtype=np.int64)
-        rank[order] = np.cumsum(border)
-        rank[n] = 0
-        ahead = np.where(to_end > done, rank[np.minimum(np.arange(n) + done, n)], 0)
-        key = rank[:n] * (n + 1) + ahead
+            by_key = np.argsort(key, kind="stable")
+            key = key[by_key]
+        open_ = open_[by_key]
+        order[places] = open_
+        border = np.ones(len(key) + 1, dtype=bool)
+        border[1:-1] = (key[1:] != key[:-1]) | (to_end[open_[1:]] <= done)
+        first = np.flatnonzero(border[:-1])
+        rank[open_] = np.repeat(places[first] + 1, np.diff(np.append(first, len(key))))
+        go_on = ~(border[:-1] & border[1:])
+        places = places[go_on]
+        open_ = open_[go_on]
+        ahead = np.where(to_end[open_] > done, rank[np.minimum(open_ + done, n)], 0)
+        key = rank[open_] * (n + 2) + ahead
         done *= 2
     before = np.where(order > 0, symbols[order - 1], 0)
     return before.astype("<u2").tobytes()
@@ -216,12 +225,14 @@ def merge_transforms(transforms: list[np.ndarray], counts: list[int], depth: int
 
 
 def packed(transformed: bytes) -> bytes:
-    """A transform in one byte a symbol: 255, which UTF-8 does not have, is the place before a string's start."""
-    return (np.frombuffer(transformed, "<u2") - np.uint16(1)).astype(np.uint8).tobytes()
+    """A transform as it is shuffled: one byte a symbol, and 255, which UTF-8 does not have, for the place before a string's start; its length, then Zstandard, as transforms have runs."""
+    data = (np.frombuffer(transformed, "<u2") - np.uint16(1)).astype(np.uint8).tobytes()
+    return len(data).to_bytes(8, "little") + pa.compress(data, codec="zstd", asbytes=True)
 
 
 def unpacked(data: bytes) -> np.ndarray:
-    return (np.frombuffer(data, np.uint8) + np.uint8(1)).astype(np.uint16)
+    plain = pa.decompress(data[8:], decompressed_size=int.from_bytes(data[:8], "little"), codec="zstd", asbytes=True)
+    return (np.frombuffer(plain, np.uint8) + np.uint8(1)).astype(np.uint16)
 
 
 def _rows(schema: str):
@@ -302,7 +313,15 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         bucket = (found.name[pick] % np.uint64(n_buckets)).astype(np.int64)
         digests = b"".join(blake2b(x, digest_size=16).digest() for x in found.strings(pick))
         low, high = np.frombuffer(digests, np.uint64).reshape(-1, 2).T
-        order = np.lexsort((ids[found.doc[pick]], high, low, bucket))
+        # one sort by bucket and digest, then what little of one key has several digests or ids; equal strings have one bucket
+        own_id = ids[found.doc[pick]]
+        spare = max(1, n_buckets.bit_length())
+        key = bucket.astype(np.uint64) << np.uint64(64 - spare) | low >> np.uint64(spare)
+        order = np.argsort(key)
+        run = np.concatenate([[0], np.cumsum(key[order][1:] != key[order][:-1])]) if len(order) else order
+        again = np.flatnonzero(np.bincount(run)[run] > 1) if len(order) else order
+        tied = order[again]
+        order[again] = tied[np.lexsort((own_id[tied], high[tied], low[tied], run[again]))]
         first = np.ones(len(order), dtype=bool)
         first[1:] = (low[order][1:] != low[order][:-1]) | (high[order][1:] != high[order][:-1]) | (bucket[order][1:] != bucket[order][:-1])
         number = np.empty(len(order), dtype=np.int64)

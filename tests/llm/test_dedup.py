@@ -324,3 +324,18 @@ def test_components_of_a_long_chain(spark):
     edges = spark.createDataFrame([(a, b) for a, b in zip(order, order[1:])] + [(100, 101)], "u long, v long")
     got = {r["id"]: r["root"] for r in ngram_join.components(edges).collect()}
     assert got == {i: 0 for i in range(1, 60)} | {101: 100}
+
+
+def test_transforms_are_shuffled_compressed():
+    rng = random.Random(7)
+    words = ["".join(rng.choices("etaoinshrdlu", k=6)) for _ in range(40)]
+    strings = [" ".join(rng.choices(words, k=12)).encode()[:80] for _ in range(2000)]
+    transformed = suffix_dedup.transform(strings)
+    data = suffix_dedup.packed(transformed)
+    assert len(data) < len(transformed) / 4  # 16-bit symbols
+    assert (suffix_dedup.unpacked(data) == np.frombuffer(transformed, "<u2")).all()
+    for strings in ([b""], [b"", b""], [b"a"], [b"ab", b"ab", b"b"], ["né à né".encode(), b"x"]):
+        suffixes = [(s[k:] , i, k) for i, s in enumerate(strings) for k in range(len(s) + 1)]
+        plain = [strings[i][k - 1] + 1 if k else 0 for _, i, k in sorted(suffixes)]
+        assert np.frombuffer(suffix_dedup.transform(strings), "<u2").tolist() == plain
+        assert suffix_dedup.unpacked(suffix_dedup.packed(suffix_dedup.transform(strings))).tolist() == plain
