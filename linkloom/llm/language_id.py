@@ -212,7 +212,8 @@ def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text", lang
             found += shared.value.predict(texts.slice(at, SLICE).to_pylist())
         return pa.array([{"lang": lang, "score": score} for lang, score in found], kind)
 
-    out = docs.withColumn("__language", predict(F.col(text_col)))
+    # a filter on the result would otherwise be planned with a prediction of its own, in a second worker beside the first
+    out = docs.withColumn("__language", predict.asNondeterministic()(F.col(text_col)))
     return out.withColumn(lang_name, F.col("__language.lang")).withColumn(score_name, F.col("__language.score")).drop("__language")
 
 

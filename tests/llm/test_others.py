@@ -428,3 +428,11 @@ def test_hysteresis_segments():
     x = np.concatenate([quiet, loud, quiet, loud, quiet]).astype(np.float32)
     spans = audio_features.active_spans(audio_features.frames_of(x), 8000)
     assert len(spans) == 2 and abs(spans[0][0] - 512) <= 32 and abs(spans[0][1] - 1024) <= 48
+
+
+def test_languages_are_told_once(spark):
+    import corpus_pipeline
+
+    docs = corpus_pipeline.table(spark, SF, "documents")
+    told = corpus_pipeline.by_language(spark, docs, SF)
+    assert str(told._jdf.queryExecution().executedPlan()).count("ArrowEvalPython") == 1
