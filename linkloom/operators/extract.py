@@ -91,10 +91,10 @@ def links_of_html(pages: DataFrame, text: str = "html", keep: tuple[str, ...] =
     return in_attributes.unionByName(in_text).unionByName(lists)
 
 
-def links_of_pages(pages: DataFrame, text: str = "html") -> DataFrame:
+def links_of_pages(pages: DataFrame, text: str = "html", keep: tuple[str, ...] = ()) -> DataFrame:
     """links_of_html, and each page's own address, as a browser reports it."""
-    own = pages.select(*SITE, "source_url", F.lit(-1).alias("pos"), F.col("source_url").alias("raw_url"), F.lit("location").alias("raw_kind"))
-    return links_of_html(pages, text).unionByName(own)
+    own = pages.select(*SITE, "source_url", *keep, F.lit(-1).alias("pos"), F.col("source_url").alias("raw_url"), F.lit("location").alias("raw_kind"))
+    return links_of_html(pages, text, keep).unionByName(own)
 
 
 def issue_list_links(pages: DataFrame, text: str = "html", keep: tuple[str, ...] = ()) -> DataFrame:

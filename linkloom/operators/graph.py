@@ -43,13 +43,13 @@ def arrival() -> Column:
     return F.struct(F.col("depth"), method_rank(F.col("method")).alias("rank"), F.col("source_url"), F.col("method"), F.col("pos"))
 
 
-def resolved(discoveries: DataFrame, aggressive: bool = True, visit_leaf_pages: bool = False) -> DataFrame:
+def resolved(discoveries: DataFrame, aggressive: bool = True, visit_leaf_pages: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
     """Distinct discoveries with url (the target) and its classes; what has no URL is gone.
 
-    Of one source and method a raw URL counts once. Rows of the same raw URL from the same page are merged before it
-    is normalised, which is the dear part.
+    Of one source and method a raw URL counts once, for each value of the columns in keep. Rows of the same raw URL from
+    the same page are merged before it is normalised, which is the dear part.
     """
-    keys = [*SITE, "source_url", "method", "raw_url"]
+    keys = [*SITE, "source_url", *keep, "method", "raw_url"]
     once = discoveries.groupBy(keys).agg(F.min("depth").alias("depth"), F.min("pos").alias("pos"))
     return classified(normalize(once, "raw_url", "source_url").filter("url is not null"), aggressive=aggressive, visit_leaf_pages=visit_leaf_pages)
 

@@ -26,8 +26,8 @@ def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return inputs.captured_pages(spark, sf_dir)
 
 
-def raw_links(captured: DataFrame) -> DataFrame:
-    return extract.links_of_pages(captured).withColumns({"depth": F.lit(1), "method": F.lit("dom")})
+def raw_links(captured: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    return extract.links_of_pages(captured, keep=keep).withColumns({"depth": F.lit(1), "method": F.lit("dom")})
 
 
 def found(spark: SparkSession, sf_dir: str, aggressive: bool = True) -> DataFrame:
@@ -304,15 +304,16 @@ def resume_equivalence(spark, sf_dir):
 def _resumed(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     """A state saved in three deltas that share nodes, compacted in between, and resumed with all pages as seeds.
 
-    The third of the pages with page_id % 3 = n is found by delta n. Pages with a visit without error are done: each
+    The third of the pages with page_id % 3 = n is found by delta n: an address that two thirds have captured is found by
+    both, each with the links of its own captures, and counts in both. Pages with a visit without error are done: each
     delta's own wait first, the next one takes those that are done from the frontier. The last delta leaves its own in flight.
     """
     captured = pages(spark, sf_dir)
     done = visit_log(spark, sf_dir).filter("ok").select("page_id").distinct().withColumn("done", F.lit(True))
     own = urls.normalize(captured.join(done, "page_id", "left"), "source_url", None, "url")
     own = graph.written(own.select("page_id", *extract.SITE, "url", F.coalesce("done", F.lit(False)).alias("done")))
-    all_found = found(spark, sf_dir).join(captured.select("site_key", "source_url", (F.col("page_id") % 3).alias("third")), ["site_key", "source_url"])
-    all_found = graph.written(all_found)
+    thirds = raw_links(captured.withColumn("third", F.col("page_id") % 3), ("third",))
+    all_found = graph.written(graph.resolved(thirds, keep=("third",)))
     folder = f"{graph.scratch(spark)}/state-{uuid.uuid4().hex}"
     for n in range(3):
         third = own.filter(F.col("page_id") % 3 == n)

@@ -141,9 +141,9 @@ def visited(pages: str = "pg") -> str:
     return f"vraw AS (SELECT site_key, site_host, site_origin, source_url, source_url AS raw_url FROM {pages}),{found('vraw', 'vf')},\nvis AS (SELECT DISTINCT site_key, url FROM vf)"
 
 
-def half(n: int, prefix: str) -> str:
-    """CTEs of the links of pages with even or odd ids, all names with a prefix."""
-    body = f"p_ AS (SELECT * FROM pg WHERE page_id % 2 = {n}),{links('p_')},{found()},{nodes()}"
+def share(n: int, of: int, prefix: str) -> str:
+    """CTEs of the links of pages whose ids leave n when divided by of, all names with a prefix."""
+    body = f"p_ AS (SELECT * FROM pg WHERE page_id % {of} = {n}),{links('p_')},{found()},{nodes()}"
     for name in ("a0", "raw0", "raw", "w0", "w1", "f0", "f1", "f2", "f3", "f", "n", "a", "p_"):
         body = re.sub(rf"(?<![\w.'])({name})(?= AS \(|$)", f"{prefix}{name}", body)
         body = re.sub(rf"(?<=FROM )({name})(?![\w])", f"{prefix}{name}", body)
@@ -151,7 +151,7 @@ def half(n: int, prefix: str) -> str:
     return body
 
 
-_EVEN_ODD = f"""{PAGES},{half(0, 'x_')},{half(1, 'y_')},
+_EVEN_ODD = f"""{PAGES},{share(0, 2, 'x_')},{share(1, 2, 'y_')},
 pe AS (SELECT * FROM pg WHERE page_id % 2 = 0),{visited('pe')},
 wanted AS (SELECT DISTINCT site_key, url FROM y_f WHERE queueable),
 lacks AS (SELECT * FROM wanted WHERE (site_key, url) NOT IN (SELECT (site_key, url) FROM x_n WHERE queueable)),
@@ -161,6 +161,10 @@ _SAVED = f"""{_NODES},
 pe AS (SELECT * FROM pg WHERE page_id IN (SELECT user_id FROM events WHERE event_type <> 'error')),{visited('pe')},
 open AS (SELECT * FROM n WHERE queueable AND (site_key, url) NOT IN (SELECT (site_key, url) FROM vis))"""
 
+#: found_by: the nodes that each delta of a state found, a row a delta and node.
+_DELTAS = f"""{share(0, 3, 'd0_')},{share(1, 3, 'd1_')},{share(2, 3, 'd2_')},
+found_by AS ({' UNION ALL '.join(f'SELECT {n} AS delta, * FROM d{n}_n' for n in range(3))})"""
+
 _LOG = """log AS (SELECT event_id AS visit_id, user_id AS page_id, 'http://e/' || user_id AS requested_url, CASE WHEN user_id % 4 = 0 THEN '<direct>' ELSE 'p' || (user_id % 4) END AS proxy,
   event_type <> 'error' AS ok, CASE WHEN event_type <> 'error' THEN '' WHEN event_id % 3 = 0 THEN 'Error: Target closed' WHEN event_id % 3 = 1 THEN 'Timeout 30000ms exceeded' ELSE 'Protocol Error (x)' END AS error,
   epoch_us(ts) AS started, epoch_us(ts) / 1000000.0::DOUBLE + value / 8 AS finished, trunc(round(value * 8) / 64 * 1000)::BIGINT AS duration_ms FROM events)"""
@@ -274,7 +278,8 @@ def oracle_sql() -> dict[str, str]:
         "saved_sites": f"""WITH {_SUMMARY}, ends AS (SELECT min(site_folder) AS first, max(site_folder) AS last FROM summary), r AS (SELECT {FOLDER.format('site_key')} AS site_folder, count(*) AS links, count(DISTINCT url) AS urls FROM n GROUP BY ALL)
             SELECT summary.*, CASE WHEN site_folder = first THEN 0 ELSE coalesce(links, 0) END AS links, CASE WHEN site_folder = first THEN 0 ELSE coalesce(urls, 0) END AS urls, CASE WHEN site_folder = last THEN 2 ELSE 0 END AS broken_lines
             FROM summary LEFT JOIN r USING (site_folder), ends""",
-        "resumed_nodes": f"WITH {_NODES},{visited()}, seeds_found AS (SELECT site_key, url, count(*) AS again FROM vis GROUP BY site_key, url) SELECT site_key, url, seen_count + coalesce(again, 0) AS seen_count, CASE WHEN again > 0 THEN 0 ELSE 1 END AS first_depth, queueable, page_kind FROM n LEFT JOIN seeds_found USING (site_key, url)",
+        "resumed_nodes": f"""WITH {PAGES},{_DELTAS},{visited()}, every AS (SELECT site_key, url, seen_count, first_depth, queueable, page_kind FROM found_by UNION ALL SELECT DISTINCT site_key, url, 1, 0, queueable, page_kind FROM vf)
+            SELECT site_key, url, sum(seen_count)::BIGINT AS seen_count, min(first_depth) AS first_depth, bool_or(queueable) AS queueable, min(page_kind) AS page_kind FROM every GROUP BY site_key, url""",
         "resumed_frontier": f"""WITH {_SAVED}, araw AS (SELECT site_key, site_host, site_origin, source_url, source_url AS raw_url FROM pg),{found('araw', 'af')}, own AS (SELECT DISTINCT page_id, pg.site_key, v.url FROM pg JOIN (SELECT DISTINCT source_url, url FROM af) v USING (source_url)),
             fs AS (SELECT f.site_key, f.url, min((pg.page_id % 3, f.source_url)) AS first FROM f JOIN pg ON pg.site_key = f.site_key AND pg.source_url = f.source_url GROUP BY f.site_key, f.url),
             queue AS (SELECT site_key, url, arg_max(n, n) AS attempts FROM (SELECT site_key, url, (page_id % 3)::INT AS n FROM own) GROUP BY site_key, url)
