@@ -354,7 +354,7 @@ def new_seeds(spark, sf_dir):
 
 @query
 def nodes_merged(spark, sf_dir):
-    """Nodes of even pages, and then those of the others added."""
+    """Nodes of even pages, and then those of the others added: an address that both have captured counts in both."""
     captured = pages(spark, sf_dir)
     half = lambda n: graph.nodes(graph.resolved(raw_links(captured.filter(F.col("page_id") % 2 == n))))
     return graph.merged_nodes(half(0), half(1)).select("site_key", "url", "seen_count", "first_depth")

@@ -320,7 +320,7 @@ def oracle_sql() -> dict[str, str]:
         "pagination_plan_all": answers.pagination(),
         "answer_coverage": answers.COVERAGE,
         "new_seeds": f"WITH {PAGES} SELECT DISTINCT source_url AS url FROM pg WHERE source_url NOT IN (SELECT source_url FROM pg WHERE page_id % 2 = 0)",
-        "nodes_merged": f"WITH {_NODES} SELECT site_key, url, seen_count, first_depth FROM n",
+        "nodes_merged": f"WITH {PAGES},{share(0, 2, 'x_')},{share(1, 2, 'y_')} SELECT site_key, url, sum(seen_count)::BIGINT AS seen_count, min(first_depth) AS first_depth FROM (SELECT * FROM x_n UNION ALL SELECT * FROM y_n) GROUP BY site_key, url",
         "global_urls": f"WITH {_NODES} SELECT DISTINCT url FROM n WHERE url <> ''",
         "global_links": f"WITH {_NODES} SELECT {FOLDER.format('site_key')} AS site_folder, site_key AS site_host, 'generic' AS site_family, url, same_site, queueable, page_kind, first_depth FROM n",
         "sites_summary": f"WITH {_SUMMARY} SELECT * FROM summary",

@@ -11,6 +11,7 @@ PAGES = [("a", "x"), ("a", "y"), ("b", "x"), ("a", "z"), ("c", ""), ("c", ""), (
 EXPECTED = {
     # each delta's counts add up, and a seed counts once more
     "resumed_nodes": {"a": (3, 0), "b": (2, 0), "c": (3, 0), "d": (3, 0), "e": (4, 0), "0": (2, 0), "x": (4, 1), "y": (4, 1), "z": (2, 1)},
+    "nodes_merged": {"a": (2, 1), "b": (1, 1), "c": (2, 1), "d": (1, 1), "e": (2, 1), "0": (1, 1), "x": (4, 1), "y": (4, 1), "z": (2, 1)},
 }
 
 
