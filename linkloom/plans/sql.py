@@ -280,9 +280,9 @@ def oracle_sql() -> dict[str, str]:
             FROM summary LEFT JOIN r USING (site_folder), ends""",
         "resumed_nodes": f"""WITH {PAGES},{_DELTAS},{visited()}, every AS (SELECT site_key, url, seen_count, first_depth, queueable, page_kind FROM found_by UNION ALL SELECT DISTINCT site_key, url, 1, 0, queueable, page_kind FROM vf)
             SELECT site_key, url, sum(seen_count)::BIGINT AS seen_count, min(first_depth) AS first_depth, bool_or(queueable) AS queueable, min(page_kind) AS page_kind FROM every GROUP BY site_key, url""",
-        "resumed_frontier": f"""WITH {_SAVED}, araw AS (SELECT site_key, site_host, site_origin, source_url, source_url AS raw_url FROM pg),{found('araw', 'af')}, own AS (SELECT DISTINCT page_id, pg.site_key, v.url FROM pg JOIN (SELECT DISTINCT source_url, url FROM af) v USING (source_url)),
-            fs AS (SELECT f.site_key, f.url, min((pg.page_id % 3, f.source_url)) AS first FROM f JOIN pg ON pg.site_key = f.site_key AND pg.source_url = f.source_url GROUP BY f.site_key, f.url),
-            queue AS (SELECT site_key, url, arg_max(n, n) AS attempts FROM (SELECT site_key, url, (page_id % 3)::INT AS n FROM own) GROUP BY site_key, url)
+        "resumed_frontier": f"""WITH {_SAVED},{_DELTAS}, araw AS (SELECT site_key, site_host, site_origin, source_url, source_url AS raw_url FROM pg),{found('araw', 'af')}, own AS (SELECT DISTINCT page_id, pg.site_key, v.url FROM pg JOIN (SELECT DISTINCT source_url, url FROM af) v USING (source_url)),
+            fs AS (SELECT site_key, url, min((delta, first_source)) AS first FROM found_by GROUP BY site_key, url),
+            queue AS (SELECT site_key, url, coalesce(max(n) FILTER (n < 2), max(n)) AS attempts FROM (SELECT site_key, url, (page_id % 3)::INT AS n FROM own) GROUP BY site_key, url)
             SELECT o.site_key, o.url, CASE WHEN queue.url IS NULL THEN 1 ELSE 0 END AS depth, CASE WHEN queue.url IS NULL THEN fs.first[2] ELSE o.url END AS discovered_from, CASE WHEN queue.url IS NULL THEN 'dom' ELSE 'seed' END AS discovery_method, coalesce(queue.attempts, 0) AS attempts
             FROM open o JOIN fs USING (site_key, url) LEFT JOIN queue USING (site_key, url)""",
         "run_plan": f"""WITH {PAGES}, k AS (SELECT site_key, count(*) AS n, min(page_id) AS first FROM pg WHERE page_id % 4 < 3 GROUP BY site_key),
